@@ -1,10 +1,11 @@
 """Registered queries of the numbered operators."""
 
+from .decontaminate import op10_decontaminate
 from .rules import op7_rules
 from .simhash import op2_simhash
 from .tokens import op8_bpe
 from .warc import op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op7_rules, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op7_rules, op8_bpe, op10_decontaminate)}
 #: None of these has a SQL form that runs on whole tables; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
