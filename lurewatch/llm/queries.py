@@ -2,12 +2,13 @@
 
 from .decontaminate import op10_decontaminate
 from .langid import op6_langid
+from .passages import op9_passages
 from .quality import op5_nbsvm
 from .rules import op7_rules
 from .simhash import op2_simhash
 from .tokens import op8_bpe
 from .warc import op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op5_nbsvm, op6_langid, op7_rules, op8_bpe, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op5_nbsvm, op6_langid, op7_rules, op8_bpe, op9_passages, op10_decontaminate)}
 #: None of these has a SQL form that runs on whole tables; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
