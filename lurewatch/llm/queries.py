@@ -9,7 +9,8 @@ from .rules import op7_rules
 from .simhash import op2_simhash
 from .tokens import op8_bpe
 from .warc import op1_warc
+from .wrappers import op4_wrappers
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_pitman_yor, op5_nbsvm, op6_langid, op7_rules, op8_bpe, op9_passages, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_pitman_yor, op4_wrappers, op5_nbsvm, op6_langid, op7_rules, op8_bpe, op9_passages, op10_decontaminate)}
 #: None of these has a SQL form that runs on whole tables; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
