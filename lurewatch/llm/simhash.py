@@ -5,12 +5,13 @@ Manhattan distance of two embeddings never exceeds the Hamming distance of the f
 bit moves one count by one. Counts are held in thermometer code (0 -> 00, 1 -> 01, 2 -> 11), so that distance is
 `bit_count(a ^ b)` of two longs.
 
-The grid cuts the 32 dimensions into radius + 3 runs. Within Manhattan distance `radius` at most `radius` runs
-differ, so three runs agree at least: a cell is the choice of three runs and their counts, and all pairs within
-the radius share a cell. Work stays in proportion to the links that matter:
+The grid cuts the 32 dimensions into radius + agree runs. Within Manhattan distance `radius` at most `radius` runs
+differ, so `agree` runs match at least: a cell is the choice of so many runs and their counts, and all pairs within
+the radius share a cell. A larger `agree` makes more cells of fewer chance meetings (5: 126 cells a fingerprint,
+25 bits each) and should grow with the logarithm of the corpus. Work stays in proportion to the links that matter:
 
 1. equal fingerprints are one node, however many documents carry them;
-2. members of a cell are first compared with one member of the cell (a pivot), twice with other pivots;
+2. members of a cell are first compared with two members of the cell alone, its least and its largest;
 3. only cells that still hold more than one component are joined with themselves, across components.
 
 Step 3 compares every remaining pair, so no link that could join two components is lost.
@@ -23,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, slices, table, text_bytes, words, written, xxh64
@@ -106,7 +107,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def cell_masks(radius: int, agree: int = 3) -> list[int]:
+def cell_masks(radius: int, agree: int) -> list[int]:
     """One mask over the embedding for each choice of `agree` of the radius + agree runs of segments."""
     runs = [sum(3 << (2 * int(s)) for s in part) for part in np.array_split(np.arange(32), radius + agree)]
     return [_signed(sum(c)) for c in combinations(runs, agree)]
@@ -118,18 +119,14 @@ def _close(a: str, b: str, radius: int) -> F.Column:
     return bound & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius)
 
 
-def linked(fps: DataFrame, radius: int = 4, pivots: int = 2) -> DataFrame:
+def linked(fps: DataFrame, radius: int = 4, agree: int = 5) -> DataFrame:
     """Distinct longs `fp` -> (node, root) for all that have a link at `radius` differing bits or fewer."""
-    masks = F.array(*[F.lit(m) for m in cell_masks(radius)])
+    masks = F.array(*[F.lit(m) for m in cell_masks(radius, agree)])
     cells = fps.select("fp", F.posexplode(masks).alias("c", "mask")).select("fp", "c", embedding(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"))
-    shared = cells.groupBy("c", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    cells = written(cells.join(shared, ["c", "cell"]), "cells")
-    edges = None
-    for turn in range(pivots):
-        pick = cells.groupBy("c", "cell").agg(F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("pivot"))
-        found = cells.join(pick, ["c", "cell"]).filter((F.col("fp") != F.col("pivot")) & _close("fp", "pivot", radius)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
-        edges = found if edges is None else edges.union(found)
-    roots = components(edges)
+    whole = Window.partitionBy("c", "cell")
+    cells = written(cells.select("c", "cell", "fp", F.min("fp").over(whole).alias("lo"), F.max("fp").over(whole).alias("hi")).filter("lo < hi"), "cells")
+    ends = [cells.filter((F.col("fp") != F.col(p)) & _close("fp", p, radius)).select(F.col("fp").alias("u"), F.col(p).alias("v")) for p in ("lo", "hi")]
+    roots = components(ends[0].union(ends[1]))
     named = cells.join(roots, cells.fp == roots.node, "left").select("c", "cell", "fp", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")
     mixed = named.groupBy("c", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("c", "cell")
