@@ -1,4 +1,4 @@
-"""Query registry: name -> (Spark query, DuckDB SQL or None)."""
+"""Query registry: name -> Spark query, and its DuckDB text where SQL can express it."""
 
 from __future__ import annotations
 
@@ -9,3 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
