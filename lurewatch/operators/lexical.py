@@ -6,6 +6,8 @@ shared parts are computed once a row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,7 @@ KEYWORDS = tuple(dict.fromkeys(C.CSE_KEYWORDS))
 
 def any_of(text: Column, words) -> Column:
     """Whether text contains one of the words (literally)."""
-    out = F.contains(text, F.lit(words[0]))
-    for w in words[1:]:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def first_of(text: Column, pairs) -> Column:

@@ -1 +1,3 @@
+"""Registered queries; importing this package fills the registry."""
 
+from . import decision_queries, lexical_queries, rule_queries  # noqa: F401
