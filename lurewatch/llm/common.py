@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _give_back_memory() -> None:
+    """Keep glibc from holding on to freed arrays in a worker that lives for many tasks (a fixed mmap threshold)."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about `most` bytes of `column` (one row at least)."""
+    _give_back_memory()
     for batch in batches:
         if not batch.num_rows:
             continue

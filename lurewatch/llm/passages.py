@@ -26,14 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import slices, table, text_bytes, written
 from .decontaminate import sized
 
 LENGTH, GRAM = 400, 200
-#: bytes of a very long text that one vectorised step works on
-STEP = 4 << 20
+#: bytes that one vectorised step works on; it needs about a hundred times as much memory
+STEP = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = 28
@@ -45,17 +45,16 @@ def _letters() -> np.ndarray:
     return rng.integers(1, 2**63, (2, 256), dtype=np.uint64)
 
 
-@lru_cache(2)
-def _power_table(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    while len(out) < n:
-        out = np.concatenate([out, out * _U(int(out[-1]) * base % 2**64)])
-    return out[:n]
+_TABLES = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n, 1).bit_length()
-    return _power_table(_BASE, size), _power_table(pow(_BASE, -1, 2**64), size)
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least; the tables grow and are kept."""
+    for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+        while len(_TABLES[k]) < n:
+            out = _TABLES[k]
+            _TABLES[k] = np.concatenate([out, out * _U(int(out[-1]) * base % 2**64)])
+    return _TABLES
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -123,7 +122,7 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(d1, d2, text) -> (d1, d2, gram, context, first, last) for every sampled position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", STEP // 2):
             d1, d2 = (part.column(c).to_numpy() for c in ("d1", "d2"))
             for raw, offsets, rows, places in _pieces(*text_bytes(part.column("t")), length):
                 g, c, row, first, last = samples(raw, offsets, length, gram)
@@ -194,32 +193,35 @@ def _cut(t: str | None, runs: list[dict] | None, length: int) -> tuple[bytes, in
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), spans
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", digest: bool = False) -> DataFrame:
-    """docs without `text`, plus kept_bytes (with digest: their SHA-256 as lower-case hex), n_bytes, n_removed and n_spans.
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", give: str = "kept_bytes") -> DataFrame:
+    """docs without `text`, plus n_bytes, n_removed, n_spans and, by `give`, the remaining bytes: as kept_bytes, as
+    kept_sha256 (lower-case hex) or as kept_text (UTF-8; parts of a character that a cut left over are dropped).
 
     Every byte that lies in a string of `length` bytes which starts anywhere else too is removed, in all copies.
     Null and short texts lose nothing; repeated rows count as occurrences of each other; ids and other columns are
     not looked at and stay; columns named like outputs are replaced. An empty table gives an empty result.
     """
-    names = {f.name for f in _ADDED} | {"kept_sha256"}
+    names = {f.name for f in _ADDED} | {"kept_sha256", "kept_text"}
     keep = [c for c in docs.columns if c != text and c not in names]
     one = [f"__{i}" for i in range(len(keep))]
     base = docs.select(*(F.col(c).alias(a) for c, a in zip(keep, one)), F.col(text).alias("t"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
     runs = repeated_runs(base.select("d1", "d2", "t").filter(F.octet_length("t") >= length), length, gram)
     runs = runs.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "runs")
     joined = base.join(sized(runs, 4 * runs.count()), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(*one, "t", "runs")
-    added = [StructField("kept_sha256", base.select(F.lit("")).schema[0].dataType), *_ADDED[1:]] if digest else _ADDED
+    shown = {"kept_bytes": (BinaryType(), pa.binary(), bytes), "kept_sha256": (StringType(), pa.string(), lambda x: hashlib.sha256(x).hexdigest()), "kept_text": (StringType(), pa.string(), lambda x: x.decode("utf-8", "ignore"))}
+    kind, arrow, show = shown[give]
+    added = [StructField(give, kind), *_ADDED[1:]]
     schema = StructType([*base.select(*one).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             made = [_cut(t, r, length) for t, r in zip(part.column("t").to_pylist(), part.column("runs").to_pylist())]
-            head = pa.array([hashlib.sha256(x[0]).hexdigest() for x in made]) if digest else pa.array([x[0] for x in made], pa.binary())
+            head = pa.array([show(x[0]) for x in made], arrow)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in one), head, *(pa.array([x[k] for x in made], pa.int64()) for k in (1, 2, 3))], names=schema.names)
 
     return joined.mapInArrow(run, schema).withColumnsRenamed(dict(zip(one, keep)))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), give="kept_sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
