@@ -61,6 +61,10 @@ class Automaton:
                 self.cut[a, b] = k
                 if self.born[z] < 0:
                     self.left[z], self.right[z], self.born[z] = a, b, k
+        self.reach: dict[str, int] = {}  # longest token by its first two letters
+        for w in self.ids:
+            w = w.removesuffix(self.end)
+            self.reach[w[:2]] = max(self.reach.get(w[:2], 1), len(w))
         self.labels = [w.encode() for w in self.label]
         self.letters = _byte_letters()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -86,8 +90,36 @@ class Automaton:
         return True
 
     def path(self, word: str) -> list[int]:
-        """The one accepted path that spells word (byte letters, without the word end): longest arcs first, with
-        the dead states remembered."""
+        """The one accepted path that spells word (byte letters, without the word end)."""
+        whole = self.ids.get(word + self.end)
+        if whole is not None and (len(word) == 1 or self.born[whole] >= 0):
+            return [whole]
+        return self._straight(word) or self._searched(word)
+
+    def _straight(self, word: str) -> list[int] | None:
+        """Longest arcs first; None at a dead end."""
+        n, ids, born, steps, reach = len(word), self.ids, self.born, self.steps, self.reach
+        out, i, last = [], 0, -1
+        while i < n:
+            for j in range(min(n, i + reach.get(word[i : i + 2], 1)), i, -1):
+                z = ids.get(word[i:j] + self.end if j == n else word[i:j])
+                if z is None or j - i > 1 and born[z] < 0:
+                    continue
+                ok = last < 0 or steps.get((last, z))
+                if ok is None:
+                    if len(steps) > 500_000:
+                        steps.clear()
+                    ok = steps[last, z] = self.allows(last, z)
+                if ok:
+                    out.append(z)
+                    i, last = j, z
+                    break
+            else:
+                return None
+        return out
+
+    def _searched(self, word: str) -> list[int]:
+        """The path by search, with the dead states remembered."""
         n, ids, most = len(word), self.ids, self.longest
         steps = self.steps
 
@@ -177,14 +209,16 @@ def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFr
     return _run(docs, ids, path or default_path(), "decoded string", lambda a, x: (a.decode(np.array([] if x is None else x, "<u4").tobytes()).decode(),))
 
 
-def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Encode and decode in one pass: docs without `text`, plus n_tokens and the SHA-256 of ids and decoded text."""
+def digests(docs: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: docs without `text`, plus n_tokens, the SHA-256 of ids and of the decoded text,
+    and the ids themselves if asked for."""
 
     def both(a: Automaton, x: str | None) -> tuple:
         ids = a.encode(x)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(a.decode(ids)).hexdigest()
+        found = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(a.decode(ids)).hexdigest()
+        return (*found, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else found
 
-    return _run(docs, text, path or default_path(), "n_tokens long, ids_sha256 string, decoded_sha256 string", both)
+    return _run(docs, text, path or default_path(), "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, both)
 
 
 def _run(docs: DataFrame, column: str, path: str, new: str, f) -> DataFrame:
