@@ -64,7 +64,7 @@ RETRY_SCHEMA = "job long, outcome string, retries int, delay_s int"
 
 def retries(results: DataFrame) -> DataFrame:
     """(job, seq, failed) -> (job, outcome, retries, delay_s)."""
-    return results.groupBy("job").transformWithStateInPandas(Retry(), RETRY_SCHEMA, "append", "processingTime")
+    return results.groupBy("job").transformWithStateInPandas(Retry(), RETRY_SCHEMA, "append", "none")
 
 
 class Escalate(StatefulProcessor):
