@@ -162,9 +162,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how)
     keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__k")).distinct()
     kept = docs.join(keep, docs[id_col] == keep["__k"], "left_semi").dropDuplicates([id_col])
     bare = found.filter("component_id is null").select("fp").distinct().withColumnRenamed("fp", "__f")
-    nameless = docs.filter(F.col(id_col).isNull())
-    marked = fingerprints(nameless.withColumn("__x", F.col(text)), "__x", how.get("width", 4))
-    return kept.unionByName(marked.join(bare, F.col("fp") == F.col("__f"), "left_semi").dropDuplicates(["fp"]).select(*docs.columns))
+    nameless = docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), F.col(text).alias("__x"))
+    marked = fingerprints(nameless, "__x", how.get("width", 4))
+    rest = marked.join(bare, F.col("fp") == F.col("__f"), "left_semi").dropDuplicates(["fp"]).select("row.*")
+    return kept.unionByName(rest)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
