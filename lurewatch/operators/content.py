@@ -62,29 +62,33 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"""(https?://[^\s"'<>]+)"""), F.lit(1)))
 
 
-@F.pandas_udf("string")
-def visible_text(pages: pd.Series) -> pd.Series:
+def visible_text(html: Column | str) -> Column:
     """Text of a page as an HTML parser sees it, scripts and styles left out."""
-    from html.parser import HTMLParser
 
-    class Reader(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__()
-            self.out, self.skip = [], 0
+    @F.pandas_udf("string")
+    def read_pages(pages: pd.Series) -> pd.Series:
+        from html.parser import HTMLParser
 
-        def handle_starttag(self, tag, attrs):
-            self.skip += tag in ("script", "style")
+        class Reader(HTMLParser):
+            def __init__(self) -> None:
+                super().__init__()
+                self.out, self.skip = [], 0
 
-        def handle_endtag(self, tag):
-            self.skip -= tag in ("script", "style") and self.skip > 0
+            def handle_starttag(self, tag, attrs):
+                self.skip += tag in ("script", "style")
 
-        def handle_data(self, data):
-            if not self.skip:
-                self.out.append(data)
+            def handle_endtag(self, tag):
+                self.skip -= tag in ("script", "style") and self.skip > 0
 
-    def read(page: str | None) -> str:
-        r = Reader()
-        r.feed(page or "")
-        return "".join(r.out)
+            def handle_data(self, data):
+                if not self.skip:
+                    self.out.append(data)
 
-    return pages.map(read)
+        def read(page: str | None) -> str:
+            r = Reader()
+            r.feed(page or "")
+            return "".join(r.out)
+
+        return pages.map(read)
+
+    return read_pages(html)
