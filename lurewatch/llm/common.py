@@ -26,14 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, first: int, last: int) -> None:
+    """Delete tables first..last of those that `written` made, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN[first:last]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
