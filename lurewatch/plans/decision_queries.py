@@ -398,6 +398,48 @@ def batch_predictor(spark, sf):
     return kept.orderBy(F.desc("k"), "domain").limit(1000).select("domain", "k")
 
 
+@query("api_health", f"SELECT count(*) AS depth, max(ts) AS last_seen, date_diff('second', max(ts), TIMESTAMP '2024-02-01 00:00:00') > 300 AS stale FROM {JOBS} j")
+def api_health(spark, sf):
+    last = F.max("ts")
+    stale = F.timestamp_diff("SECOND", last, F.lit("2024-02-01").cast("timestamp")) > 300
+    return fixture(spark, sf, "jobs").agg(F.count(F.lit(1)).alias("depth"), last.alias("last_seen"), stale.alias("stale"))
+
+
+@query("analyst_feedback", f"SELECT id, domain, CASE WHEN label = 'Phishing' THEN 'TP' WHEN label = 'Suspected' THEN 'Escalated' ELSE 'FP' END AS verdict, label AS before FROM {SCANS} s QUALIFY row_number() OVER (PARTITION BY domain ORDER BY scan_date DESC, id DESC) = 1")
+def analyst_feedback(spark, sf):
+    """Verdicts set on the newest scan of each domain."""
+    newest = ST.latest(fixture(spark, sf, "scans").select("domain", "id", "label", "scan_date"), "domain", "scan_date", "id")
+    verdict = F.when(F.col("label") == "Phishing", "TP").when(F.col("label") == "Suspected", "Escalated").otherwise("FP")
+    return newest.select("id", "domain", verdict.alias("verdict"), F.col("label").alias("before"))
+
+
+@query("whitelist_edit", f"SELECT domain FROM (SELECT domain FROM {D} x WHERE contains(domain, 'news') UNION SELECT domain FROM {D} y WHERE contains(domain, 'music') EXCEPT SELECT domain FROM {D} z WHERE ends_with(domain, '.xyz')) t")
+def whitelist_edit(spark, sf):
+    """Insert-unique of one list into another, then a delete."""
+    names = fixture(spark, sf, "domains").select("domain")
+    listed = ST.insert_absent(names.filter(F.contains("domain", F.lit("news"))).distinct(), names.filter(F.contains("domain", F.lit("music"))), "domain")
+    return listed.join(names.filter(F.endswith("domain", F.lit(".xyz"))), "domain", "left_anti")
+
+
+@query("self_training_negatives", f"SELECT id, score FROM (SELECT k AS id, {S.r6(_BLEND)} AS score FROM {SCORES} s) t WHERE score < 0.15 ORDER BY ((id + 7) * 2654435761) % 4294967296, id LIMIT 3000")
+def self_training_negatives(spark, sf):
+    scored = scores(spark, sf).select(F.col("k").alias("id"), F.round(V.blend(F.col("xgb"), F.col("rf")), 6).alias("score"))
+    return DS.sample(scored.filter("score < 0.15"), F.col("id"), 3000, seed=7)
+
+
+@query("version_comparison", f"SELECT version, tp, fp, fn, tn FROM (SELECT 'xgb' AS version, count(*) FILTER (y AND xgb >= 0.5) AS tp, count(*) FILTER (NOT y AND xgb >= 0.5) AS fp, count(*) FILTER (y AND xgb < 0.5) AS fn, count(*) FILTER (NOT y AND xgb < 0.5) AS tn FROM {SCORES} s UNION ALL SELECT 'rf', count(*) FILTER (y AND rf >= 0.5), count(*) FILTER (NOT y AND rf >= 0.5), count(*) FILTER (y AND rf < 0.5), count(*) FILTER (NOT y AND rf < 0.5) FROM {SCORES} s) t")
+def version_comparison(spark, sf):
+    """Confusion counts of several models in one pass."""
+    long_ = scores(spark, sf).select("y", F.explode(F.create_map(F.lit("xgb"), F.col("xgb").cast("double"), F.lit("rf"), F.col("rf").cast("double"))).alias("version", "score"))
+    return long_.groupBy("version").agg(*E.confusion(F.col("y"), F.col("score") >= 0.5))
+
+
+@query("class_weights", f"SELECT count(*) FILTER (y) AS positives, count(*) FILTER (NOT y) AS negatives, {S.r6('CAST(count(*) FILTER (NOT y) AS DOUBLE) / count(*) FILTER (y)')} AS ratio FROM {SCORES} s")
+def class_weights(spark, sf):
+    p, n = F.count_if("y"), F.count_if(~F.col("y"))
+    return scores(spark, sf).agg(p.alias("positives"), n.alias("negatives"), F.round(n / p, 6).alias("ratio"))
+
+
 # ---- streams (batch equivalents; tests replay them as streams) ----
 
 
@@ -441,3 +483,25 @@ def stream_retry_dlq(spark, sf):
 def model_score(spark, sf):
     rows = L.features(fixture(spark, sf, "domains")).withColumn("y", (F.col("has_brand_keyword") * F.col("is_malicious_gtld")).cast("int"))
     return M.score(rows, M.fit(rows)).select("k", "domain", F.round("score", 6).alias("score"))
+
+
+@query("importance_report")
+def importance_report(spark, sf):
+    """Feature importances of both models, the least agreed first."""
+    rows = L.features(fixture(spark, sf, "domains")).withColumn("y", (F.col("has_brand_keyword") * F.col("is_malicious_gtld")).cast("int"))
+    found = spark.createDataFrame(M.importances(M.fit(rows)), "feature string, forest double, boosted double, unstable boolean")
+    return found.orderBy(F.desc(F.abs(F.col("forest") - F.col("boosted"))), "feature")
+
+
+@query("ablation")
+def ablation(spark, sf):
+    """Metrics of a forest on the structural features alone and with each of three additions."""
+    rows = L.features(fixture(spark, sf, "domains")).withColumn("y", (F.col("has_brand_keyword") * F.col("is_malicious_gtld")).cast("int"))
+    base = list(L.structural())
+    out = None
+    for extra in ("none", "has_brand_keyword", "min_brand_levenshtein", "entropy"):
+        features = base + [extra] * (extra != "none")
+        scored = M.score(rows, M.fit(rows, features=features, trees=10, rounds=3))
+        line = E.sweep(scored.withColumn("p", F.col("y") == 1), "p", "score", (0.5,)).withColumn("added", F.lit(extra))
+        out = line if out is None else out.unionByName(line)
+    return out
