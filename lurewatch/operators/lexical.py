@@ -41,8 +41,12 @@ def long(value: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits over the characters of text; 0 for an empty one."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
-    return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    def bits(cs: Column) -> Column:
+        share = lambda c: F.size(F.filter(cs, lambda x: x == c)) / F.size(cs)
+        return F.aggregate(F.transform(F.array_distinct(cs), share), F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    return F.get(F.transform(F.array(chars), bits), 0)  # the outer transform binds the characters once
 
 
 def shared(df: DataFrame, column: str = "domain") -> DataFrame:
@@ -80,7 +84,7 @@ def brand() -> dict[str, Column]:
     in_two, in_sub = any_of(F.col("_two"), KEYWORDS), F.exists("_sub", lambda x: any_of(x, KEYWORDS))
     length = first_of(F.col("_two"), [(k, len(k)) for k in KEYWORDS])
     sub = F.flatten(F.transform("_sub", lambda x: F.array(*[F.when(F.contains(x, F.lit(k)), F.struct(F.lit(i).alias("i"), F.lit(len(k)).alias("n"))) for i, k in enumerate(KEYWORDS)])))
-    in_sub_length = F.get_field(F.array_min(F.filter(sub, lambda x: x.isNotNull())), "n") if hasattr(F, "get_field") else F.array_min(F.filter(sub, lambda x: x.isNotNull()))["n"]
+    in_sub_length = F.array_min(F.filter(sub, lambda x: x.isNotNull()))["n"]
     return {
         "brand_keyword_position": F.when(several & in_two, 1).when(several & in_sub, 2).otherwise(0).cast("bigint"),
         "has_cse_keyword_in_subdomain": one(in_sub),
@@ -92,7 +96,9 @@ def brand() -> dict[str, Column]:
 
 def edit_distance() -> dict[str, Column]:
     """Least normalised edit distance (1 to 3) between a token and a keyword; 99 without one."""
-    near = F.transform("tokens", lambda t: F.array_min(F.array(*[F.when(F.levenshtein(t, F.lit(k)).between(1, 3), F.levenshtein(t, F.lit(k)) / F.lit(len(k))) for k in KEYWORDS])))
+    lengths = F.array(*[F.lit(len(k)) for k in KEYWORDS])
+    scaled = lambda d, i: F.when(d.between(1, 3), d / F.get(lengths, i))
+    near = F.transform("tokens", lambda t: F.array_min(F.transform(F.array(*[F.levenshtein(t, F.lit(k)) for k in KEYWORDS]), scaled)))
     return {"min_brand_levenshtein": F.coalesce(F.array_min(near), F.lit(99.0))}
 
 
