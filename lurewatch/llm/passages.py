@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import slices, table, text_bytes, written
-from .decontaminate import sized
 
 LENGTH, GRAM = 400, 200
 #: bytes that one vectorised step works on; it needs about a hundred times as much memory
@@ -156,9 +155,11 @@ def _strings(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(d1, d2, t) -> (d1, d2, runs): for each text that has any, the intervals (first, last) of the starts of
-    strings that occur elsewhere too."""
-    found = written(sampled(docs, length, gram), "samples")
+    """(d1, d2, t, ...) -> (d1, d2, runs): for each text that has any, the intervals (first, last) of the starts of
+    strings that occur elsewhere too.
+
+    The result is a plan over docs as a whole: a caller that joins it with docs shuffles the texts once for both."""
+    found = written(sampled(docs.select("d1", "d2", "t").filter(F.octet_length("t") >= length), length, gram), "samples")
     classes = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"))
     classes = written(classes, "contexts")
     grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select(F.col("gram").alias("g"))
@@ -168,14 +169,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     reps = marked.filter("open").groupBy("gram", "context").agg(F.min(F.struct("d1", "d2", "first", "last")).alias("r"), F.first("n").alias("n"))
     reps = written(reps.select("r.*", "n", F.monotonically_increasing_id().alias("rep")), "representatives")
     by_text = reps.groupBy(F.col("d1").alias("_1"), F.col("d2").alias("_2")).agg(F.collect_list(F.struct("rep", "first", "last")).alias("runs"))  # of one text
-    texts = docs.join(sized(by_text, reps.count()), (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))).dropDuplicates(["d1", "d2"]) if reps.take(1) else None
-    if texts is not None:
-        single = reps.filter("n = 1").select(F.col("rep").alias("one"), "d1", "d2", "first")
-        strings = _strings(texts.select("t", "runs"), length)
-        twice = strings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1").select("rep", "shift")
-        hit = twice.join(single, F.col("rep") == F.col("one")).select("d1", "d2", F.struct((F.col("first") + F.col("shift")).alias("first"), (F.col("first") + F.col("shift")).alias("last")).alias("run"))
-        settled = settled.union(hit)
-    return written(settled.groupBy("d1", "d2").agg(F.collect_set("run").alias("runs")), "runs")  # of one text
+    texts = docs.join(by_text, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))).dropDuplicates(["d1", "d2"])
+    single = reps.filter("n = 1").select(F.col("rep").alias("one"), "d1", "d2", "first")
+    twice = _strings(texts, length).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1").select("rep", "shift")
+    hit = twice.join(single, F.col("rep") == F.col("one")).select("d1", "d2", F.struct((F.col("first") + F.col("shift")).alias("first"), (F.col("first") + F.col("shift")).alias("last")).alias("run"))
+    return settled.union(hit).groupBy("d1", "d2").agg(F.collect_set("run").alias("runs"))  # of one text
 
 
 _ADDED = [StructField("kept_bytes", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())]
@@ -205,9 +203,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     keep = [c for c in docs.columns if c != text and c not in names]
     one = [f"__{i}" for i in range(len(keep))]
     base = docs.select(*(F.col(c).alias(a) for c, a in zip(keep, one)), F.col(text).alias("t"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
-    runs = repeated_runs(base.select("d1", "d2", "t").filter(F.octet_length("t") >= length), length, gram)
-    runs = runs.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "runs")
-    joined = base.join(sized(runs, 4 * runs.count()), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(*one, "t", "runs")
+    runs = repeated_runs(base, length, gram).select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "runs")
+    joined = base.join(runs, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(*one, "t", "runs")
     shown = {"kept_bytes": (BinaryType(), pa.binary(), bytes), "kept_sha256": (StringType(), pa.string(), lambda x: hashlib.sha256(x).hexdigest()), "kept_text": (StringType(), pa.string(), lambda x: x.decode("utf-8", "ignore"))}
     kind, arrow, show = shown[give]
     added = [StructField(give, kind), *_ADDED[1:]]
