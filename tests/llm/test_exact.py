@@ -112,12 +112,53 @@ def test_simhash_links_within_radius(spark):
 
 def test_simhash_empty_and_keep(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
     kept = simhash.keep_one(docs).collect()
     ids = [r.doc_id for r in kept]
     assert ids.count(6) == 1 and 7 not in ids and 10 in ids and len(ids) == len(set(ids))
     assert kept[0].asDict().keys() == set(docs.columns)
 
 
+def test_similar_texts(spark):
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, n = [], 0
+    for b in range(40):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(30, 300))]
+        for k in range(rng.randrange(1, 9)):
+            words = list(base)
+            for i in rng.sample(range(len(words)), round(len(words) * 0.006 * k)):
+                words[i] = rng.choice(vocab)
+            rows.append((n, " ".join(words)))
+            n += 1
+    rows += [(n, rows[0][1].upper()), (n + 1, None), (n + 2, " \n"), (n + 3, "a b"), (n + 4, "a b"), (n + 5, "b"), (None, rows[3][1]), (None, "x y z q r s t"), (None, None), (2, "other text of this id with several words"), (2, rows[2][1])]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        if key is not None:
+            least[find(i)] = min(least.get(find(i), key), key)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, f0 int")
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash.similar(df).collect())
+    assert got == collections.Counter((key, least.get(find(i))) for i, (key, _) in enumerate(rows))
+    assert len(set(least.values())) < len(rows) / 2
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter([*set(least.values()), None])
+
+
 def test_manhattan_is_a_lower_bound(spark):
     pairs = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(200)]
     df = spark.createDataFrame(pairs, "a long, b long").select(F.bit_count(simhash.embedding(F.col("a")).bitwiseXOR(simhash.embedding(F.col("b")))).alias("m"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("h"))
