@@ -16,8 +16,9 @@ the radius share a cell. A larger `agree` makes more cells of fewer chance meeti
 
 Step 3 compares every remaining pair, so no link that could join two components is lost.
 
-`similar` links texts by the similarity of their shingle sets instead (0.8 or more): a wide fingerprint of the same
-kind, a grid sized to the corpus, the Manhattan bound, the exact distance, and the exact similarity of each candidate.
+`similar` links texts by the similarity of their shingle sets instead (0.8 or more): candidates share one of the
+rarest shingles of both, which every pair of that similarity does; then sizes, a wide fingerprint of the same kind with
+the Manhattan bound and the distance, and the exact similarity of each candidate.
 """
 
 from __future__ import annotations
@@ -171,6 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 #: longs of a wide fingerprint; at a similarity of 0.8 about 39 of 256 bits differ, with a deviation of 6
 WIDE = 4
 _WORDS = [f"f{k}" for k in range(WIDE)]
+#: one text of so many is looked at for common shingles; so many are known at most; sets from this size on are compared by bits
+SAMPLE, COMMON, SMALL = 32, 1 << 20, 64
 
 
 def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,17 +191,54 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def wide_fingerprints(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """docs without text, with `node` (a hash of the word sequence) and the fingerprint f0..f3 of its distinct shingles."""
+def leading(hashes: np.ndarray, bounds: np.ndarray, least: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each distinct set hashes[bounds[i]:bounds[i + 1]], and their offsets: n - ceil(least * n) + 1
+    of n, in one order of all shingles, those of `common` last, as they stand in it.
+
+    Sets of a similarity of `least` or more share at least ceil(least * n) shingles of either, so whatever the order, the
+    first of those they share is among these of both."""
+    sizes = np.diff(bounds)
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common) and len(hashes):
+        order = np.argsort(common)
+        place = np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)
+        rank = np.where(common[order[place]] == hashes, order[place] + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    sorted_ = hashes[np.lexsort((hashes, rank, row))]
+    most = np.where(sizes > 0, sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, 0)
+    first = np.arange(len(hashes)) - np.repeat(bounds[:-1], sizes) < np.repeat(most, sizes)
+    return sorted_[first], np.concatenate([[0], np.cumsum(most)])
+
+
+def common_shingles(texts: DataFrame, text: str, width: int) -> np.ndarray:
+    """Shingles that stand in many texts, the most frequent last, by a sample of the texts. Only the order of the shingles
+    follows from them (rare ones first, so that few texts meet), so no result depends on the sample."""
+    some = texts.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(text)
+    sets = shingle_sets(some, text, width).dropDuplicates(["node"])
+    counts = sets.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy()
+    return found[::-1].astype(np.int64).view(np.uint64)
+
+
+def wide_fingerprints(docs: DataFrame, text: str, width: int, least: float | None = None, common: np.ndarray | None = None) -> DataFrame:
+    """docs without text, with `node` (a hash of the word sequence) and the fingerprint f0..f3 of its distinct shingles;
+    with `least` also their number `n` and the `leading` ones as `cells`."""
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep, *[F.lit(0).cast("long").alias(c) for c in ("node", *_WORDS)]).schema
+    added = [F.lit(0).cast("long").alias(c) for c in ("node", *_WORDS)]
+    if least is not None:
+        added += [F.lit(0).cast("int").alias("n"), F.array(F.lit(0).cast("long")).alias("cells")]
+    schema = docs.select(*keep, *added).schema
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if common is None else common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             hashes, bounds, whole = shingles(part.column(text), width)
             hashes, bounds = _distinct(hashes, bounds)
-            made = [whole, *(_majority(_mixed(hashes, k), bounds) for k in range(WIDE))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x.view(np.int64)) for x in made)], names=schema.names)
+            made = [pa.array(x.view(np.int64)) for x in (whole, *(_majority(_mixed(hashes, k), bounds) for k in range(WIDE)))]
+            if least is not None:
+                cells, ends = leading(hashes, bounds, least, shared.value)
+                made += [pa.array(np.diff(bounds).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(cells.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -216,32 +256,23 @@ def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     return docs.select(text).mapInArrow(run, "node long, hashes array<long>")
 
 
-def grid(n: int, least: float, miss: float = 0.01) -> tuple[int, int, int]:
-    """(bits of a cell, cells, radius) for n nodes: cells fine enough that chance meetings stay in proportion to n, so
-    many that a pair of similarity `least` shares none with a chance of `miss`, and a radius of 3.3 deviations."""
+def reach(least: float) -> int:
+    """Distance that wide fingerprints of sets of a similarity of `least` keep: eight deviations beyond the expected one
+    (a chance of less than one in 10**12 to exceed it, whatever the size of the corpus)."""
     angle = math.acos(2 * least / (1 + least)) / math.pi
-    bits = max(12, math.ceil(math.log2(max(n, 1))))
-    cells = math.ceil(math.log(miss) / math.log1p(-((1 - angle) ** bits)))
-    return bits, cells, math.ceil(64 * WIDE * angle + 3.3 * math.sqrt(64 * WIDE * angle * (1 - angle)))
-
+    return math.ceil(64 * WIDE * angle + 8 * math.sqrt(64 * WIDE * angle * (1 - angle)))
 
-def _cells(nodes: DataFrame, bits: int, cells: int) -> DataFrame:
-    """(node, cell) for each node and cell. The grid's segments are single bits, the finest; a cell takes `bits` of them."""
-    rng, masks = np.random.default_rng(5), []
-    for _ in range(cells):
-        places = rng.choice(64 * WIDE, bits, replace=False).tolist()
-        masks.append([_signed(sum(1 << (p % 64) for p in places if p // 64 == k)) for k in range(WIDE)])
-    rows = nodes.select("node", *_WORDS, F.posexplode(F.lit(masks)).alias("c", "m"))
-    return rows.select("node", F.xxhash64("c", *[F.col(f).bitwiseAND(F.col("m")[k]) for k, f in enumerate(_WORDS)]).alias("cell"))
 
-
-def _within(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) of nodes within the radius and their distance d: the Manhattan bound of the two-bit counts first."""
-    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(f).alias(x + f) for f in _WORDS])
+def _within(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar and their distance d: by the sizes, then the Manhattan bound of the two-bit
+    counts, then the distance. Sets of fewer than SMALL shingles, whose bits are no normal sample, pass by size alone."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), *[F.col(f).alias(x + f) for f in _WORDS])
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    both = both.filter(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
     bound = sum(F.bit_count(embedding(F.col("a" + f)).bitwiseXOR(embedding(F.col("b" + f)))) for f in _WORDS)
     exact = sum(F.bit_count(F.col("a" + f).bitwiseXOR(F.col("b" + f))) for f in _WORDS)
-    return both.filter(bound <= radius).withColumn("d", exact).filter(F.col("d") <= radius).select("a", "b", "d")
+    small, radius = F.least("na", "nb") < SMALL, reach(least)
+    return both.filter(small | (bound <= radius)).withColumn("d", exact).filter(small | (F.col("d") <= radius)).select("a", "b", "d")
 
 
 def _ordered(u, v) -> list[F.Column]:
@@ -252,24 +283,26 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     """(id, node, component_id) for every row of docs: texts link when the Jaccard similarity of their sets of shingles
     is `least` or more, and component_id is the least non-null id reachable (null if none has one).
 
-    The similarity of every candidate is computed exactly; candidates come from wide fingerprints, so that of the pairs
-    at the very threshold about one in a hundred is missed, and fewer above it. Word sequences that are equal are one
-    node, however many rows hold them. Null and blank texts are equal to each other and to no other text; repeated ids
-    and rows stay; other columns are ignored; an empty table gives an empty result.
+    Candidates share one of their `leading` shingles, a cell, as all pairs of that similarity do; the similarity of every
+    candidate is computed exactly. Word sequences that are equal are one node, however many rows hold them. Null and
+    blank texts are equal to each other and to no other text; repeated ids and rows stay; other columns are ignored; an
+    empty table gives an empty result.
 
     Work stays in proportion to the links that matter: each node is first compared with two members of each of its
-    cells, the closest is verified, then the closest pair of any two components; only cells that still hold several
-    components are joined with themselves, across components, with every pair that is left.
+    cells, the closest is verified, then the closest pair of any two components; only cells of more than two nodes that
+    still hold several components are joined with themselves, across components, with every pair that is left.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__x"))
-    named = written(wide_fingerprints(rows, "__x", width), "wide")
-    nodes = written(named.groupBy("node", *_WORDS).agg(F.min("__id").alias("least")), "nodes")
-    bits, cells, radius = grid(nodes.count(), least)
-    whole = Window.partitionBy("cell")
-    met = _cells(nodes, bits, cells).select("cell", "node", F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi")).filter("lo < hi")
-    met = written(met, "met")
-    pivots = met.select("node", F.explode(F.array("lo", "hi")).alias("p")).filter("node <> p").select(*_ordered("node", "p")).distinct()
-    close = written(_within(pivots, nodes, radius), "close")
+    named = written(wide_fingerprints(rows, "__x", width, least, common_shingles(rows, "__x", width)), "wide")
+    nodes = written(named.groupBy("node").agg(F.min("__id").alias("least"), *[F.first(c).alias(c) for c in (*_WORDS, "n", "cells")]), "nodes")
+    cells = nodes.select(F.explode("cells").alias("cell"), "node")
+    nodes = nodes.drop("cells")
+    ends = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("k"))
+    ends = written(ends.filter("lo < hi"), "cells")
+    met = written(cells.join(ends.filter("k > 2").select("cell", "lo", "hi").hint("merge"), "cell"), "met")
+    pivots = met.select("node", F.explode(F.array("lo", "hi")).alias("p")).filter("node <> p").select(*_ordered("node", "p"))
+    pivots = pivots.union(ends.filter("k = 2").select(*_ordered("lo", "hi"))).distinct()
+    close = written(_within(pivots, nodes, least), "close")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar."""
@@ -307,7 +340,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     left = open_.filter("root <> top").select("cell", F.col("node").alias("x"), F.col("root").alias("rx"), "top")
     right = open_.select("cell", F.col("node").alias("y"), F.col("root").alias("ry"))
     across = left.join(right.hint("merge"), "cell").filter("rx <> ry and (ry = top or rx < ry)").select(*_ordered("x", "y")).distinct()
-    rest = rooted(_within(across, nodes, radius), roots)
+    rest = rooted(_within(across, nodes, least), roots)
     roots = components(verified(rest).union(tree(roots)))
     joined = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = joined.groupBy("root").agg(F.min("least").alias("component_id"))

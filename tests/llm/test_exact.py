@@ -165,6 +165,35 @@ def test_manhattan_is_a_lower_bound(spark):
     assert all(r.m <= r.h for r in df.collect())
 
 
+def test_similar_pairs_at_the_threshold_are_all_found(spark):
+    own, rows, want = random.Random(8), [], 0
+    for b in range(400):
+        n = own.randrange(60, 400)
+        base = [f"t{own.randrange(10**6)}" for _ in range(n)]
+        while True:
+            words = list(base)
+            for i in own.sample(range(n), round(n * own.uniform(0.015, 0.03))):
+                words[i] = "x" + words[i]
+            a, c = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (base, words))
+            if 0.8 <= len(a & c) / len(a | c) <= 0.85:
+                break
+        rows += [(2 * b, " ".join(base)), (2 * b + 1, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == {i: i // 2 * 2 for i in range(800)}
+
+
+def test_leading_shingles_hold_a_shared_one():
+    own = np.random.default_rng(4)
+    common = own.permutation(200)[:50].astype(np.uint64)
+    for _ in range(300):
+        a = set(own.choice(200, own.integers(1, 60), replace=False).tolist())
+        b = set(list(a)[own.integers(0, 3) :]) | set(own.choice(200, own.integers(0, 5)).tolist())
+        if b and len(a & b) >= 0.8 * len(a | b):
+            sets = [np.array(sorted(x), np.uint64) for x in (a, b)]
+            first, ends = simhash.leading(np.concatenate(sets), np.array([0, len(a), len(a) + len(b)]), 0.8, common)
+            assert set(first[: ends[1]].tolist()) & set(first[ends[1] :].tolist())
+
+
 # ---- repeated passages ----
 
 
