@@ -14,6 +14,8 @@ k-grams, and what lies to the left and right of these decides:
 
 No step gathers a group: counts are pre-aggregated and joins are on hashes. Documents are known by 128 bits of hash
 of their text, so ids may repeat or be null. Sampled positions are about 1% of the bytes.
+
+All of it also works on words in place of bytes (`by_word`): a word stands for its hash, whatever space is between words.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import slices, table, text_bytes, written
+from .common import slices, table, text_bytes, words, written, xxh64
 
 LENGTH, GRAM = 400, 200
+#: words of the k-gram of a run of `n` words, as a share of n
+WORD_GRAM = 0.5
 #: bytes that one vectorised step works on; it needs about a hundred times as much memory
 STEP = 1 << 20
 _U = np.uint64
@@ -63,11 +67,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hash of any range of a byte buffer from prefix sums (a polynomial over random letters, modulo 2**64)."""
+    """Hash of any range of a buffer of bytes or word hashes from prefix sums (a polynomial over random letters, modulo
+    2**64)."""
 
     def __init__(self, raw: np.ndarray, which: int):
         self.power, self.inverse = _powers(len(raw) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_letters()[which][raw] * self.power[: len(raw)])])
+        letters = _letters()[which][raw] if raw.dtype == np.uint8 else _mix(raw + _letters()[which][0])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * self.power[: len(raw)])])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.inverse[a])
@@ -117,13 +123,21 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
             yield raw[c:d], np.array([0, d - c]), np.array([i]), np.array([c - a])
 
 
-def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of a string column end to end and the n + 1 offsets of its rows."""
+    raw, offsets = text_bytes(texts)
+    starts, ends, first = words(raw, offsets)
+    return xxh64(raw, starts, ends), first
+
+
+def sampled(docs: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
     """(d1, d2, text) -> (d1, d2, gram, context, first, last) for every sampled position."""
+    units = word_hashes if by_word else text_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", STEP // 2):
             d1, d2 = (part.column(c).to_numpy() for c in ("d1", "d2"))
-            for raw, offsets, rows, places in _pieces(*text_bytes(part.column("t")), length):
+            for raw, offsets, rows, places in _pieces(*units(part.column("t")), length):
                 g, c, row, first, last = samples(raw, offsets, length, gram)
                 if len(g):
                     own = rows[row]
@@ -133,13 +147,15 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "d1 long, d2 long, gram long, context long, first long, last long")
 
 
-def _strings(rows: DataFrame, length: int) -> DataFrame:
+def _strings(rows: DataFrame, length: int, by_word: bool = False) -> DataFrame:
     """(text, runs of (rep, first, last)) -> (h, rep, shift) for every string that starts in a run."""
+    units = word_hashes if by_word else text_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            for t, runs in zip(part.column("t").to_pylist(), part.column("runs").to_pylist()):
-                raw = np.frombuffer((t or "").encode(), np.uint8)
+            whole, offsets = units(part.column("t"))
+            for k0, k1, runs in zip(offsets.tolist(), offsets[1:].tolist(), part.column("runs").to_pylist()):
+                raw = whole[k0:k1]
                 for k in range(0, len(runs), 2000):
                     some = runs[k : k + 2000]
                     a, b = min(r["first"] for r in some), max(r["last"] for r in some) + length
@@ -154,12 +170,12 @@ def _strings(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "h long, rep long, shift int")
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, by_word: bool = False) -> DataFrame:
     """(d1, d2, t, ...) -> (d1, d2, runs): for each text that has any, the intervals (first, last) of the starts of
-    strings that occur elsewhere too.
+    strings (by_word: runs of `length` words) that occur elsewhere too.
 
     The result is a plan over docs as a whole: a caller that joins it with docs shuffles the texts once for both."""
-    found = written(sampled(docs.select("d1", "d2", "t").filter(F.octet_length("t") >= length), length, gram), "samples")
+    found = written(sampled(docs.select("d1", "d2", "t").filter(F.octet_length("t") >= length), length, gram, by_word), "samples")
     classes = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"))
     classes = written(classes, "contexts")
     grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select(F.col("gram").alias("g"))
@@ -171,7 +187,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     by_text = reps.groupBy(F.col("d1").alias("_1"), F.col("d2").alias("_2")).agg(F.collect_list(F.struct("rep", "first", "last")).alias("runs"))  # of one text
     texts = docs.join(by_text, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))).dropDuplicates(["d1", "d2"])
     single = reps.filter("n = 1").select(F.col("rep").alias("one"), "d1", "d2", "first")
-    twice = _strings(texts, length).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1").select("rep", "shift")
+    twice = _strings(texts, length, by_word).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1").select("rep", "shift")
     hit = twice.join(single, F.col("rep") == F.col("one")).select("d1", "d2", F.struct((F.col("first") + F.col("shift")).alias("first"), (F.col("first") + F.col("shift")).alias("last")).alias("run"))
     return settled.union(hit).groupBy("d1", "d2").agg(F.collect_set("run").alias("runs"))  # of one text
 
@@ -179,23 +195,29 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 _ADDED = [StructField("kept_bytes", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())]
 
 
-def _cut(t: str | None, runs: list[dict] | None, length: int) -> tuple[bytes, int, int, int]:
+def _cut(t: str | None, runs: list[dict] | None, length: int, word_runs: list[dict] | None = None, n_words: int = 0) -> tuple[bytes, int, int, int]:
     raw = (t or "").encode()
-    if not runs:
+    if not runs and not word_runs:
         return raw, len(raw), 0, 0
     edge = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(edge, [r["first"] for r in runs], 1)
-    np.add.at(edge, [r["last"] + length for r in runs], -1)
+    if runs:
+        np.add.at(edge, [r["first"] for r in runs], 1)
+        np.add.at(edge, [r["last"] + length for r in runs], -1)
+    if word_runs:
+        starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        np.add.at(edge, starts[[r["first"] for r in word_runs]], 1)
+        np.add.at(edge, ends[[r["last"] + n_words - 1 for r in word_runs]], -1)
     gone = np.cumsum(edge[:-1]) > 0
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), spans
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", give: str = "kept_bytes") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", give: str = "kept_bytes", n_words: int = 0) -> DataFrame:
     """docs without `text`, plus n_bytes, n_removed, n_spans and, by `give`, the remaining bytes: as kept_bytes, as
     kept_sha256 (lower-case hex) or as kept_text (UTF-8; parts of a character that a cut left over are dropped).
 
-    Every byte that lies in a string of `length` bytes which starts anywhere else too is removed, in all copies.
+    Every byte that lies in a string of `length` bytes which starts anywhere else too is removed, in all copies; with
+    n_words also every run of so many words that stands anywhere else too, from its first word to its last.
     Null and short texts lose nothing; repeated rows count as occurrences of each other; ids and other columns are
     not looked at and stay; columns named like outputs are replaced. An empty table gives an empty result.
     """
@@ -204,7 +226,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     one = [f"__{i}" for i in range(len(keep))]
     base = docs.select(*(F.col(c).alias(a) for c, a in zip(keep, one)), F.col(text).alias("t"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
     runs = repeated_runs(base, length, gram).select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "runs")
-    joined = base.join(runs, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(*one, "t", "runs")
+    joined = base.join(runs, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    if n_words:
+        spoken = repeated_runs(base, n_words, max(1, round(n_words * WORD_GRAM)), by_word=True).select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), F.col("runs").alias("word_runs"))
+        joined = joined.join(spoken, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), "left")
+    else:
+        joined = joined.withColumn("word_runs", F.lit(None).cast("array<struct<first:bigint,last:bigint>>"))
+    joined = joined.select(*one, "t", "runs", "word_runs")
     shown = {"kept_bytes": (BinaryType(), pa.binary(), bytes), "kept_sha256": (StringType(), pa.string(), lambda x: hashlib.sha256(x).hexdigest()), "kept_text": (StringType(), pa.string(), lambda x: x.decode("utf-8", "ignore"))}
     kind, arrow, show = shown[give]
     added = [StructField(give, kind), *_ADDED[1:]]
@@ -212,7 +240,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            made = [_cut(t, r, length) for t, r in zip(part.column("t").to_pylist(), part.column("runs").to_pylist())]
+            made = [_cut(t, r, length, w, n_words) for t, r, w in zip(*(part.column(c).to_pylist() for c in ("t", "runs", "word_runs")))]
             head = pa.array([show(x[0]) for x in made], arrow)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in one), head, *(pa.array([x[k] for x in made], pa.int64()) for k in (1, 2, 3))], names=schema.names)
 

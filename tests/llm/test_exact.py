@@ -220,6 +220,31 @@ def test_passages(spark, length, gram):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == collections.Counter((i % 30 or None, *c) for i, c in enumerate(cut(rows, length)))
 
 
+def test_repeated_words_are_cut(spark):
+    own = random.Random(3)
+    fresh = lambda n: [f"{own.randrange(10**5)}" for _ in range(n)]
+    shared = {n: fresh(n) for n in (20, 50, 51, 57, 63, 90)}
+    rows = [fresh(own.randrange(200)) for _ in range(20)]
+    for n, run in shared.items():
+        for gap in (" ", "\n"):
+            rows.append(fresh(own.randrange(1, 80)) + [gap.join(run)] + fresh(own.randrange(1, 80)))
+    rows.append(fresh(9) + shared[90][20:75] + fresh(9))
+    rows += [["common", "line"] * 60, fresh(5) + ["common", "line"] * 40]
+    texts = [" ".join(r) for r in rows]
+    split_ = [split(t) for t in texts]
+    seen = collections.Counter(tuple(w[i : i + 51]) for w in split_ for i in range(len(w) - 50))
+    want = []
+    for w in split_:
+        gone = {i + j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(51)}
+        want.append([x for i, x in enumerate(w) if i not in gone])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: split(r.kept_text) for r in passages.without_repeats(df, length=10**4, gram=200, give="kept_text", n_words=51).collect()}
+    assert got == dict(enumerate(want)) and want != split_
+    pipeline = pytest.importorskip("corpus_pipeline")
+    staged = {r.doc_id: split(r.text) for r in pipeline.repeated_passages(spark, df.withColumn("n_chars", F.length("text")), "").collect()}
+    assert all(len(staged[i]) <= len(w) for i, w in enumerate(want)) and sum(map(len, staged.values())) >= sum(map(len, want)) - 4
+
+
 def test_passages_empty(empty):
     assert passages.without_repeats(empty).count() == 0
 
