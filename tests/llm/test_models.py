@@ -129,6 +129,20 @@ def test_wrappers(spark):
     assert wrappers.extracted(df.limit(0)).count() == 0
 
 
+def wrapped(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(wrappers.extracted(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_every_template_of_a_host_keeps_its_text(spark):
+    makes = [lambda i: f"<body><main><article><p>Alpha {i} {'long ' * 40}</p></article></main></body>", lambda i: f"<body><div><article><p>Beta {i}</p></article></div></body>", lambda i: f"<body><nav>menu</nav><div><h1>Gamma {i}</h1></div><div><p>body {i} {'text ' * 30}</p></div><div><p>Owner</p></div></body>", lambda i: f"<body><article class='a'><p>One {i}</p></article><article class='b'><p>Two {i}</p></article></body>"]
+    for url in ("http://two.example/{}", None):
+        pages = [(url and url.format(i), makes[i % 4](i)) for i in range(16)]
+        for i, text in enumerate(wrapped(spark, pages)):
+            want = [[f"Alpha {i} {'long ' * 40}".strip()], [f"Beta {i}"], [f"Gamma {i}", f"body {i} {'text ' * 30}".strip(), "Owner"], [f"One {i}", f"Two {i}"]]
+            assert text.split("\n") == want[i % 4]
+
+
 def test_merge_makes_options_and_keeps_order():
     trees = [wrappers._tree(s) for s in ("^(body(h1 p ul(li)))", "^(body(h1 div p))", "^(body(p))")]
     whole = wrappers.merge(wrappers.merge(trees[0], trees[1]), trees[2])
