@@ -143,6 +143,18 @@ def test_every_template_of_a_host_keeps_its_text(spark):
             assert text.split("\n") == want[i % 4]
 
 
+def test_copies_and_rare_slots_are_no_template(spark):
+    copies = [(f"http://c.example/{k}", f"<body><div><h1>Head</h1><p>Text of {k // 4} {'more ' * 9}</p></div></body>") for k in range(4)]
+    assert all(t.split("\n")[0] == "Head" for t in wrapped(spark, copies))
+    rare = [(f"http://r.example/{k}", f"<body><div><p>Page {k} {'more ' * 9}</p>{'<pre>same code</pre>' if k < 3 else ''}</div><div class='x'>Owner</div></body>") for k in range(40)]
+    got = wrapped(spark, rare)
+    assert all(("same code" in t) == (k < 3) for k, t in enumerate(got)) and not any("Owner" in t for t in got)
+    cells = [(f"http://t.example/{k}", f"<body><div><p>Page {k} {'more ' * 9}</p>{'<table><tr><td>Yes<td>Yes<td>Yes</table>' if not k else ''}</div></body>") for k in range(5)]
+    assert wrapped(spark, cells)[0].count("Yes") == 3
+    article = [(f"http://a.example/{k}", f"<body><article><h1>Daily</h1><p>Page {k} {'more ' * 9}</p></article></body>") for k in range(5)]
+    assert all(t.startswith("Daily\n") for t in wrapped(spark, article))
+
+
 def test_merge_makes_options_and_keeps_order():
     trees = [wrappers._tree(s) for s in ("^(body(h1 p ul(li)))", "^(body(h1 div p))", "^(body(p))")]
     whole = wrappers.merge(wrappers.merge(trees[0], trees[1]), trees[2])
