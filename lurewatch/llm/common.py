@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,17 +11,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a task's memory whatever the batch size.
 STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Set to a temporary folder only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share, as spark.checkpoint.dir names it. A local session that names none (tests) uses a
+    folder in its warehouse; a cluster must name one."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="lurewatch-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        where = context.getCheckpointDir()
     return where.rstrip("/")
 
 
@@ -183,3 +187,20 @@ def xxh64(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42)
     for i in huge.tolist():
         h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
     return h
+
+
+#: rows up to which a counted side is broadcast (about 60 bytes a row); copies of a larger one that a hot key is spread over
+BROADCAST_ROWS, SALTS = 200_000, 16
+
+
+def looked_up(rows: DataFrame, found: DataFrame, size: int, left: F.Column, right: str, how: str) -> DataFrame:
+    """rows joined (left or left_semi) with found on left = found.right, found being distinct in `right`. A side of
+    counted `size` that allows it is broadcast; a larger one is copied SALTS times and rows are dealt by key and salt, so
+    that a key with a third of all rows is no single task."""
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), left == F.col(right), how)
+    number = F.monotonically_increasing_id()
+    deal = F.when(left.isNull(), number + SALTS).otherwise(F.pmod(number, F.lit(SALTS)))  # a null key meets nothing
+    spread = found.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    out = rows.withColumns({"__salt": deal, "__left": left}).join(spread, (F.col("__left") == F.col(right)) & (F.col("__salt") == F.col("__copy")), how)
+    return out.drop("__salt", "__left", "__copy")

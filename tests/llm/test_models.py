@@ -155,18 +155,57 @@ def test_copies_and_rare_slots_are_no_template(spark):
     assert all(t.startswith("Daily\n") for t in wrapped(spark, article))
 
 
-def test_merge_makes_options_and_keeps_order():
-    trees = [wrappers._tree(s) for s in ("^(body(h1 p ul(li)))", "^(body(h1 div p))", "^(body(p))")]
-    whole = wrappers.merge(wrappers.merge(trees[0], trees[1]), trees[2])
-    flat = wrappers._flat(whole)
-    assert [s for s, _ in flat] == ["^", "body", "h1", "div", "p", "ul", "li"]
-    for t in trees:
-        assert [flat[i][0] for i in wrappers.located(t, whole)] == [s for s, _ in wrappers._flat(t)]
+def plain(i, body, menu="Home Shop Blog", tail="All rights reserved"):
+    """A page without article and without a telling class name."""
+    return f"<html><body><div class='a1'><div>{menu}</div><ul><li>News</li><li>Help</li></ul></div><div class='b2'><h1>Title {i}</h1>{body}</div><div class='c3'><p>{tail}</p></div></body></html>"
+
+
+def test_the_wrapper_decides_where_no_tag_or_class_tells(spark, monkeypatch):
+    pages = [(f"http://w.example/{k}", plain(k, "".join(f"<p>Text {k} {j}</p>" for j in range(1 + k % 4)))) for k in range(12)]
+    want = ["\n".join([f"Title {k}", *(f"Text {k} {j}" for j in range(1 + k % 4))]) for k in range(12)]
+    assert wrapped(spark, pages) == want
+    # every page twice over, and on a second host with one page alone nothing is known of a template
+    assert wrapped(spark, pages * 2) == want * 2
+    assert "Home Shop Blog" in wrapped(spark, [("http://single.example/", pages[0][1])])[0]
+    monkeypatch.setattr(wrappers, "FEWEST", 10**9)  # the wrapper off
+    assert all("Home Shop Blog" in t and "All rights reserved" in t for t in wrapped(spark, pages))
+
+
+def test_template_join_without_broadcast(spark, monkeypatch):
+    from lurewatch.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    pages = [(f"http://w.example/{k}", plain(k, f"<p>Text {k}</p>")) for k in range(8)] + [(None, None), ("http://x.example/", "<article>A</article>")]
+    assert wrapped(spark, pages) == [f"Title {k}\nText {k}" for k in range(8)] + ["", "A"]
+
+
+def test_only_the_template_left(spark):
+    pages = [(f"http://p.example/{k}", "<body><div>Gone</div></body>" + "<p></p>" * k) for k in range(6)] + [(f"http://p.example/x{k}", f"<body><div>Gone</div><p>{k}</p></body>") for k in range(6)]
+    assert wrapped(spark, pages) == ["Gone"] * 6 + [str(k) for k in range(6)]
+
+
+def test_inferred_expression(spark):
+    pages = ["<body><h1>A</h1><p>x</p><p>y</p><div>Owner</div></body>", "<body><h1>B</h1><p>z</p><div>Owner</div></body>", "<body><h1>C</h1><ul><li>1<li>2</ul><div>Owner</div></body>"]
+    df = spark.createDataFrame([(f"http://e.example/{i}", h) for i, h in enumerate(pages * 2)], "url string, html string")
+    assert wrappers.expression(wrappers.infer(df).collect()) == '(body (div "text")? (div "text")? (h1 #text) (p #text)* (ul (li #text)+)?)'
+    assert wrappers.infer(df.limit(0)).count() == 0
 
 
 def test_repeats_fold():
-    a, blocks = wrappers.parse("<div><h2>1</h2><p>a<p>b<h2>2</h2><p>c</div>")
-    assert a == "^(div(h2 p))" and [s for s, _ in blocks] == [2, 3, 3, 2, 3]
+    blocks, nodes = wrappers.parse("<div><h2>1</h2><p>a<p>b<h2>2</h2><p>c</div>")
+    places = [n for n, _, _ in blocks]
+    assert places[1] == places[2] == places[4] and [t for _, _, t in blocks] == ["1", "a", "b", "2", "c"]
+    assert [(n[2], n[3]) for n in nodes] == [("div", 1), ("h2", 1), ("p", 3), ("h2", 1)]
+
+
+@pytest.mark.parametrize("page,text", [("<div>" * 100_000 + "deep", "deep"), ("<a " * 300_000, None), ("<!" * 300_000, None), ("<" * 300_000, None), ("</div>" * 200_000 + "x", "x"), ("<b><i>" * 100_000 + "y", "y"), ('<a ="\'>' * 100_000 + "z", None), ('<p ="><p ="' * 100_000 + ">z", None), ("<p class=" + "a" * 1_000_000 + ">w", "w"), ("<p " + "a" * 1_000_000 + ">w", "w"), ("".join(f"<x{k}><div class=u{k}>v</div>" for k in range(30_000)), "\n".join(["v"] * 30_000)), ("<p>" + "word " * 2_000_000, ("word " * 2_000_000).strip()), ("<script>" * 1000 + "lost", ""), ("<!-- open", ""), ("a < b <3 c", "a < b <3 c"), ("<div><p>x</b></div></div></p>y", "x\ny")])
+def test_deep_long_and_broken_pages(page, text):
+    import time
+
+    began = time.time()
+    blocks, _ = wrappers.parse(page)
+    assert time.time() - began < 10
+    assert text is None or "\n".join(t for _, _, t in blocks) == text
 
 
 # ---- pipeline ----
