@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import slices, table, text_bytes, words, written
+from .common import slices, table, text_bytes, words, written, xxh64
 
 GRAMS, SHAPES, STEPS = 1 << 16, 64 * 64, 20
 DIM = GRAMS + SHAPES + 2 * STEPS
@@ -38,13 +38,11 @@ def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     for kind in _KIND:
         total = np.concatenate([[0], np.cumsum(kind[raw], dtype=np.int32)])
         has.append(total[ends] - total[starts])
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    # words that may equal the one before, by length and first byte, are compared by a hash of the whole word
     size = ends - starts
-    keep = np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
-    head = eight[starts] & keep
     same = np.zeros(len(starts), bool)
-    same[1:] = (head[1:] == head[:-1]) & (size[1:] == size[:-1])
+    may = np.flatnonzero((size[1:] == size[:-1]) & (raw[starts[1:]] == raw[starts[:-1]])) + 1
+    same[may] = xxh64(raw, starts[may], ends[may]) == xxh64(raw, starts[may - 1], ends[may - 1])
     up = has[0] > 0
     shape = up + 2 * (up & (has[0] > 1) & (has[4] == 0)) + 4 * (has[1] > 0) + 8 * (has[2] > 0) + 16 * same + 32 * (has[3] > 0)
     return shape.astype(np.int32), same
@@ -76,15 +74,16 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
         yield found
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, c: float = 0.1, epochs: int = 20, seed: int = 7) -> tuple[np.ndarray, float, float, float]:
-    """(weights, bias, slope, offset): score = sigmoid(slope * (sum of weights + bias) + offset). With one class
+def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, c: float = 0.1, epochs: int = 20, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """(weights, squared log-count ratios, bias, slope, offset): score = sigmoid(slope * (sum of weights / norm + bias) +
+    offset). A fifth of the rows gives slope and offset alone, ratios and weights come from the others. With one class
     only, weights are zero and the score is the smoothed share of label 1."""
     n1 = int((y == 1).sum())
     if n1 in (0, len(y)):
-        return np.zeros(DIM), 0.0, 0.0, float(np.log((n1 + 1) / (len(y) - n1 + 1)))
-    fitted = np.arange(len(y)) % 5 != 4
+        return np.zeros(DIM), np.zeros(DIM), 0.0, 0.0, float(np.log((n1 + 1) / (len(y) - n1 + 1)))
+    fitted = np.arange(len(y)) % 5 != 4 if len(set(y[np.arange(len(y)) % 5 != 4])) == 2 else np.ones(len(y), bool)
     p, q = np.full(DIM, alpha), np.full(DIM, alpha)
-    for x, label in zip(rows, y):
+    for x, label in zip([x for x, f in zip(rows, fitted) if f], y[fitted]):
         (p if label == 1 else q)[x] += 1
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     sign = np.where(y == 1, 1.0, -1.0)
@@ -108,7 +107,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, c: float = 0.
         if moved < 1e-4:
             break
     margin = np.array([w[x] @ v + bias for x, v in zip(rows, values)])
-    held = ~fitted if len(set(y[~fitted])) == 2 else fitted
+    held = ~fitted if len(set(y[~fitted])) == 2 else fitted  # too few rows to set some apart
     a, b = 1.0, 0.0
     m, t = margin[held], (y[held] == 1).astype(float)
     good, bad = t.sum(), len(t) - t.sum()
@@ -122,7 +121,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, c: float = 0.
         a, b = a - np.clip(move[0], -2, 2), b - np.clip(move[1], -2, 2)
         if abs(move).max() < 1e-8:
             break
-    return w * r, bias, float(a), float(b)
+    return w * r, r**2, bias, float(a), float(b)
 
 
 def score_one(x: np.ndarray, scale: np.ndarray, model: tuple) -> float:
@@ -133,7 +132,7 @@ def score_one(x: np.ndarray, scale: np.ndarray, model: tuple) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text: str = "text") -> tuple:
     """Fit on labelled rows of docs for which `usable` (over the id column) holds. Labels of an id: the lowest
-    quality counts; null ids or labels are ignored; of rows that repeat an id one is used."""
+    quality counts; null ids or labels are ignored; ids may be of any type. Rows that repeat an id are fitted each."""
     marks = labels.filter(usable & F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("__y"))
     chosen = marks.orderBy(F.xxhash64(id_col), id_col).limit(max_rows).withColumnRenamed(id_col, "__k")
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(chosen), F.col("__id") == F.col("__k"))  # max_rows rows at most
@@ -141,20 +140,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, max_rows: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__t"):
             x = [f.astype(np.int32).tobytes() for f in features(part.column("__t"))]
-            yield pa.RecordBatch.from_arrays([part.column("__id").cast(pa.int64()), part.column("__y").cast(pa.int32()), pa.array(x, pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__y").cast(pa.int32()), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
-    coded = written(sample.select("__id", "__y", "__t").mapInArrow(encode, "id long, y int, x binary").dropDuplicates(["id"]), "nbsvm")
+    coded = written(sample.select(F.xxhash64("__id").alias("__id"), "__y", "__t").mapInArrow(encode, "id long, y int, x binary"), "nbsvm")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((i, y, x) for b in batches for i, y, x in zip(*(b.column(k).to_pylist() for k in range(3)))), key=lambda r: r[0])
+        rows = sorted(((i, y, x) for b in batches for i, y, x in zip(*(b.column(k).to_pylist() for k in range(3)))), key=lambda r: (r[0], r[2]))
         x = [np.frombuffer(r[2], np.int32) for r in rows]
         y = np.array([r[1] for r in rows])
-        w, bias, a, b = fit(x, y)
-        p, q = np.ones(DIM), np.ones(DIM)
-        for f, label in zip(x, y):
-            (p if label == 1 else q)[f] += 1
-        r = np.log(p / p.sum()) - np.log(q / q.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([(r**2).tobytes()]), pa.array([bias]), pa.array([a]), pa.array([b])], names=["w", "scale", "bias", "a", "b"])
+        w, scale, bias, a, b = fit(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([scale.tobytes()]), pa.array([bias]), pa.array([a]), pa.array([b])], names=["w", "scale", "bias", "a", "b"])
 
     row = coded.repartition(1).mapInArrow(solve, "w binary, scale binary, bias double, a double, b double").first()  # max_rows short rows in one task
     return np.frombuffer(row["scale"]), (np.frombuffer(row["w"]), row["bias"], row["a"], row["b"])
