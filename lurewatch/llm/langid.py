@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -22,6 +22,7 @@ from .common import slices, table, written
 
 DIM = 1 << 15
 PER_LANG = 1500
+CODED = ["id", "lang", "at", "n", "bin", "df"]
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +87,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, alpha:
 
 def train(docs: DataFrame, usable: F.Column, per_lang: int = PER_LANG, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """Learn from rows of docs for which `usable` holds and lang is not null. Rows with a null id or text count
-    towards document frequencies alone. No usable row gives a model that answers `und`."""
+    towards document frequencies alone; of rows that repeat id and lang one is fitted; ids may be of any type. No usable
+    row gives a model that answers `und`."""
     rows = docs.filter(usable & F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.filter("id is not null and t is not null").select("id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
-    chosen = written(chosen.select(F.col("id").alias("k")).distinct().withColumn("picked", F.lit(True)), "langid-sample")
-    marked = rows.join(F.broadcast(chosen), rows.id == chosen.k, "left").select("id", "lang", "t", "picked")  # per_lang rows a language at most
+    # of each language the rows of least hash: a cut that a count of hash ranges gives, so no language is one task's group
+    usable_rows = rows.filter("id is not null and t is not null").select("lang", F.xxhash64("id").alias("h"))
+    totals = {r["lang"]: r["n"] for r in usable_rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
+    names = sorted(totals)
+    if not names:
+        return {"names": [], "idf": np.ones(DIM), "w": np.zeros((DIM + 1, 0), np.float32)}
+    share = {name: min(1.0, (per_lang + 6 * per_lang**0.5 + 20) / n) for name, n in totals.items()}  # of hashes, six deviations beyond the need
+    cut = F.create_map(*[x for name in names for x in (F.lit(name), F.lit(int(share[name] * (1 << 62))))])
+    near = F.shiftrightunsigned(F.xxhash64("id"), 2) <= cut[F.col("lang")]
+    marked = rows.withColumn("picked", F.coalesce(near & F.col("id").isNotNull() & F.col("t").isNotNull(), F.lit(False))).select(F.xxhash64("id").alias("id"), "lang", "t", "picked")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, np.int64), 0
-        names = ["id", "lang", "at", "n"]
         for part in slices(batches, "t"):
             out = []
             for i, name, t, picked in zip(*(part.column(c).to_pylist() for c in ("id", "lang", "t", "picked"))):
@@ -104,35 +111,32 @@ def train(docs: DataFrame, usable: F.Column, per_lang: int = PER_LANG, id_col: s
                 n += 1
                 if picked:
                     out.append((i, name, at.astype(np.int32).tobytes(), c.astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64())], names=CODED)
         used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([None], pa.string()), pa.array([used.astype(np.int32).tobytes()]), pa.array([df[used].astype(np.int64).tobytes()])], names=names)
+        bins, sums = np.append(used, DIM), np.append(df[used], n)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(bins), kind) for kind in (pa.int64(), pa.string(), pa.binary(), pa.binary())), pa.array(bins.astype(np.int32)), pa.array(sums)], names=CODED)
 
-    coded = written(marked.mapInArrow(collect, "id long, lang string, at binary, n binary"), "langid-rows")
-    names = [r[0] for r in coded.filter("lang is not null").select("lang").distinct().orderBy("lang").collect()]
+    coded = written(marked.mapInArrow(collect, "id long, lang string, at binary, n binary, bin int, df long"), "langid-rows")
+    sums = coded.filter("bin is not null").groupBy("bin").agg(F.sum("df").alias("df")).toArrow()  # DIM + 1 rows at most
+    freq = np.zeros(DIM + 1)
+    freq[sums.column("bin").to_numpy()] = sums.column("df").to_numpy()
+    idf = np.log((1.0 + freq[DIM]) / (1.0 + freq[:DIM])) + 1.0
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, docs_ = np.zeros(DIM), 0, {}
+        held: dict[str, list] = {name: [] for name in names}
         for b in batches:
             for i, name, at, c in zip(*(b.column(k).to_pylist() for k in range(4))):
-                at = np.frombuffer(at, np.int32)
-                if name is None:
-                    df[at] += np.frombuffer(c, np.int64)
-                    n += i
-                else:
-                    docs_[i, name] = (at, np.frombuffer(c, np.int32))
-        idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-        keys = sorted(docs_)
-        rows_ = [(docs_[k][0], weighted(*docs_[k], idf)) for k in keys]
-        y = np.array([names.index(k[1]) for k in keys])
-        rng = np.random.default_rng(3).permutation(len(keys))
+                held[name].append((np.uint64(i % 2**64), at, c))
+        docs_ = [(name, *(np.frombuffer(x, np.int32) for x in r[1:])) for name in names for r in sorted(held[name])[:per_lang]]
+        rows_ = [(at, weighted(at, c, idf)) for _, at, c in docs_]
+        y = np.array([names.index(d[0]) for d in docs_])
+        rng = np.random.default_rng(3).permutation(len(docs_))
         w, t = fit([rows_[i] for i in rng], y[rng], len(names))
-        yield pa.RecordBatch.from_arrays([pa.array([idf.tobytes()]), pa.array([(w / t).astype(np.float32).tobytes()])], names=["idf", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array([(w / t).astype(np.float32).tobytes()])], names=["w"])
 
-    if not names:
-        return {"names": [], "idf": np.ones(DIM), "w": np.zeros((DIM + 1, 0), np.float32)}
-    row = coded.repartition(1).mapInArrow(solve, "idf binary, w binary").first()  # the bounded sample and one row of sums a task
-    return {"names": names, "idf": np.frombuffer(row["idf"]), "w": np.frombuffer(row["w"], np.float32).reshape(DIM + 1, -1)}
+    sample = coded.filter("bin is null").select("id", "lang", "at", "n").dropDuplicates(["id", "lang"])
+    row = sample.repartition(1).mapInArrow(solve, "w binary").first()  # the bounded sample: a little over per_lang rows a language
+    return {"names": names, "idf": idf, "w": np.frombuffer(row["w"], np.float32).reshape(DIM + 1, -1)}
 
 
 def predicted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
