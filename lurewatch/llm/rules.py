@@ -1,11 +1,15 @@
 """Quality rules whose cutoffs are risk-controlled on labelled documents.
 
-A rule rejects a document when a statistic exceeds a cutoff. For each rule and stratum (a band of document length)
-the cutoff moves along a fixed grid from lenient to strict. A step is taken while the exact binomial test on the
-labelled good documents of the stratum shows a false rejection rate below `risk`: P(Bin(n, risk) <= rejected) must
-not exceed delta / (rules * strata), which is the same as an exact (Clopper-Pearson) upper bound below `risk`.
-The grid is a fixed sequence that stops at its first failure, so it needs no correction of its own; rules and
-strata are corrected by Bonferroni. Where labels are too few no step is certified and the rule never rejects.
+A rule rejects a document when a statistic exceeds a cutoff. What is certified, in each stratum (a band of document
+length), is the union of all rules: of good documents that pass the base rules at most a share `risk` may be rejected.
+
+The labelled good documents of a stratum fall into two halves by a hash of their id. One half proposes nested settings,
+from lenient to strict: at level q each rule takes the strictest cutoff of its grid that rejects at most a share q of
+that half. The other half tests the settings in that order: a setting holds if P(Bin(n, risk) <= rejected) does not exceed
+delta / strata, which is the same as an exact (Clopper-Pearson) upper bound below `risk`. The order is fixed before the
+second half is looked at and testing stops at the first failure, so it needs no correction of its own; strata are
+corrected by Bonferroni. With probability 1 - delta no stratum loses more than `risk` of its good documents. Where labels
+are too few, nothing is certified and the rules never reject.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import slices, table, text_bytes, words, written, xxh64
+from .common import looked_up, slices, table, text_bytes, words, written, xxh64
 
 #: rule -> cutoffs from lenient to strict
 GRIDS = {
@@ -30,6 +34,8 @@ GRIDS = {
     "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
     "bang_ratio": (2.0, 1.5, 1.0, 0.75, 0.5, 0.25),
 }
+#: shares of the proposing half that one rule may reject, from lenient to strict
+LEVELS = (0.0, 0.001, 0.002, 0.004, 0.006, 0.01, 0.015)
 #: lower ends of the strata, in words
 STRATA = (0, 200, 800)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -157,22 +163,33 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, p: Risk = Risk(), id_col: str = "doc_id") -> dict[tuple[str, int], float]:
-    """(rule, stratum) -> certified cutoff; inf where none is. Labels of an id: the lowest quality counts; rows with
-    a null id or quality are ignored. Every labelled document that passes the base rules is a holdout row."""
+    """(rule, stratum) -> cutoff of the strictest certified setting; inf where there is none. Labels of an id: the lowest
+    quality counts; rows with a null id or quality are ignored. Every labelled good document that passes the base rules is
+    a holdout row; rows that repeat an id are in one half."""
     good = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__l")).agg(F.min("quality").alias("__q")).filter("__q = 1")
     held = stats.filter(~base_failed(p)).join(good, stats[id_col] == good["__l"], "left_semi")
+    held = written(held.select(_stratum(F.col("n_words")).alias("s"), (F.xxhash64(id_col) % 2 == 0).alias("proposes"), *GRIDS), "holdout")
     counts = [F.count_if(F.col(rule) > cut).alias(f"{rule}_{i}") for rule, grid in GRIDS.items() for i, cut in enumerate(grid)]
-    rows = {r["s"]: r for r in held.groupBy(_stratum(F.col("n_words")).alias("s")).agg(F.count(F.lit(1)).alias("n"), *counts).collect()}
-    level = p.delta / (len(GRIDS) * len(STRATA))
-    found = {}
-    for rule, grid in GRIDS.items():
-        for s in range(len(STRATA)):
-            best = math.inf
-            for i, cut in enumerate(grid):
-                if s not in rows or binomial_tail(rows[s][f"{rule}_{i}"], rows[s]["n"], p.risk) > level:
+    rows = {r["s"]: r for r in held.filter("proposes").groupBy("s").agg(F.count(F.lit(1)).alias("n"), *counts).collect()}
+    settings: dict[int, list[dict[str, float]]] = {}
+    for s, r in rows.items():
+        for q in LEVELS:
+            one = {}
+            for rule, grid in GRIDS.items():
+                fine = [cut for i, cut in enumerate(grid) if r[f"{rule}_{i}"] <= q * r["n"]]
+                one[rule] = min(fine, default=math.inf)
+            if not settings.get(s) or one != settings[s][-1]:
+                settings.setdefault(s, []).append(one)
+    over = lambda one: F.greatest(*[(F.col(rule) > cut).cast("int") if cut < math.inf else F.lit(0) for rule, cut in one.items()], F.lit(0))
+    tests = [F.sum(F.when(F.col("s") == s, over(one)).otherwise(0)).alias(f"t{s}_{k}") for s in sorted(settings) for k, one in enumerate(settings[s])]
+    found = {(rule, s): math.inf for rule in GRIDS for s in range(len(STRATA))}
+    if tests:
+        row = held.filter("not proposes").agg(*[F.count_if(F.col("s") == s).alias(f"n{s}") for s in sorted(settings)], *tests).first()
+        for s in settings:
+            for k, one in enumerate(settings[s]):
+                if not row[f"n{s}"] or binomial_tail(row[f"t{s}_{k}"], row[f"n{s}"], p.risk) > p.delta / len(STRATA):
                     break
-                best = cut
-            found[rule, s] = best
+                found |= {(rule, s): cut for rule, cut in one.items()}
     return found
 
 
@@ -196,11 +213,16 @@ def assess(docs: DataFrame, labels: DataFrame, p: Risk = Risk(), id_col: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: Risk = Risk(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that `assess` keeps, with their own columns."""
-    labelled = docs.join(labels.select(F.col(id_col).alias("__l")).distinct(), docs[id_col] == F.col("__l"), "left_semi")
+    """The rows of docs that `assess` keeps, with their own columns, whatever their names; null texts fail the base rules,
+    repeated rows and ids are judged each, an empty table stays empty, and no labels leave the base rules alone."""
+    ids = written(labels.select(F.col(id_col).alias("__l")).distinct(), "labelled")
+    labelled = looked_up(docs.select(id_col, text), ids, ids.count(), F.col(id_col), "__l", "left_semi")
     stats = measured(labelled.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).drop("text")
     cutoffs = fit_cutoffs(stats, labels.withColumnRenamed(id_col, "doc_id"), p)
-    return measured(docs, text, "__").filter(verdict(cutoffs, p, "__")).select(*docs.columns)
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return measured(docs, text, prefix).filter(verdict(cutoffs, p, prefix)).select(*docs.columns)
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
