@@ -5,7 +5,8 @@ such a stream once, from front to back and in bounded pieces, and rewrites every
 own. It writes a sidecar index (one JSON line a record: offset, length, type, record id, digest) beside the new
 archive and returns the same rows as a DataFrame, so that any record can be read alone.
 
-Files go to a folder all executors share, under names that no other attempt uses; only files that a finished task
+Files go to a folder all executors share, which a file system of pyarrow opens (local, hdfs, viewfs, s3, gs, abfs), under
+names that no other attempt uses; only files that a finished task
 reported are read, so a retried or lost task leaves nothing that counts.
 """
 
@@ -23,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table, written
+from .common import looked_up, shared_dir, slices, table, written
 
 _PIECE = 1 << 18
 INDEX = "archive string, offset long, length long, record_id string, record_type string, payload_digest string"
@@ -42,14 +43,15 @@ def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload. Of rows with equal payloads of at least `least_bytes` bytes, the largest page_id
     is the response and the others revisit it; rows that repeat this page_id are responses too, and a row without a
-    page_id revisits unless no row of its class has one.
+    page_id revisits unless no row of its class has one. A payload that a third of all pages share is no single task:
+    digests are counted before the shuffle, and the rows look their class up (`looked_up`).
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
     large = rows.filter(F.octet_length("payload") >= least_bytes)
     several = large.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    several = several.select(F.col("payload_digest").alias("d"), "first")
-    joined = rows.join(several, (rows.payload_digest == several.d) & (F.octet_length("payload") >= least_bytes), "left")
+    several = written(several.select(F.col("payload_digest").alias("d"), "first"), "several")
+    joined = looked_up(rows, several, several.count(), F.when(F.octet_length("payload") >= least_bytes, F.col("payload_digest")), "d", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
