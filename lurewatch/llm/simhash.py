@@ -7,8 +7,10 @@ bit moves one count by one. Counts are held in thermometer code (0 -> 00, 1 -> 0
 
 The grid cuts the 32 dimensions into radius + agree runs. Within Manhattan distance `radius` at most `radius` runs
 differ, so `agree` runs match at least: a cell is the choice of so many runs and their counts, and all pairs within
-the radius share a cell. A larger `agree` makes more cells of fewer chance meetings (5: 126 cells a fingerprint,
-25 bits each) and should grow with the logarithm of the corpus. Work stays in proportion to the links that matter:
+the radius share a cell (known by a hash; where two cells collide, a pair is looked at for nothing). A larger `agree`
+makes more cells of fewer chance meetings; `cells_to_agree` takes it from the number of fingerprints, so it grows with
+the logarithm of the corpus. Cells of one fingerprint go before any join, by a pre-aggregated least and largest member.
+Work stays in proportion to the links that matter:
 
 1. equal fingerprints are one node, however many documents carry them;
 2. members of a cell are first compared with two members of the cell alone, its least and its largest;
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, slices, table, text_bytes, words, written, xxh64
+from .common import looked_up, lower_ascii, slices, table, text_bytes, words, written, xxh64
 from .components import components
 from .decontaminate import sized
 
@@ -134,21 +136,29 @@ def _close(a: str, b: str, radius: int) -> F.Column:
     return bound & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius)
 
 
-def linked(fps: DataFrame, radius: int = 4, agree: int = 5) -> DataFrame:
+def cells_to_agree(n: int, radius: int) -> int:
+    """`agree` of least work for n fingerprints: cells a fingerprint, and what it meets in them by chance (a segment of
+    random bits agrees with a chance of 3/8), a meeting counted as four cells."""
+    cost = lambda a: math.comb(radius + a, radius) * (1 + 4 * n * 0.375 ** (32 * a / (radius + a)))
+    return min(range(1, 29 - radius), key=cost)
+
+
+def linked(fps: DataFrame, radius: int = 4, agree: int | None = None) -> DataFrame:
     """Distinct longs `fp` -> (node, root) for all that have a link at `radius` differing bits or fewer."""
-    masks = F.array(*[F.lit(m) for m in cell_masks(radius, agree)])
-    cells = fps.select("fp", F.posexplode(masks).alias("c", "mask")).select("fp", "c", embedding(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"))
-    whole = Window.partitionBy("c", "cell")
-    cells = written(cells.select("c", "cell", "fp", F.min("fp").over(whole).alias("lo"), F.max("fp").over(whole).alias("hi")).filter("lo < hi"), "cells")
-    ends = [cells.filter((F.col("fp") != F.col(p)) & _close("fp", p, radius)).select(F.col("fp").alias("u"), F.col(p).alias("v")) for p in ("lo", "hi")]
-    roots = components(ends[0].union(ends[1]))
-    named = cells.join(roots, cells.fp == roots.node, "left").select("c", "cell", "fp", F.coalesce("root", "fp").alias("root"))
+    masks = F.array(*[F.lit(m) for m in cell_masks(radius, agree or cells_to_agree(fps.count(), radius))])
+    all_ = fps.select("fp", F.posexplode(masks).alias("c", "mask")).select("fp", F.xxhash64("c", embedding(F.col("fp")).bitwiseAND(F.col("mask"))).alias("cell"))
+    ends = all_.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
+    ends = written(ends, "shared-cells")
+    cells = written(looked_up(all_, ends.withColumnRenamed("cell", "m"), ends.count(), F.col("cell"), "m", "inner").select("cell", "fp", "lo", "hi"), "cells")
+    near = [cells.filter((F.col("fp") != F.col(p)) & _close("fp", p, radius)).select(F.col("fp").alias("u"), F.col(p).alias("v")) for p in ("lo", "hi")]
+    roots = components(near[0].union(near[1]))
+    named = cells.join(roots, cells.fp == roots.node, "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")
-    mixed = named.groupBy("c", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("c", "cell")
-    open_ = named.join(mixed, ["c", "cell"])
-    left = open_.select("c", "cell", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    right = open_.select("c", "cell", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, ["c", "cell"]).filter((F.col("ra") < F.col("rb")) & _close("a", "b", radius)).select(F.col("ra").alias("u"), F.col("rb").alias("v"))
+    mixed = named.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("cell")
+    open_ = named.join(mixed, "cell")
+    left = open_.select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    right = open_.select("cell", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    across = left.join(right, "cell").filter((F.col("ra") < F.col("rb")) & _close("a", "b", radius)).select(F.col("ra").alias("u"), F.col("rb").alias("v"))
     return components(across.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
