@@ -15,27 +15,37 @@ item is one shingle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import BROADCAST_ROWS, table, written
 
 WIDTH = 5
-#: rows up to which a checked side is broadcast (about 60 bytes a row); beyond it, the join shuffles
-BROADCAST_ROWS = 200_000
-
-
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if `rows`, its counted size, allows it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _words(text: str) -> str:
+    return f"array_remove(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), '')"
+
+
+def _runs(width: int, each: str = "{}") -> str:
+    """SQL: `each` of the hashes of the runs of `width` words of an array w, in order; i is the run's place."""
+    rest = "".join(f", w[i + {k}]" for k in range(1, width))
+    return f"transform(slice(w, 1, greatest(size(w) - {width - 1}, 0)), (x, i) -> {each.format(f'xxhash64(x{rest})')})"
+
+
 def _shingles(text: str, width: int) -> F.Column:
     """Hashes of the runs of `width` normalised words of a text column, in order."""
-    rest = ", ".join(f"w[i + {k}]" for k in range(1, width))
-    body = f"transform(slice(w, 1, greatest(size(w) - {width - 1}, 0)), (x, i) -> xxhash64(x{', ' + rest if rest else ''}))"
     # the outer transform binds the word array once
-    return F.expr(f"transform(array(array_remove(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), '')), w -> {body})[0]")
+    return F.expr(f"transform(array({_words(text)}), w -> {_runs(width)})[0]")
+
+
+def _all_shingles(text: str, widths: list[int]) -> F.Column:
+    """(width, total, p, hash) of all runs of each of the widths, from one splitting of the text."""
+    each = [_runs(k, f"named_struct('width', {k}, 'total', size(w) - {k - 1}, 'p', i, 'hash', {{}})") for k in widths]
+    return F.expr(f"transform(array({_words(text)}), w -> flatten(array({', '.join(each)})))[0]")
 
 
 def _fingerprint(hashes: str) -> F.Column:
@@ -45,9 +55,11 @@ def _fingerprint(hashes: str) -> F.Column:
 
 
 def _similarity(a: str, b: str) -> F.Column:
-    """Weighted Jaccard similarity of two arrays of hashes with repeats."""
+    """Weighted Jaccard similarity of two arrays of hashes with repeats. Where one side has none, the smaller of two counts
+    is 1 for every shared hash, and nothing needs to be counted."""
+    once = lambda x: f"size(array_distinct({x})) = size({x})"
     both = f"aggregate(transform(array_intersect({a}, {b}), x -> least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x)))), 0, (s, v) -> s + v)"
-    return F.expr(f"transform(array({both}), m -> m / (size({a}) + size({b}) - m))[0]")
+    return F.expr(f"transform(array(if({once(a)} or {once(b)}, size(array_intersect({a}, {b})), {both})), m -> m / (size({a}) + size({b}) - m))[0]")
 
 
 def items(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -71,14 +83,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
     n_items = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = wanted.select("item_id", "width", "n", F.explode(F.array_distinct("hashes")).alias("hash"))
     parts = sized(parts, n_items[1])
-    hits = None
-    for width in [r[0] for r in wanted.select("width").distinct().orderBy("width").collect()]:  # five values at most
-        runs = keyed.select("doc", "text_hash", _shingles("__t", width).alias("hs")).filter("size(hs) > 0")
-        at = runs.select("doc", "text_hash", F.size("hs").alias("total"), F.posexplode("hs").alias("p", "hash"))
-        some = at.join(parts.filter(F.col("width") == width).drop("width"), "hash").select("doc", "text_hash", "item_id", F.lit(width).alias("width"), "n", "total", "p")
-        hits = some if hits is None else hits.union(some)
-    if hits is None:
-        return docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash")).limit(0).crossJoin(wanted.select("item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("position")).limit(0))
+    widths = [r[0] for r in wanted.select("width").distinct().orderBy("width").collect()]  # five values at most
+    if not widths:
+        kind = wanted.schema["item_id"].dataType
+        return docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("position")).limit(0)
+    runs = keyed.select("doc", "text_hash", F.explode(_all_shingles("__t", widths)).alias("s")).select("doc", "text_hash", "s.*")
+    hits = runs.join(parts, ["width", "hash"]).select("doc", "text_hash", "item_id", "width", "n", "total", "p")
     hits = written(hits, "hits")
     # the most shingles a window and an item can share must reach `least` of their union
     held = F.least("n", "total")
@@ -87,9 +97,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
     likely = hits.groupBy(*pair).agg(F.count_distinct("p").alias("c"), F.first("n").alias("n"), F.first("total").alias("total")).filter(F.col("c") >= need).select(*(F.col(c).alias(f"_{c}") for c in pair))
     same = lambda names, mark="_": [F.col(c).eqNullSafe(F.col(mark + c)) for c in names]
     near = hits.join(likely, same(pair), "left_semi")
-    starts = F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("n") + 1), F.greatest(F.lit(0), F.least(F.col("p"), F.col("total") - F.col("n"))))
-    windows = near.dropDuplicates([*pair, "p"]).select(*pair, "width", "n", "total", F.explode(starts).alias("start"))
-    windows = windows.groupBy(*pair, "width", "n", "total", "start").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= need)
+    # a hit is in the windows that start at first..last; running sums over these ends count the hits of all windows
+    first, last = F.greatest(F.lit(0), F.col("p") - F.col("n") + 1), F.greatest(F.lit(0), F.least(F.col("p"), F.col("total") - F.col("n")))
+    step = lambda at, by: F.struct(at.alias("at"), F.lit(by).alias("by"))
+    edges = near.dropDuplicates([*pair, "p"]).select(*pair, "width", "n", "total", F.explode(F.array(step(first, 1), step(last + 1, -1))).alias("e"))
+    edges = edges.groupBy(*pair, "width", "n", "total", "e.at").agg(F.sum("e.by").alias("by"))
+    along = Window.partitionBy(*pair).orderBy("at")  # of one document and item
+    spans = edges.withColumns({"c": F.sum("by").over(along), "until": F.lead("at").over(along) - 1}).filter(F.col("c") >= need)
+    windows = spans.select(*pair, "width", "n", F.explode(F.sequence("at", "until")).alias("start"))
     windows = written(windows.select("doc", "text_hash", "width", "n", "start").distinct(), "windows")
     by_doc = windows.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("width", "n", "start")).alias("ws"))  # bounded by the document's length
     few = sized(by_doc.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash"), "ws"), windows.count())
