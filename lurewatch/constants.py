@@ -175,6 +175,25 @@ CONFUSABLES = {
 THRESHOLD, BAND, TRIGGER, BATCH_THRESHOLD = 0.65, (0.35, 0.65), 0.35, 0.5
 SWEEP = (0.35, 0.45, 0.55, 0.65)
 
+FILE_BRANDS = (
+    ("sbi", "State Bank of India (SBI)"),
+    ("irctc", "Indian Railway Catering and Tourism Corporation (IRCTC)"),
+    ("icici", "ICICI Bank"),
+    ("hdfc", "HDFC Bank"),
+    ("pnb", "Punjab National Bank (PNB)"),
+    ("bob", "Bank of Baroda (BOB)"),
+    ("airtel", "Airtel"),
+    ("iocl", "Indian Oil Corporation Limited (IOCL)"),
+    ("nic", "National Informatics Centre (NIC)"),
+)
+CENSUS_TEMPLATE_WORDS = ("irctc", "sbi", "state_bank", "icici", "hdfc", "pnb", "bob", "airtel", "iocl", "nic", "rgcci", "census")
+PICTURE_WORDS = ("sbi", "irctc", "icici", "hdfc", "pnb", "bob", "airtel", "iocl", "nic")
+SECTOR_WORDS = ("sbi", "hdfc", "icici", "irctc", "airtel", "uidai", "paytm", "npci", "iocl", "pnb", "axis", "kotak", "jio", "bsnl", "phonepe")
+UNUSUAL_TLDS = (".xyz", ".top", ".click", ".tk", ".cn", ".cf", ".ga", ".gq", ".ml", ".buzz", ".sbs", ".red", ".bet", ".fun", ".icu", ".cyou")
+BRAND_AGE_DAYS = 3650
+#: features that tell a name's rank and so its source; left out of training
+RANK_FEATURES = ("tranco_rank", "is_in_tranco")
+
 # ---- own choices ----
 
 #: phrases of a parked page

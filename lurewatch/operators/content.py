@@ -92,3 +92,18 @@ def visible_text(html: Column | str) -> Column:
         return pages.map(read)
 
     return read_pages(html)
+
+
+def redirects(asked: Column, final: Column, hops: Column) -> dict[str, Column]:
+    """Whether a fetch ended on another host (www. aside), and how many hops it took."""
+    host = lambda u: F.replace(F.regexp_extract(F.lower(u), r"^https?://([^/?#]*)", 1), F.lit("www."), F.lit(""))
+    return {"redirected_to_different_domain": (host(asked) != host(final)).cast("bigint"), "redirect_count": F.coalesce(F.size(hops), F.lit(0)).cast("bigint")}
+
+
+def page_analysis(html: Column) -> dict[str, Column]:
+    """Credential flag (a password input), number of forms, title."""
+    return {
+        "has_credentials": F.coalesce(html.rlike(r'(?is)<input\b[^>]*type="?password'), F.lit(False)),
+        "form_count": F.coalesce(F.regexp_count(html, F.lit(r"(?i)<form[\s>]")), F.lit(0)).cast("bigint"),
+        "title": F.coalesce(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")),
+    }

@@ -65,3 +65,30 @@ def cse_like_ui(login: Column, pw: Column, user: Column, submit: Column, logo: C
 def blame(first: Column, second: Column, cut: float = 0.5) -> Column:
     """Which of two models misses: the one below the cut."""
     return F.when((first < cut) & (second < cut), "Both").when(first < cut, "XGBoost").when(second < cut, "RF").otherwise("None")
+
+
+#: rows that the second stage of a batch takes
+SECOND_STAGE = 100
+
+
+def batch_classify(df: DataFrame, key: str, order: list, n: int = SECOND_STAGE) -> DataFrame:
+    """df (key, label, confidence, live, shot, match, ui) plus final_label, final_confidence and reason: the first n rows by
+    order that are Phishing or Suspected go through the second stage, the others keep their label. key is unique."""
+    chosen = df.filter(F.col("label").isin("Phishing", "Suspected")).orderBy(*order).limit(n).select(F.col(key).alias("_k"))
+    out = df.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left").withColumn("_on", F.col("_k").isNotNull())  # n rows
+    c = F.col
+    label, value = two_stage(c("label"), c("confidence"), c("live"), c("shot"), c("match"), c("ui"))
+    reason = F.when(~c("_on"), "Initial lexical").when(~c("live"), "No live content").when(~c("shot"), "No screenshot").when(c("match") & c("ui"), "Visual match").otherwise("No visual match")
+    return out.withColumns({"final_label": F.when(c("_on"), label).otherwise(c("label")), "final_confidence": F.when(c("_on"), value).otherwise(c("confidence")), "reason": reason}).drop("_on", "_k")
+
+
+def no_evidence(label: Column, confidence: Column, evidence: Column) -> tuple[Column, Column, Column]:
+    """(label, confidence, note): Phishing without visual evidence is Suspected at six tenths."""
+    down = (label == "Phishing") & ~F.coalesce(evidence, F.lit(False))
+    return F.when(down, "Suspected").otherwise(label), F.when(down, confidence * 0.6).otherwise(confidence), F.when(down, "no visual evidence")
+
+
+def health(depth: Column, seen: Column, as_of: Column, limit: int = 300) -> Column:
+    """healthy, or degraded where the worker was not seen for over `limit` seconds."""
+    stale = F.coalesce(F.timestamp_diff("SECOND", seen, as_of) > limit, F.lit(True))
+    return F.when(stale, "degraded").otherwise("healthy")

@@ -48,3 +48,20 @@ def extremes(df: DataFrame, key: str, score: str, n: int, *ties: str) -> DataFra
     """The n lowest rows of each key by score."""
     order = Window.partitionBy(key).orderBy(F.asc(score), *ties)
     return df.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n)
+
+
+def choose_threshold(curve: DataFrame, precision: float, recall: float) -> DataFrame:
+    """(threshold): of the rows of a sweep that reach both targets the one of best recall, else that of best F1; the least
+    threshold of equals."""
+    fits = (F.col("precision") >= precision) & (F.col("recall") >= recall)
+    best = F.max_by("threshold", F.when(fits, F.struct("recall", -F.col("threshold"))))
+    return curve.agg(F.coalesce(best, F.max_by("threshold", F.struct("f1", -F.col("threshold")))).alias("threshold"))
+
+
+def pattern_counts(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    return df.agg(*(F.count_if(c).alias(n) for n, c in flags.items()))
+
+
+def leading(values: dict[str, float], n: int = 3) -> list[str]:
+    """Names of the n largest values, the first in name order of equals."""
+    return [k for k, _ in sorted(values.items(), key=lambda kv: (-kv[1], kv[0]))[:n]]

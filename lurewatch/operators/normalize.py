@@ -55,3 +55,13 @@ def label(raw: Column) -> Column:
     for name, variants in reversed(LABEL_VARIANTS):
         out = F.when(F.lower(F.trim(raw)).isin(*variants), name).otherwise(out)
     return out
+
+
+def link_host(url: Column) -> Column:
+    """Location of a message's link: lower-cased, without a leading www., with its port; '' without a scheme."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+
+
+def file_domain(name: Column) -> Column:
+    """Domain in the name of a template image (its last part before .png that holds a dot); null without one."""
+    return F.nullif(F.lower(F.regexp_extract(name, r"(?i)_([a-z0-9.-]+\.[a-z]{2,})\.png$", 1)), F.lit(""))

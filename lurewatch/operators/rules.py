@@ -198,9 +198,19 @@ def utility_category(domain: Column) -> Column:
 
 
 def token_set_best(df: DataFrame, reference: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """Best token-set ratio of each distinct name against a broadcast reference (domain, name, ord); first best wins."""
-    ref = [(r["domain"], r["name"]) for r in reference.orderBy("ord").limit(10_000).collect()]  # a brand list; the limit is its bound
+    """Best token-set ratio of each distinct name against a reference (domain, name, ord); first best wins. The reference
+    is taken in blocks of BLOCK rows, each a small list that goes to all tasks, and the best of the blocks counts."""
+    names = df.select("domain").distinct()
+    blocks = [r[0] for r in reference.select(F.floor(F.col("ord") / BLOCK).alias("b")).distinct().orderBy("b").collect()] or [0]
+    parts = [_best_of(names, [(r["domain"], r["name"]) for r in reference.filter(F.floor(F.col("ord") / BLOCK) == b).orderBy("ord").collect()], threshold).withColumn("b", F.lit(b)) for b in blocks]
+    best = F.max_by(F.struct("brand", "ratio"), F.struct("ratio", -F.col("b")))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("domain").agg(best.alias("x")).select("domain", "x.*")
 
+
+BLOCK = 10_000
+
+
+def _best_of(names: DataFrame, ref: list[tuple[str, str]], threshold: float) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
@@ -220,4 +230,48 @@ def token_set_best(df: DataFrame, reference: DataFrame, threshold: float = 80.0)
                 out.append((n, name, best))
             yield pd.DataFrame(out, columns=["domain", "brand", "ratio"])
 
-    return df.select("domain").distinct().mapInPandas(score, "domain string, brand string, ratio double")
+    return names.mapInPandas(score, "domain string, brand string, ratio double")
+
+
+def official_domain(brand: Column) -> Column:
+    """Official domain of a brand's name, by the first entry of that name; 'unknown' without one."""
+    out = F.lit("unknown")
+    for _, name, official in reversed(C.BRAND_ORDER):
+        out = F.when(brand == name, official).otherwise(out)
+    return out
+
+
+def first_keyword(domain: Column) -> Column:
+    """First keyword in list order that the name holds, else Generic."""
+    return F.coalesce(first_of(F.lower(domain), [(w, w) for w in KEYWORDS]), F.lit("Generic"))
+
+
+def brand_of_file(name: Column) -> Column:
+    """Brand by the first of nine keys in the name of a template file, else Unknown."""
+    return F.coalesce(first_of(F.lower(name), C.FILE_BRANDS), F.lit("Unknown"))
+
+
+def sector_mask(target: Column, domain: Column, words=C.SECTOR_WORDS) -> Column:
+    """Whether target or name holds a word of the sector list, in any case; null counts as no."""
+    pattern = "(?i)" + "|".join(words)
+    return F.coalesce(target.rlike(pattern), F.lit(False)) | F.coalesce(domain.rlike(pattern), F.lit(False))
+
+
+def known_age(domain: Column, known: Column, brands) -> Column:
+    """Age in days of brands' own names by estimate, of others as known; null where it must be asked for."""
+    return F.when(F.lower(domain).isin(*brands), C.BRAND_AGE_DAYS).otherwise(known)
+
+
+def template_score(brand: Column, template: Column, words, split: str) -> Column:
+    """3 for each word that both names hold, 1 for each part of over three letters of the brand in the template."""
+    b, t = F.lower(brand), F.lower(template)
+    both = reduce(lambda x, y: x + y, [F.when(F.contains(b, F.lit(w)) & F.contains(t, F.lit(w)), 3).otherwise(0) for w in words])
+    parts = F.size(F.filter(F.split(b, split), lambda w: (F.length(w) > 3) & F.contains(t, w)))
+    return both + parts
+
+
+def best_template(brands: DataFrame, templates: DataFrame, score: Column) -> DataFrame:
+    """(brand) by (i, template): the template of the best score, the first of equals; a score of 0 counts. Both sides
+    are lists of brands and of their pictures."""
+    pairs = brands.join(F.broadcast(templates)).withColumn("s", score)
+    return pairs.groupBy("brand").agg(F.max_by("template", F.struct("s", -F.col("i"))).alias("template"), F.max("s").cast("bigint").alias("score"))

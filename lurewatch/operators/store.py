@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decide import escalated
+
 
 def latest(rows: DataFrame, key: str, *newest: str) -> DataFrame:
     """The newest row of each key (an aggregate: combined before the shuffle)."""
@@ -26,6 +28,55 @@ def start_monitoring(domains: DataFrame, now: Column) -> DataFrame:
     return domains.select("domain", (now + F.expr("INTERVAL 1 DAY")).alias("next_check"), (now + F.expr("INTERVAL 90 DAYS")).alias("end_date"), F.lit(0).cast("bigint").alias("check_count"))
 
 
+def restart_monitoring(table: DataFrame, domains: DataFrame, now: Column) -> DataFrame:
+    """The monitoring table after a start of `domains`: a listed domain is replaced, its checks count from 0 again."""
+    fresh = start_monitoring(domains.distinct(), now)
+    return table.join(fresh.select("domain"), "domain", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def checked(table: DataFrame, checks: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(table, log) after checks (domain, state, has_credentials): state moves to previous, the count and the next check
+    advance, and a parked or unrelated page that turned into a look-alike with credentials is Phishing. Every check is one
+    row of the log."""
+    seen = checks.select(F.col("domain").alias("_d"), F.col("state").alias("_s"), F.col("has_credentials").alias("_c"))
+    both = table.join(seen, F.col("domain") == F.col("_d"), "left").withColumn("_e", F.coalesce(escalated(F.col("state"), F.col("_s"), F.col("_c")), F.lit(False)))
+    hit = F.col("_d").isNotNull()
+    new = {"previous": F.when(hit, F.col("state")).otherwise(F.col("previous")), "state": F.coalesce("_s", "state"), "check_count": F.col("check_count") + hit.cast("bigint"), "next_check": F.when(hit, now + F.expr("INTERVAL 1 DAY")).otherwise(F.col("next_check")), "status": F.when(F.col("_e"), "Phishing").otherwise(F.col("status"))}
+    log = both.filter(hit).select("domain", now.alias("checked_at"), F.col("_s").alias("state"), F.col("_c").alias("has_credentials"), F.when(F.col("_e"), "Suspected->Phishing").alias("status_change"))
+    return both.withColumns(new).select(*table.columns), log
+
+
+def queued(domains: DataFrame, source: str, at: Column) -> DataFrame:
+    """(value): one JSON job a row, as the queue takes it."""
+    return domains.select(F.to_json(F.struct("domain", F.lit(source).alias("source"), F.lit(0).alias("retries"), at.alias("queued_at"))).alias("value"))
+
+
+def push(jobs: DataFrame, folder: str) -> None:
+    """Append jobs to the queue's folder, which a stream reads as text."""
+    jobs.select("value").write.mode("append").text(folder)
+
+
+def cleared(failed: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """The failed jobs that stay after a clear, of some domains or of all."""
+    return failed.limit(0) if domains is None else failed.join(domains.select("domain").distinct(), "domain", "left_anti")
+
+
+def missing(wanted: DataFrame, done: DataFrame, key: str = "domain") -> DataFrame:
+    """The rows of wanted that partial results lack."""
+    return wanted.join(done.select(key).distinct(), key, "left_anti")
+
+
+def outcomes(requests: DataFrame, table: DataFrame, key: str, hit: int, miss: int) -> DataFrame:
+    """requests plus `status`: hit where the key is in the table, else miss."""
+    known = table.select(F.col(key).alias("_k")).distinct()
+    return requests.join(known, F.col(key) == F.col("_k"), "left").withColumn("status", F.when(F.col("_k").isNotNull(), hit).otherwise(miss)).drop("_k")
+
+
+def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Write a dataset, its features or a report as Parquet or as CSV with a header."""
+    df.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
 def due(monitored: DataFrame, as_of: Column) -> DataFrame:
     return monitored.filter((F.col("next_check") <= as_of) & (F.col("end_date") > as_of))
 

@@ -14,6 +14,7 @@ from ..operators import lexical as L
 from ..operators import model as M
 from ..operators import network as NW
 from ..operators import normalize as N
+from ..operators import predict as P
 from ..operators import store as ST
 from ..operators import visual as VI
 from ..sources.fixtures import fixture
@@ -77,12 +78,6 @@ def downgrade_utility(spark, sf):
     return fixture(spark, sf, "domains").select("k", "domain", F.when(u, "Legitimate").otherwise("Suspected").alias("label"), F.round(F.when(u, F.lit(0.9) * 0.3).otherwise(0.9), 6).alias("confidence"))
 
 
-@query("downgrade_evidence", f"SELECT id, domain, CASE WHEN label = 'Phishing' AND id % 2 = 0 THEN 'Suspected' ELSE label END AS label, {S.r6(chr(67) + 'ASE WHEN label = ' + S.q('Phishing') + ' AND id % 2 = 0 THEN confidence * 0.6 ELSE confidence END')} AS confidence FROM {SCANS} s")
-def downgrade_evidence(spark, sf):
-    down = (F.col("label") == "Phishing") & (F.col("id") % 2 == 0)
-    return fixture(spark, sf, "scans").select("id", "domain", F.when(down, "Suspected").otherwise(F.col("label")).alias("label"), F.round(F.when(down, F.col("confidence") * 0.6).otherwise(F.col("confidence")), 6).alias("confidence"))
-
-
 @query("escalation", f"SELECT k, domain, previous IN ('parked', 'unrelated') AND current_state = 'lookalike' AND has_credentials AS escalated FROM {MON} m")
 def escalation(spark, sf):
     return fixture(spark, sf, "monitored").select("k", "domain", V.escalated(F.col("previous"), F.col("current_state"), F.col("has_credentials")).alias("escalated"))
@@ -391,13 +386,6 @@ def export_json(spark, sf):
     return ST.as_json(fixture(spark, sf, "scans"), "id", "domain", "label")
 
 
-@query("batch_predictor", f"SELECT domain, k FROM {D} d WHERE {S.any_of('lower(domain)', C.WATCHLIST)} AND NOT {S.any_of('lower(domain)', (*C.SERVICE_WORDS, 'service'))} ORDER BY k DESC, domain LIMIT 1000")
-def batch_predictor(spark, sf):
-    names = fixture(spark, sf, "domains")
-    kept = names.filter(L.any_of(F.lower("domain"), C.WATCHLIST) & ~L.any_of(F.lower("domain"), (*C.SERVICE_WORDS, "service")))
-    return kept.orderBy(F.desc("k"), "domain").limit(1000).select("domain", "k")
-
-
 @query("api_health", f"SELECT count(*) AS depth, max(ts) AS last_seen, date_diff('second', max(ts), TIMESTAMP '2024-02-01 00:00:00') > 300 AS stale FROM {JOBS} j")
 def api_health(spark, sf):
     last = F.max("ts")
@@ -479,29 +467,45 @@ def stream_retry_dlq(spark, sf):
     return runs.filter("failed").select("job", "seq", F.when(n >= 3, "dead").otherwise("retry").alias("outcome"), n.cast("int").alias("retries"), F.when(n == 1, 30).when(n == 2, 120).otherwise(0).alias("delay_s"))
 
 
+def _learnt(spark, sf):
+    """Features of distinct names, what they are (1: a look-alike of a brand's name) and their fold; the label's own source,
+    the key, is no feature."""
+    rows = fixture(spark, sf, "domains").groupBy("domain").agg(F.min("k").alias("k")).withColumn("y", (F.col("k") % 3 == 1).cast("int"))
+    return L.features(DS.split(rows, "y", F.col("k"), (0.8, 0.2)))
+
+
 @query("model_score")
 def model_score(spark, sf):
-    rows = L.features(fixture(spark, sf, "domains")).withColumn("y", (F.col("has_brand_keyword") * F.col("is_malicious_gtld")).cast("int"))
-    return M.score(rows, M.fit(rows)).select("k", "domain", F.round("score", 6).alias("score"))
+    """Scores of the names held out. Sizes are small ones (`model.SMALL`); `model.fit` defaults to the production sizes."""
+    rows = _learnt(spark, sf).persist()
+    return M.score(rows.filter("fold = 1"), M.fit(rows.filter("fold = 0"), sizes=M.SMALL)).select("k", "domain", "y", F.round("score", 6).alias("score"))
+
+
+@query("batch_predictor_model")
+def batch_predictor_model(spark, sf):
+    """The batch predictor over the names held out, scored by the trained models."""
+    rows = _learnt(spark, sf).persist()
+    models = M.fit(rows.filter("fold = 0"), sizes=M.SMALL)
+    held = rows.filter("fold = 1")
+    facts = held.select("domain", F.lit(True).alias("live"), (F.col("k") % 3 == 1).alias("shot"), F.lit(True).alias("match"), F.lit(True).alias("ui"))
+    return P.batch_predict([held.select("domain")], lambda df: M.score(held.join(df, "domain", "left_semi"), models), facts)
 
 
 @query("importance_report")
 def importance_report(spark, sf):
     """Feature importances of both models, the least agreed first."""
-    rows = L.features(fixture(spark, sf, "domains")).withColumn("y", (F.col("has_brand_keyword") * F.col("is_malicious_gtld")).cast("int"))
-    found = spark.createDataFrame(M.importances(M.fit(rows)), "feature string, forest double, boosted double, unstable boolean")
+    found = spark.createDataFrame(M.importances(M.fit(_learnt(spark, sf), sizes=M.SMALL)), "feature string, forest double, boosted double, unstable boolean")
     return found.orderBy(F.desc(F.abs(F.col("forest") - F.col("boosted"))), "feature")
 
 
 @query("ablation")
 def ablation(spark, sf):
-    """Metrics of a forest on the structural features alone and with each of three additions."""
-    rows = L.features(fixture(spark, sf, "domains")).withColumn("y", (F.col("has_brand_keyword") * F.col("is_malicious_gtld")).cast("int"))
-    base = list(L.structural())
+    """Metrics on the held-out names of models on the structural features alone, with each of three additions, with all."""
+    rows = _learnt(spark, sf).persist()
+    extras = ("has_brand_keyword", "min_brand_levenshtein", "entropy")
     out = None
-    for extra in ("none", "has_brand_keyword", "min_brand_levenshtein", "entropy"):
-        features = base + [extra] * (extra != "none")
-        scored = M.score(rows, M.fit(rows, features=features, trees=10, rounds=3))
-        line = E.sweep(scored.withColumn("p", F.col("y") == 1), "p", "score", (0.5,)).withColumn("added", F.lit(extra))
+    for name, added in (("none", ()), *((e, (e,)) for e in extras), ("all", extras)):
+        models = M.fit(rows.filter("fold = 0"), features=[*L.structural(), *added], sizes=M.SMALL)
+        line = E.sweep(M.score(rows.filter("fold = 1"), models).withColumn("p", F.col("y") == 1), "p", "score", (0.5,)).withColumn("added", F.lit(name))
         out = line if out is None else out.unionByName(line)
     return out

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import PHISHTANK_BRANDS
+from ..constants import PHISHTANK_BRANDS, SOCIAL_WHITELIST
 from ..operators.content import urls
 from ..operators.datasets import union_all
 from ..operators.lexical import any_of
-from ..operators.normalize import host_or_null, host_without_port, strip_www
+from ..operators.normalize import host_or_null, host_without_port, link_host, strip_www
 
 PHISHTANK = "phish_id STRING, url STRING, phish_detail_url STRING, submission_time STRING, verified STRING, verification_time STRING, online STRING, target STRING"
 URLHAUS = "id STRING, dateadded STRING, url STRING, url_status STRING, last_online STRING, threat STRING, tags STRING, url_sha256 STRING, reporter STRING"
@@ -30,6 +30,21 @@ def workbook(spark: SparkSession, path: str, names: dict[str, str] = WORKBOOK) -
     return spark.read.option("header", True).csv(path).withColumnsRenamed(names)
 
 
+def training_set(spark: SparkSession, path: str, source: str = "training_set") -> DataFrame:
+    """(domain, label, source) of the training list."""
+    return workbook(spark, path).select("domain", "label", F.lit(source).alias("source"))
+
+
+def labelled_csv(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """(domain, label, source) of a CSV file with these columns, such as synthetic names."""
+    return spark.read.option("header", True).csv(path).select("domain", "label", F.lit(source).alias("source"))
+
+
+def host_lists(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(domain): the distinct lines of several host lists, comments left out."""
+    return union_all([lines(spark, p, p).select("domain") for p in paths]).distinct()
+
+
 def with_evidence(rows: DataFrame, folder: str) -> DataFrame:
     """rows plus evidence_path and evidence_exists, from a listing of the folder instead of a test for each row."""
     files = rows.sparkSession.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("_f")).distinct()
@@ -84,9 +99,11 @@ def majestic(spark: SparkSession, path: str, low: int = 1000, high: int = 51_000
 
 
 def rank_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """(domain, rank): one row a name; of repeated names the last rank."""
+    """(domain, rank): one row a name; of repeated names the rank that stands last in the file."""
     rows = spark.read.schema("rank INT, domain STRING").csv(path)
-    return rows.groupBy(strip_www(F.col("domain")).alias("domain")).agg(F.max("rank").alias("rank"))
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = rows.select(strip_www(F.col("domain")).alias("domain"), "rank", place.alias("place"))
+    return rows.groupBy("domain").agg(F.max_by("rank", "place").alias("rank"))
 
 
 def certificate_entries(entries: DataFrame, most: int = 50) -> DataFrame:
@@ -97,10 +114,10 @@ def certificate_entries(entries: DataFrame, most: int = 50) -> DataFrame:
     return names.select("keyword", F.regexp_replace(F.trim("n"), r"^\*\.", "").alias("domain")).filter("domain <> ''").distinct()
 
 
-def channel_links(messages: DataFrame, text: str = "text", hrefs: str = "hrefs") -> DataFrame:
-    """(domain): hosts of the http links of messages, from their text and their list of hrefs."""
+def channel_links(messages: DataFrame, text: str = "text", hrefs: str = "hrefs", whitelist=SOCIAL_WHITELIST) -> DataFrame:
+    """(domain): hosts of the http links of messages, from their text and their list of hrefs, but for listed ones."""
     links = F.array_union(urls(F.coalesce(F.col(text), F.lit(""))), F.filter(F.coalesce(F.col(hrefs), F.expr("cast(array() as array<string>)")), lambda h: F.startswith(h, F.lit("http"))))
-    return messages.select(F.explode(links).alias("u")).select(strip_www(host_or_null(F.col("u"))).alias("domain")).filter("domain is not null").distinct()
+    return messages.select(F.explode(links).alias("u")).select(link_host(F.col("u")).alias("domain")).filter((F.col("domain") != "") & ~F.col("domain").isin(*whitelist)).distinct()
 
 
 def brand_reference(rows: DataFrame, order: str = "row", name: str = "organisation", domain: str = "domain") -> DataFrame:

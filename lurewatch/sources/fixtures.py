@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -63,6 +65,11 @@ FROM ({_DOMAINS}) d""",
 SELECT k, CASE WHEN k % 17 = 0 THEN 0 WHEN k % 19 = 0 THEN NULL ELSE (k * 2654435761) % 9007199254740993 END AS h1, CASE WHEN k % 23 = 0 THEN 0 ELSE (k * 40503 + 12345) % 4294967291 END AS h2,
   CAST(k % 100 AS DOUBLE) / 100 AS ssim, k % 2 = 0 AS logo, k % 3 = 0 AS form, k % 5 = 0 AS colour, k % 7 = 0 AS layout
 FROM (SELECT c_custkey AS k FROM customer) t""",
+    "feed": f"""
+SELECT k, domain, concat('http://', domain, CASE WHEN k % 3 = 0 THEN ':8080/verify' WHEN k % 3 = 1 THEN '/Login' ELSE '/' END) AS url, CASE WHEN k % 4 = 0 THEN 'no' ELSE 'yes' END AS online,
+  split_part('State Bank of India|Other|HDFCBank|Nobody|UIDAI', '|', CAST(k % 5 + 1 AS INT)) AS target, split_part('online|offline|unknown', '|', CAST(k % 3 + 1 AS INT)) AS url_status,
+  split_part('malware_download|phishing', '|', CAST(k % 2 + 1 AS INT)) AS threat, split_part('elf|Phishing kit|none|exe', '|', CAST(k % 4 + 1 AS INT)) AS tags
+FROM ({_DOMAINS}) d""",
     "jobs": """
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value FROM events""",
     "monitored": f"""
@@ -83,3 +90,15 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables(spark, sf_dir)
     return spark.sql(SQL[name])
+
+
+def exported(df: DataFrame, header: bool = False, text: bool = False) -> str:
+    """Write df as CSV (or its only column as text) under the session's shared folder, for the feed readers; the path."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{where.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    if text:
+        df.write.text(path)
+    else:
+        df.write.option("header", header).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path

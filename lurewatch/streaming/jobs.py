@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.rules import suspicious
+from ..operators.store import latest
 
 CT_SCHEMA = "message_type string, data struct<leaf_cert: struct<all_domains: array<string>>>"
 
@@ -22,8 +24,12 @@ def certificate_names(messages: DataFrame) -> DataFrame:
 
 
 def daily_dedup(jobs: DataFrame, key: str = "domain", ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """First job of a key and day. Works on batches and streams; the event's day is the key's day."""
-    return jobs.withColumn("day", F.to_date(ts)).withWatermark(ts, late).dropDuplicates([key, "day"])
+    """First job of a key and day. Works on batches and streams; the event's day is the key's day. A stream forgets a key when
+    the watermark is past its first job of the day by `late`, so the state holds the keys of about two days."""
+    dated = jobs.withColumn("day", F.to_date(ts))
+    if not jobs.isStreaming:
+        return dated.dropDuplicates([key, "day"])
+    return dated.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, "day"])
 
 
 def whitelisted(jobs: DataFrame, whitelist: DataFrame, key: str = "domain") -> DataFrame:
@@ -32,6 +38,12 @@ def whitelisted(jobs: DataFrame, whitelist: DataFrame, key: str = "domain") -> D
     return jobs.join(listed, F.col(key) == F.col("_w"), "left").withColumn("status", F.when(F.col("_w").isNotNull(), "Clean")).drop("_w")
 
 
+def in_order(parts: Iterator[pd.DataFrame], names: tuple[str, ...]) -> list[tuple]:
+    """The rows that one key has in a micro-batch, in order of the first name, over all the chunks they come in."""
+    found = [row for part in parts for row in part[list(names)].itertuples(index=False, name=None)]
+    return sorted(found, key=lambda r: r[0])
+
+
 class Retry(StatefulProcessor):
     """Counts failures of a job: 30 s and 120 s to the next tries, dead after the third."""
 
@@ -43,15 +55,14 @@ class Retry(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         out = []
         n = self.tries.get()[0] if self.tries.exists() else 0
-        for part in rows:
-            for failed in part.sort_values("seq")["failed"]:
-                if not failed:
-                    n = 0
-                    out.append((key[0], "done", 0, 0))
-                    continue
-                n += 1
-                out.append((key[0], "dead", n, 0) if n >= 3 else (key[0], "retry", n, self.DELAYS[n - 1]))
-                n = 0 if n >= 3 else n
+        for _, failed in in_order(rows, ("seq", "failed")):
+            if not failed:
+                n = 0
+                out.append((key[0], "done", 0, 0))
+                continue
+            n += 1
+            out.append((key[0], "dead", n, 0) if n >= 3 else (key[0], "retry", n, self.DELAYS[n - 1]))
+            n = 0 if n >= 3 else n
         self.tries.update((n,))
         yield pd.DataFrame(out, columns=["job", "outcome", "retries", "delay_s"])
 
@@ -76,11 +87,10 @@ class Escalate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         out = []
         last = self.last.get()[0] if self.last.exists() else None
-        for part in rows:
-            for seq, state, credentials in part.sort_values("seq")[["seq", "state", "credentials"]].itertuples(index=False):
-                if last in ("parked", "unrelated") and state == "lookalike" and credentials:
-                    out.append((key[0], seq, "Suspected->Phishing"))
-                last = state
+        for seq, state, credentials in in_order(rows, ("seq", "state", "credentials")):
+            if last in ("parked", "unrelated") and state == "lookalike" and credentials:
+                out.append((key[0], seq, "Suspected->Phishing"))
+            last = state
         if last is not None:
             self.last.update((last,))
         yield pd.DataFrame(out, columns=["domain", "seq", "change"])
@@ -91,16 +101,110 @@ class Escalate(StatefulProcessor):
 
 def escalations(checks: DataFrame) -> DataFrame:
     """(domain, seq, state, credentials) -> (domain, seq, change)."""
-    return checks.groupBy("domain").transformWithStateInPandas(Escalate(), "domain long, seq long, change string", "append", "none")
+    return checks.groupBy("domain").transformWithStateInPandas(Escalate(), "domain string, seq long, change string", "append", "none")
+
+
+class Delayed(StatefulProcessor):
+    """Holds a failed job back until its time has come: 30 s after the first failure, 120 s after the second; after the third
+    it is dead. A job is (job, failed); what comes out is what a worker may take now."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tries = handle.getValueState("tries", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        n, out = (self.tries.get()[0] if self.tries.exists() else 0), []
+        for seq, failed in in_order(rows, ("seq", "failed")):
+            n = n + 1 if failed else 0
+            if n >= 3:
+                out.append((key[0], "dead", n))
+                n = 0
+        self.tries.update((n,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if n:
+            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + 1000 * Retry.DELAYS[n - 1])
+        yield pd.DataFrame(out, columns=["job", "outcome", "retries"])
+
+    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+        n = self.tries.get()[0] if self.tries.exists() else 0
+        yield pd.DataFrame([(key[0], "ready", n)] if n else [], columns=["job", "outcome", "retries"])
+
+    def close(self) -> None:
+        pass
+
+
+def delayed(results: DataFrame) -> DataFrame:
+    """(job, seq, failed) -> (job, outcome, retries): `ready` when the delay of a failed job has passed, `dead` after the
+    third failure. Timers go by the processing time."""
+    return results.groupBy("job").transformWithStateInPandas(Delayed(), "job long, outcome string, retries int", "append", "processingTime")
+
+
+class Monitor(StatefulProcessor):
+    """A domain's monitoring: its last state, its number of checks and its horizon. The state goes when the horizon passes."""
+
+    DAYS = 90
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "state string, checks long, until long", ttlDurationMs=self.DAYS * 86_400_000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        held, out = (self.held.get() if self.held.exists() else None), []
+        for at, state, credentials in in_order(rows, ("at", "state", "credentials")):
+            day = int(pd.Timestamp(at).timestamp() // 86_400)
+            last, checks, until = held if held is not None else (None, 0, day + self.DAYS)
+            if day >= until:
+                continue  # beyond the horizon nothing is checked
+            change = "Suspected->Phishing" if last in ("parked", "unrelated") and state == "lookalike" and credentials else None
+            held = (state, checks + 1, until)
+            out.append((key[0], pd.Timestamp(at), state, checks + 1, pd.Timestamp(86_400 * (day + 1), unit="s"), change))
+        if held is not None:
+            self.held.update(held)
+        yield pd.DataFrame(out, columns=["domain", "at", "state", "checks", "next_check", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def monitored(checks: DataFrame) -> DataFrame:
+    """(domain, at, state, credentials) -> the log: (domain, at, state, checks, next_check, change)."""
+    schema = "domain string, at timestamp, state string, checks long, next_check timestamp, change string"
+    return checks.groupBy("domain").transformWithStateInPandas(Monitor(), schema, "append", "processingTime")
+
+
+def queue(spark: SparkSession, folder: str) -> DataFrame:
+    """The jobs of the queue's folder (`store.push`) as a stream; its checkpoint gives each job to the sink once."""
+    schema = "domain string, source string, retries int, queued_at timestamp"
+    return spark.readStream.text(folder).select(F.from_json("value", schema).alias("j")).select("j.*")
+
+
+def daily_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the files of new registrations, as a stream, that look suspicious by the feed's rule."""
+    names = spark.readStream.text(folder).select(F.trim("value").alias("domain")).filter("domain <> ''")
+    return names.withColumn("hit", suspicious(F.col("domain"), feed=True)).filter("hit is not null")
+
+
+def start_all(streams: dict[str, tuple[DataFrame, str]], folder: str) -> dict:
+    """Start several streams (name -> stream and output folder) in one session, each with its own checkpoint."""
+    return {n: s.writeStream.format("parquet").queryName(n).option("path", out).option("checkpointLocation", f"{folder}/{n}").trigger(availableNow=True).start() for n, (s, out) in streams.items()}
 
 
 def upsert_sink(path: str, key: str, *newest: str):
-    """A foreachBatch function that keeps the newest row of each key in versioned Parquet folders under path."""
-    from ..operators.store import upsert
+    """A foreachBatch function that keeps the newest row of each key under path. A batch's changes are appended as one
+    Parquet folder (written again if the batch is), and `upserted` reads the newest rows; `compact` folds the folders."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
-        upsert(old, batch, key, *newest).write.mode("overwrite").parquet(f"{path}/v{number}")
+        latest(batch, key, *newest).write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
+    run = uuid.uuid4().hex  # a new checkpoint counts its batches from 0 again and must not replace those of the old one
     return write
+
+
+def upserted(spark: SparkSession, path: str, key: str, *newest: str) -> DataFrame:
+    """The table that `upsert_sink` keeps."""
+    return latest(spark.read.option("recursiveFileLookup", True).parquet(path), key, *newest)
+
+
+def compact(spark: SparkSession, path: str, to: str, key: str, *newest: str) -> None:
+    """Write the newest rows of path as one run under `to`."""
+    upserted(spark, path, key, *newest).write.mode("overwrite").parquet(f"{to}/run=compact/batch=0")
