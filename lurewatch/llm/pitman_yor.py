@@ -1,25 +1,32 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
-Restaurants form three levels. A leaf restaurant is a context: how the word before ended (eight kinds). Leaves that
-are alike share a parent (three), and the parents share the root, whose base is uniform over the training words and
-one unknown word. A word's customers sit in the leaves; each table opened there is a customer of the parent, and so
-on to the root.
-
-Seating is sampled by Gibbs sweeps: in a sweep every word leaves its restaurants and is seated again, customer by
-customer (past SINGLE customers in doubling blocks, by the Poisson law of the rate of new tables), given the tables
-of all other words. Words are independent within a sweep but for the restaurants' totals, which are summed between
-sweeps; so a sweep is one pass over the vocabulary and sends a few numbers to the driver. Random numbers are a hash
-of word, restaurant, sweep and step: a sweep can be replayed from the counts and the recorded totals, and nothing
-but the counts is stored. Predictive probabilities are averaged over the sweeps after burn-in.
-
-Words are known by their 64-bit hash. Scoring sends each block of documents to the vocabulary in hash buckets, as
-packed arrays (a bucket holds about BUCKET tokens, whatever the size of the corpus), and adds up what comes back.
+A leaf restaurant is a context: the word before, or the start of the text. All leaves share the root as their parent, whose
+base is uniform over the training words and one unknown word. A word's customers sit in the restaurant of their context;
+each table opened there is a customer of the root.
+
+Seating is sampled by Gibbs. A step takes one customer of a word out of a restaurant, drawn among all of that word there,
+and seats it again given all others: at one of the word's tables or at a new one. A sweep makes ceil(sqrt(c)) steps at every
+pair of context and word, c being its customers (random scan, the same rule at every size), and the first seating is drawn
+from the steps' own law for many customers, so that large pairs start where they stay. Between sweeps the root is seated anew; between rounds, words
+and contexts exchange their totals. Concentrations follow from the seating, discounts from the counts. Every round gives one
+sample, and predictive probabilities are averaged over the samples.
+
+How it is spread: a pair (context, word) lives in a bucket of its word, so what the root needs is at hand; a bucket holds
+about BUCKET tokens, and words that are more frequent (by a sample of the texts; nothing but the balance depends on it) are
+split by context. Contexts meet in slices: a bucket sends each slice its contexts with their sums, once each, and gets the
+totals back; a frequent context is one number of every bucket and no group of its own. Blocks of texts send each bucket
+their pairs as packed arrays and get sums by text back. Everything that is gathered grows with the corpus; what goes to the
+driver is a few totals and the split words.
+
+Words are known by 64 bits of hash, contexts by 48. Random numbers come from bucket and round, so a task can be repeated.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,288 +34,506 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, slices, table, text_bytes, words, written, xxh64
-
-LEAVES = 8
-#: parent of each leaf: text start and sentence end; comma, digit and other signs; vowel, other letter, non-ASCII
-PARENT = np.array([0, 0, 1, 1, 2, 2, 2, 1])
-KINDS = np.full(256, 7)
-KINDS[list(b".?!")] = 1
-KINDS[list(b",;:")] = 2
-KINDS[48:58] = 3
-KINDS[[*range(65, 91), *range(97, 123)]] = 5
-KINDS[list(b"aeiouAEIOU")] = 4
-KINDS[128:] = 6
-#: hash of the end token, which no word has but by chance
+from .common import drop_written, lower_ascii, slices, table, text_bytes, words, written, written_so_far, xxh64
+
+#: hash of the end token, which no word has but by chance; as a context it is the start of a text
 END = np.uint64(0x9D39247E33776D41)
-SINGLE = 32
 BUCKET = 2_000_000
 BLOCK_BYTES = 4 << 20
+#: one text of so many is looked at for frequent words
+SAMPLE = 32
+PAIRS, STATE, REPLY, ASK, MESSAGE, STAT, SPLIT = range(7)
+ROW = "bucket long, kind int, at long, data binary, carried binary, s0 double, s1 double, s2 double, s3 double, s4 double"
+NAMES = [c.split()[0] for c in ROW.split(", ")]
+TYPES = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}[c.split()[1]] for c in ROW.split(", ")]
 _U = np.uint64
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays, byte by byte in planes, compressed."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        parts += [len(a).to_bytes(8, "little"), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
+    return zlib.compress(b"".join(parts), 1)
+
+
+def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
+    data, at, out = zlib.decompress(data), 0, []
+    for kind in kinds:
+        n, size = int.from_bytes(data[at : at + 8], "little"), np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at + 8).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel() if n else np.zeros(0, kind))
+        at += 8 + n * size
+    return out
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_, prepend=sorted_.dtype.type(0))
+
+
+def _rows(rows: list[dict]) -> pa.Table:
+    return pa.table([pa.array([r.get(n) for r in rows], t) for n, t in zip(NAMES, TYPES)], names=NAMES)
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, leaf, row) of every token of the texts, ends included, in order of rows."""
+    """(word, context, row) of every token of the texts, ends included, in order of rows."""
     raw, offsets = text_bytes(texts)
     raw = lower_ascii(raw)
     starts, ends, first = words(raw, offsets)
     n, rows = len(starts), len(texts)
-    out = np.full(n + rows, END)
-    row = np.concatenate([np.repeat(np.arange(rows), np.diff(first)), np.arange(rows)])
-    order = np.argsort(row, kind="stable")
-    out[:n] = xxh64(raw, starts, ends)
-    out, row = out[order], row[order]
-    last = np.zeros(n + rows, np.int64)
-    last[:n] = KINDS[raw[ends - 1]] if n else 0
-    last = last[order]
-    leaf = np.zeros(n + rows, np.int64)
-    leaf[1:] = np.where(row[1:] == row[:-1], last[:-1], 0)
-    return out, leaf, row
-
-
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(w, c0..c7): how often each token occurs in each leaf over all rows of docs."""
-    names = ["w", *(f"c{k}" for k in range(LEAVES))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__t", BLOCK_BYTES):
-            h, leaf, _ = tokens(part.column("__t"))
-            w, at = np.unique(h, return_inverse=True)
-            c = np.bincount(at * LEAVES + leaf, minlength=len(w) * LEAVES).reshape(-1, LEAVES)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(pa.array(c[:, k]) for k in range(LEAVES))], names=names)
-
-    rows = docs.select(F.col(text).alias("__t")).mapInArrow(run, "w long, " + ", ".join(f"{c} long" for c in names[1:]))
-    return written(rows.groupBy("w").agg(*(F.sum(c).alias(c) for c in names[1:])), "counts")
-
-
-def _uniform(w: np.ndarray, *salt: int) -> np.ndarray:
-    x = w.copy()
-    for s in salt:
-        x = (x ^ _U((s + 1) * 0x9E3779B97F4A7C15 % 2**64)) * _U(0xD6E8FEB86659FD93)
-        x ^= x >> _U(32)
-    return (x >> _U(11)).astype(np.float64) * 2.0**-53
-
-
-def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Poisson quantiles; far from zero by the normal law."""
-    k, term = np.zeros(len(mean)), np.exp(-np.minimum(mean, 30))
-    total = term.copy()
-    for i in range(1, 100):
-        more = u > total
-        if not more.any():
-            break
-        term = term * mean / i
-        k[more] = i
-        total = total + term
-    big = mean > 30
-    if big.any():
-        v = np.clip(u[big], 1e-12, 1 - 1e-12)
-        t = np.sqrt(-2 * np.log(np.minimum(v, 1 - v)))
-        z = t - (2.30753 + 0.27061 * t) / (1 + 0.99229 * t + 0.04481 * t * t)
-        k[big] = np.maximum(0, np.round(mean[big] + np.sqrt(mean[big]) * np.where(v < 0.5, -z, z)))
-    return k
-
-
-def seat(w: np.ndarray, c: np.ndarray, weight: np.ndarray, d: float, *salt: int) -> np.ndarray:
-    """Tables of c customers of each word; weight: (concentration + d * tables) * parent's probability."""
-    t = (c > 0).astype(np.float64)
-    live = np.flatnonzero(c > 1)
-    for i in range(1, SINGLE):
-        live = live[c[live] > i]
-        if not len(live):
-            return t
-        a = weight[live]
-        t[live] += _uniform(w[live], *salt, i) < a / (a + i - d * t[live])
-    live, i = live[c[live] > SINGLE], SINGLE
-    while len(live):
-        a, n = weight[live], np.minimum(c[live], 2 * i) - i
-        free = np.maximum(i - d * t[live], 1e-9)
-        mean = a * np.log1p(n / (a + free))
-        t[live] += np.minimum(_poisson(mean, _uniform(w[live], *salt, i)), n)
-        i *= 2
-        live = live[c[live] > i]
+    h, row = np.full(n + rows, END), np.repeat(np.arange(rows), np.diff(first) + 1)
+    last = np.cumsum(np.diff(first) + 1) - 1
+    inside = np.ones(n + rows, bool)
+    inside[last] = False
+    h[inside] = xxh64(raw, starts, ends)
+    context = np.concatenate([[END], h[:-1]])  # what ends one text starts the next
+    return h, context >> _U(16), row
+
+
+# ---- seating ----
+
+
+def first_seating(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Table sizes of c >= 1 customers of each item, end to end, and each item's number of tables. New tables have weight a,
+    so seatings have weight a ** tables and each table of n the weight (1 - d)(2 - d)...(n - 1 - d). For many customers the
+    tables but one are then Poisson(a / d) in number, and of sizes n with a chance over n of n ** -d / gamma(1 - d); steps
+    of `gibbs` bring few customers to their own law."""
+    t = 1 + np.minimum(rng.poisson(np.minimum(a / d, 1e12)), c - 1).astype(np.int64)
+    first = np.cumsum(t) - t
+    item = np.repeat(np.arange(len(c)), t)
+    u = rng.random(len(item))
+    size = np.where(u < d, 1.0, np.ceil((np.maximum(u - d, 1e-18) / (1 - d) * math.gamma(1 - d)) ** (-1 / d)))
+    # the later tables take at most what leaves one for each other, the first takes the rest
+    size = np.minimum(size, ((c - t) // t + 1)[item])
+    size[first] = 0
+    size[first] = c - np.add.reduceat(size, first)
+    return size.astype(np.int64), t
+
+
+def gibbs(size: np.ndarray, t: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """One random-scan sweep over items whose tables stand end to end in `size`: ceil(sqrt(c)) times, one of an item's c
+    customers is taken out and seated again, at a table of n others with weight n - d or at a new one with weight a."""
+    if not len(t):
+        return size, t
+    start = np.concatenate([[0], np.cumsum(t)])
+    c = np.add.reduceat(size, start[:-1])
+    order = np.argsort(-c, kind="stable")  # those with most steps first
+    number = np.empty(len(t), np.int64)
+    number[order] = np.arange(len(t))
+    seat = np.argsort(np.repeat(number, t), kind="stable")
+    n, c, a, slots = size[seat], c[order], a[order], t[order].copy()
+    steps = np.ceil(np.sqrt(c)).astype(np.int64)
+    tables = slots.copy()
+    for k in range(int(steps[0])):
+        m = int(np.searchsorted(-steps, -k, side="left"))  # items with more than k steps
+        first = np.concatenate([[0], np.cumsum(slots[:m])])
+        head = n[: first[-1]]
+        before = np.concatenate([[0], np.cumsum(head)])
+        out = np.searchsorted(before, before[first[:-1]] + (rng.random(m) * c[:m]).astype(np.int64), side="right") - 1
+        head[out] -= 1
+        closed = head[out] == 0
+        tables[:m] -= closed
+        rest = c[:m] - 1 - d * tables[:m]
+        x = rng.random(m) * (rest + a[:m])
+        new = x >= rest
+        weight = np.concatenate([[0.0], np.cumsum(np.where(head > 0, head - d, 0.0))])
+        to = np.searchsorted(weight, weight[first[:-1]] + x, side="right") - 1
+        to = np.clip(to, first[:-1], first[1:] - 1)
+        back = ~new & (head[to] == 0)  # rounding at the edge of a closed table
+        for i in np.flatnonzero(back).tolist():
+            to[i] = first[i] + int(np.argmax(head[first[i] : first[i + 1]]))
+        to[new & closed] = out[new & closed]
+        tables[:m] += new
+        fits = ~new | closed
+        head[to[fits]] += 1
+        grown = np.flatnonzero(~fits)
+        if len(grown):
+            n = np.insert(n, first[grown + 1], 1)
+            slots[grown] += 1
+    keep = n > 0
+    item = np.repeat(np.arange(len(t)), slots)[keep]
+    back = np.argsort(order[item], kind="stable")
+    return n[keep][back], tables[number]
+
+
+def _seated(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator, sweeps: int = 2) -> np.ndarray:
+    """Tables of so many customers, seated from the start."""
+    size, t = first_seating(c, a, d, rng)
+    for _ in range(sweeps):
+        size, t = gibbs(size, t, a, d, rng)
     return t
 
 
-class Model:
-    """Discounts, concentrations and, after each sweep, the totals of all restaurants."""
-
-    def __init__(self, words_: int, tokens_: int, customers: np.ndarray, discounts: tuple[float, float, float], sweeps: int, burn: int):
-        self.V, self.N, self.customers = words_, tokens_, customers
-        self.d, self.theta = discounts, (10.0, 10.0, 10.0)
-        self.sweeps, self.burn = sweeps, burn
-        self.totals: list[np.ndarray] = []
-
-    def levels(self, totals: np.ndarray) -> tuple:
-        """(leaf tables, parent customers, parent tables, root customers, root tables) in all."""
-        leaf, parent = totals[:LEAVES], totals[LEAVES : LEAVES + 3]
-        return leaf, np.bincount(PARENT, leaf, 3), parent, parent.sum(), totals[LEAVES + 3]
-
-    def predictive(self, c, t, T, r, totals) -> np.ndarray:
-        """Probability of each word in each leaf; c, t: words by leaves, T: by parents, r: root tables."""
-        leaf, pc, parent, rc, root = self.levels(totals)
-        (d0, d1, d2), (h0, h1, h2) = self.d, self.theta
-        p0 = (T.sum(axis=1) - d0 * r + (h0 + d0 * root) / (self.V + 1)) / (h0 + rc)
-        C = np.stack([t[:, PARENT == k].sum(axis=1) for k in range(3)], axis=1)
-        p1 = (C - d1 * T + (h1 + d1 * parent) * p0[:, None]) / (h1 + pc)
-        return (c - d2 * t + (h2 + d2 * leaf) * p1[:, PARENT]) / (h2 + self.customers)
-
-    def unknown(self, totals: np.ndarray) -> np.ndarray:
-        zero = np.zeros((1, LEAVES))
-        return self.predictive(zero, zero, np.zeros((1, 3)), np.zeros(1), totals)[0]
-
-    def replay(self, w: np.ndarray, c: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(t, T, r) after each sweep. The first sweep seats every word as if in an empty restaurant."""
-        p = np.repeat(((c.sum(axis=1) + 1) / (self.N + self.V + 1))[:, None], LEAVES, axis=1)
-        p1, p0 = p[:, :3], p[:, 0]
-        for s in range(upto):
-            if s:
-                leaf, _, parent, _, root = self.levels(self.totals[s - 1])
-            else:
-                leaf, parent, root = self.customers / 2, np.bincount(PARENT, self.customers, 3) / 4, self.V / 2
-            t = np.stack([seat(w, c[:, k], (self.theta[2] + self.d[2] * leaf[k]) * p[:, k], self.d[2], s, k) for k in range(LEAVES)], axis=1)
-            C = np.stack([t[:, PARENT == k].sum(axis=1) for k in range(3)], axis=1)
-            T = np.stack([seat(w, C[:, k], (self.theta[1] + self.d[1] * parent[k]) * p1[:, k], self.d[1], s, 20 + k) for k in range(3)], axis=1)
-            r = seat(w, T.sum(axis=1), np.full(len(w), (self.theta[0] + self.d[0] * root) / (self.V + 1)), self.d[0], s, 40)
-            yield t, T, r
-            if s + 1 < upto:
-                now = self.totals[s]
-                _, pc, parent, rc, root = self.levels(now)
-                p0 = (T.sum(axis=1) - self.d[0] * r + (self.theta[0] + self.d[0] * root) / (self.V + 1)) / (self.theta[0] + rc)
-                p1 = np.repeat(p0[:, None], 3, axis=1)
-                p = ((C - self.d[1] * T + (self.theta[1] + self.d[1] * parent) * p0[:, None]) / (self.theta[1] + pc))[:, PARENT]
-
-
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("w").to_numpy().view(np.uint64), np.stack([batch.column(f"c{k}").to_numpy() for k in range(LEAVES)], axis=1).astype(np.float64)
-
-
-def train(counts: DataFrame, sweeps: int = 4, burn: int = 2) -> Model:
-    """Sample seatings of a written table of counts."""
-    cells = [F.col(f"c{k}") for k in range(LEAVES)]
-    whole = sum(cells[1:], cells[0])
-    ones, twos = (sum(((c == k).cast("long") for c in cells), F.lit(0)) for k in (1, 2))
-    row = counts.agg(F.count(F.lit(1)).alias("v"), *(F.coalesce(F.sum(c), F.lit(0)) for c in cells), F.coalesce(F.sum(ones), F.lit(0)), F.coalesce(F.sum(twos), F.lit(0)), F.count_if(whole == 1), F.count_if(whole == 2)).first()
-    share = lambda a, b: min(0.95, max(0.05, (a + 1) / (a + 2 * b + 2)))
-    leaf, root = share(row[9], row[10]), share(row[11], row[12])
-    model = Model(row[0], sum(row[1:9]), np.array(row[1:9], float), (root, (leaf + root) / 2, leaf), sweeps, burn)
-    for s in range(sweeps):
-
-        def run(batches: Iterator[pa.RecordBatch], m: Model = model, upto: int = s + 1) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(LEAVES + 4)
-            for batch in batches:
-                if batch.num_rows:
-                    *_, (t, T, r) = m.replay(*_columns(batch), upto)
-                    total += np.concatenate([t.sum(axis=0), T.sum(axis=0), [r.sum()]])
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{k}" for k in range(LEAVES + 4)])
-
-        names = [f"s{k}" for k in range(LEAVES + 4)]
-        sums = counts.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n) for n in names)).first()
-        model.totals.append(np.array([x or 0.0 for x in sums]))
-    return model
+# ---- the model ----
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(len(b).to_bytes(8, "little") + b for b in (a.tobytes() for a in arrays)), 1)
-
+@dataclass
+class Totals:
+    """What all buckets must know of a round: customers and tables of the root, and both of the split words."""
 
-def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    data, at, out = zlib.decompress(data), 0, []
-    for kind in kinds:
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at + 8))
-        at += 8 + n
-    return out
+    customers: float = 0.0
+    tables: float = 0.0
+    split: dict[int, tuple[float, float]] = field(default_factory=dict)
 
 
-def scored(docs: DataFrame, counts: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(carry..., n_tokens, n_known, base_score, score) for every row of docs."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    total = max(1, model.N)
-    buckets = max(4, -(-int(total * 1.25) // BUCKET))
-    meta = docs.select(*(F.col(c) for c in carry)).schema
+@dataclass
+class Model:
+    V: int = 0
+    N: int = 0
+    buckets: int = 1
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pieces: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hot_counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    d_root: float = 0.5
+    d: float = 0.5
+    theta_root: float = 10.0
+    #: concentration of the leaves in each round
+    theta: list[float] = field(default_factory=lambda: [1.0])
+    samples: list[Totals] = field(default_factory=list)
+
+    def split_of(self, w: np.ndarray) -> np.ndarray:
+        """Index of each word among the split ones, -1 for the others."""
+        if not len(self.hot):
+            return np.full(len(w), -1)
+        at = np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)
+        return np.where(self.hot[at] == w, at, -1)
+
+    def bucket(self, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+        b = ((w >> _U(32)) * _U(self.buckets) >> _U(32)).astype(np.int64)
+        s = self.split_of(w)
+        many = np.flatnonzero(s >= 0)
+        b[many] = (b[many] + (u[many] % self.pieces[s[many]].astype(np.uint64)).astype(np.int64)) % self.buckets
+        return b
+
+    def root(self, customers: np.ndarray, tables: np.ndarray, now: Totals) -> np.ndarray:
+        """Probability of words with so many customers and tables at the root."""
+        return (customers - self.d_root * tables + (self.theta_root + self.d_root * now.tables) / (self.V + 1)) / (self.theta_root + now.customers)
+
+
+class Bucket:
+    """The pairs of a bucket, sorted by word and context: words W with their number of pairs, the contexts U that occur in
+    it, of each pair the place of its context in U, and its training count."""
+
+    def __init__(self, data: bytes, model: Model):
+        w, k, u, self.ctx, self.c = _unpack(data, np.uint64, np.int32, np.uint64, np.int32, np.int64)
+        self.W, self.U = np.cumsum(w, dtype=np.uint64), np.cumsum(u, dtype=np.uint64)
+        self.word = np.repeat(np.arange(len(self.W)), k)
+        self.live = np.flatnonzero(self.c > 1)
+        self.hot = model.split_of(self.W)
+        self.count = np.bincount(self.word, self.c, len(self.W))
+        if len(model.hot):
+            self.count = np.where(self.hot >= 0, model.hot_counts[self.hot], self.count)
+
+    def tables(self, t: np.ndarray) -> np.ndarray:
+        """Tables of every pair; t: those of the live ones."""
+        out = (self.c > 0).astype(np.int64)
+        out[self.live] = t
+        return out
+
+    def dishes(self, tables: np.ndarray, r: np.ndarray | None, now: Totals, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each word at the root; those of split words are the totals."""
+        customers = np.bincount(self.word, tables, len(self.W))
+        roots = (customers > 0).astype(np.float64) if r is None else r.astype(np.float64)
+        for i in np.flatnonzero(self.hot >= 0).tolist():
+            customers[i], roots[i] = now.split.get(int(model.hot[self.hot[i]]), (0.0, 0.0))
+        return customers, roots
+
+    def messages(self, bucket: int, buckets: int, tables: np.ndarray, kind: int = MESSAGE) -> Iterator[dict]:
+        """What each slice of contexts is told: contexts, customers, tables."""
+        c, t = (np.bincount(self.ctx, x, len(self.U)).astype(np.int64) for x in (self.c, tables))
+        edge = np.searchsorted((self.U * _U(buckets) >> _U(48)).astype(np.int64), np.arange(buckets + 1))
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            a, z = edge[s], edge[s + 1]
+            yield {"bucket": bucket, "kind": kind, "at": s, "data": _pack(_steps(self.U[a:z]), c[a:z], t[a:z])}
+
+    def replies(self, rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each context in all, from the answers of the slices."""
+        got = [_unpack(data, np.int64, np.int64) for _, data in sorted(rows)]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(g[k] for g in got)]).astype(np.float64) for k in (0, 1))
+
+    def probabilities(self, states: list[tuple[int, bytes]], replies: list[tuple[int, bytes]], model: Model) -> np.ndarray:
+        """Probability of each pair's word in its context, averaged over the samples. Answers stand at sample * 2**32 + slice."""
+        p = np.zeros(len(self.c))
+        for number, data in states:
+            now, theta = model.samples[number], model.theta[number]
+            t, _, r = _unpack(data, np.int64, np.int64, np.int64)
+            c_u, T_u = (x[self.ctx] for x in self.replies([(at, d) for at, d in replies if at >> 32 == number]))
+            tables = self.tables(t)
+            root = model.root(*self.dishes(tables, r, now, model), now)[self.word]
+            p += np.where(c_u > 0, (self.c - model.d * tables + (theta + model.d * T_u) * root) / (theta + c_u), root)
+        return p / max(1, len(states))
+
+    def split_rows(self, bucket: int, tables: np.ndarray) -> Iterator[dict]:
+        own = np.bincount(self.word, tables, len(self.W)), np.bincount(self.word, self.c, len(self.W))
+        for i in np.flatnonzero(self.hot >= 0).tolist():
+            yield {"bucket": bucket, "kind": SPLIT, "at": int(self.W[i].view(np.int64)), "s0": float(own[0][i]), "s1": float(own[1][i])}
+
+
+def _sorted_pairs(w: np.ndarray, u: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of tokens by word and context (within `by`) and where a new pair begins."""
+    order = np.lexsort((u, w) if by is None else (u, w, by))
+    w, u = w[order], u[order]
+    return order, np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]) if len(w) else np.zeros(0, bool)
+
+
+def _blocks(docs: DataFrame, model: Model, asks: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of kind ASK: what a block of texts has in a bucket: words, pairs a word, contexts, and of each pair its training
+    tokens (asks: all its tokens, and the texts they stand in)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         number = TaskContext.get().partitionId() << 32
         for k, part in enumerate(slices(batches, "__t", BLOCK_BYTES)):
-            h, leaf, row = tokens(part.column("__t"))
-            bucket = (h % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, leaf, row, edge = h[order], leaf[order], row[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            sink = pa.BufferOutputStream()
-            if carry:
-                with pa.ipc.new_stream(sink, part.select(list(carry)).schema) as out:
-                    out.write_batch(part.select(list(carry)))
-            for b in range(buckets):
-                a, z = edge[b], edge[b + 1]
-                first = b == (number + k) % buckets
-                if z > a or first:
-                    w, at = np.unique(h[a:z], return_inverse=True)
-                    data = _pack(w, at.astype(np.int32), leaf[a:z].astype(np.int8), np.diff(row[a:z], prepend=0).astype(np.int32), np.array([part.num_rows]))
-                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([number + k]), pa.array([data]), pa.array([sink.getvalue().to_pybytes() if first else None], pa.binary())], names=["bucket", "block", "data", "carried"])
-
-    blocks = docs.select(*carry, F.col(text).alias("__t")).mapInArrow(split, "bucket long, block long, data binary, carried binary")
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                w, c = _columns(batch)
-                p, n = np.zeros(c.shape), 0
-                for s, (t, T, r) in enumerate(m.replay(w, c, m.sweeps)):
-                    if s >= m.burn:
-                        p += m.predictive(c, t, T, r, m.totals[s])
-                        n += 1
-                yield pa.RecordBatch.from_arrays([pa.array((w % _U(buckets)).astype(np.int64)), batch.column("w"), pa.array(c.sum(axis=1).astype(np.int64)), pa.array(list(np.log10(p / n).astype(np.float32)), pa.list_(pa.float32()))], names=["bucket", "w", "c", "p"])
-
-    known = counts.mapInArrow(predict, "bucket long, w long, c long, p array<float>")
-
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = shared.value
-        order = np.argsort(w := right.column("w").to_numpy().view(np.uint64))
-        w, c = w[order], right.column("c").to_numpy()[order]
-        p = right.column("p").combine_chunks().flatten().to_numpy().reshape(-1, LEAVES)[order] if len(w) else np.zeros((0, LEAVES))
-        none = np.log10(np.mean([m.unknown(x) for x in m.totals[m.burn :]], axis=0)) if m.totals else np.zeros(LEAVES)
-        base = np.log10(m.N + m.V + 1.0)
+            w, u, row = tokens(part.column("__t"))
+            learn = np.asarray(part.column("__learn").to_pylist(), bool)
+            b = m.bucket(w, u)
+            order, new = _sorted_pairs(w, u, b)
+            w, u, row, b = w[order], u[order], row[order], b[order]
+            head = np.flatnonzero(new)
+            bounds = np.append(head, len(w))
+            trained = np.add.reduceat(learn[row].astype(np.int64), head)
+            many = np.diff(bounds)
+            w, u, b = w[head], u[head], b[head]
+            edge = np.searchsorted(b, np.arange(m.buckets + 1))
+            out = []
+            for s in np.flatnonzero(np.diff(edge)).tolist():
+                a, z = edge[s], edge[s + 1]
+                fresh = np.flatnonzero(np.concatenate([[True], w[a + 1 : z] != w[a : z - 1]]))
+                arrays = [_steps(w[a:z][fresh]), np.diff(np.append(fresh, z - a)).astype(np.int32), u[a:z]]
+                r = {"bucket": s, "kind": ASK, "at": number + k}
+                if asks:
+                    rows = row[bounds[a] : bounds[z]]
+                    r |= {"data": _pack(*arrays, many[a:z].astype(np.int32), rows.astype(np.int32)), "s0": float(part.num_rows)}
+                else:
+                    r["data"] = _pack(*arrays, trained[a:z])
+                out.append(r)
+            if asks and out:
+                sink = pa.BufferOutputStream()
+                length = np.bincount(row, minlength=part.num_rows)
+                held = pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(length.astype(np.int64))], names=[*carry, "n_tokens"])
+                with pa.ipc.new_stream(sink, held.schema) as stream:
+                    stream.write_batch(held)
+                out[(number + k) % len(out)]["carried"] = sink.getvalue().to_pybytes()
+            yield from _rows(out).to_batches()
+
+    return docs.mapInArrow(run, ROW)
+
+
+def _frequent(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that would fill a quarter of a bucket or more, by a sample of the texts, and into how many pieces they go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "__t", BLOCK_BYTES):
+            w, n = np.unique(tokens(part.column("__t"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("__t"), F.lit(SAMPLE)) == 0).select("__t").mapInArrow(run, "w long, n long")
+    found = some.groupBy("w").agg((F.sum("n") * SAMPLE).alias("n")).filter(F.col("n") > BUCKET // 4).collect()  # a few words a bucket
+    w = np.array([r["w"] for r in found], np.int64).view(np.uint64)
+    n = np.array([r["n"] for r in found], np.float64)
+    order = np.argsort(w)
+    return w[order], np.clip(np.ceil(n[order] / (BUCKET // 4)), 1, buckets).astype(np.int64)
+
+
+def _merged(model: Model):
+    """Pairs of a bucket from what all blocks have in it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        got = [_unpack(d, np.uint64, np.int32, np.uint64, np.int64) for d in group.column("data").to_pylist()]
+        w = np.concatenate([np.repeat(np.cumsum(g[0], dtype=np.uint64), g[1]) for g in got])
+        u, c = (np.concatenate([g[k] for g in got]) for k in (2, 3))
+        order, new = _sorted_pairs(w, u)
+        head = np.flatnonzero(new)
+        w, u, c = w[order][head], u[order][head], np.add.reduceat(c[order], head)
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        U, ctx = np.unique(u, return_inverse=True)
+        data = _pack(_steps(w[first]), np.diff(np.append(first, len(w))).astype(np.int32), _steps(U), ctx.astype(np.int32), c)
+        pairs = Bucket(data, model)
+        tables = (c > 0).astype(np.int64)
+        kinds = np.bincount(pairs.word, tables, len(pairs.W))[pairs.hot < 0]
+        stat = {"bucket": bucket, "kind": STAT, "s0": float(c.sum()), "s1": float((kinds > 0).sum()), "s2": float((c == 1).sum()), "s3": float((c == 2).sum()), "s4": float(tables.sum())}
+        ends = {"bucket": bucket, "kind": STAT, "at": 1, "s0": float((kinds == 1).sum()), "s1": float((kinds == 2).sum())}
+        return _rows([{"bucket": bucket, "kind": PAIRS, "data": data}, stat, ends, *pairs.messages(bucket, model.buckets, tables), *pairs.split_rows(bucket, tables)])
+
+    return run
+
+
+def _answer(theta: float, d: float):
+    """A slice's answers: customers and tables of each context over all buckets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        got = [_unpack(x, np.uint64, np.int64, np.int64) for x in group.column("data").to_pylist()]
+        u = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
+        _, at = np.unique(u, return_inverse=True)
+        c, t = (np.bincount(at, np.concatenate([g[k] for g in got])) for k in (1, 2))
+        ends = np.cumsum([len(g[0]) for g in got])
+        out = [{"bucket": b, "kind": REPLY, "at": s, "data": _pack(c[at[z - len(g[0]) : z]].astype(np.int64), t[at[z - len(g[0]) : z]].astype(np.int64))} for b, s, g, z in zip(group.column("bucket").to_pylist(), group.column("at").to_pylist(), got, ends)]
+        # expected values of the auxiliary variables of the concentration
+        c, t = c[c > 1], t[c > 1]
+        y = (theta / d * np.log((theta / d + t - 0.5) / (theta / d + 0.5))).sum()
+        out.append({"bucket": -1, "kind": STAT, "s0": float(np.maximum(y, 0)), "s1": float(np.log((theta + c - 0.5) / (theta + 0.5)).sum())})
+        return _rows(out)
+
+    return run
+
+
+def _parts(group: pa.Table, *kinds: int) -> list[list[tuple[int, bytes]]]:
+    held: dict[int, list] = {k: [] for k in kinds}
+    for k, at, data in zip(*(group.column(c).to_pylist() for c in ("kind", "at", "data"))):
+        if k in held:
+            held[k].append((at, data))
+    return [held[k] for k in kinds]
+
+
+def _sampled(model: Model, before: Totals, theta: float, number: int, sweeps: int):
+    """One round of a bucket: sweeps over its pairs, and what it tells the others."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        pairs_, states, replies = _parts(group, PAIRS, STATE, REPLY)
+        if not pairs_:
+            return _rows([])
+        pairs = Bucket(pairs_[0][1], model)
+        rng = np.random.default_rng([20240229, number, bucket])
+        _, T = pairs.replies(replies)
+        c, live, word = pairs.c[pairs.live], pairs.live, pairs.word
+        t, size, r = _unpack(states[0][1], np.int64, np.int64, np.int64) if states else (np.ones(len(live), np.int64), None, None)
+        pull = (theta + model.d * T[pairs.ctx[live]]) if len(live) else np.zeros(0)
+        customers, roots = pairs.dishes(pairs.tables(t), r, before, model)
+        base = np.full(len(pairs.W), (model.theta_root + model.d_root * before.tables) / (model.V + 1))
+        for _ in range(sweeps):
+            a = pull * model.root(customers, roots, before)[word[live]]
+            if size is None:
+                size, t = first_seating(c, a, model.d, rng)
+            size, t = gibbs(size, t, a, model.d, rng)
+            customers, _ = pairs.dishes(pairs.tables(t), None, before, model)
+            own = np.flatnonzero((customers > 0) & (pairs.hot < 0))
+            roots = np.where(pairs.hot < 0, 0.0, roots)
+            if len(own):
+                roots[own] = _seated(customers[own], base[own], model.d_root, rng)
+        tables = pairs.tables(t)
+        cold = pairs.hot < 0
+        stat = {"bucket": bucket, "kind": STAT, "s0": float(tables.sum()), "s1": float(roots[cold].sum())}
+        state = {"bucket": bucket, "kind": STATE, "at": number, "data": _pack(t, size if size is not None else t, np.where(cold, roots, 0).astype(np.int64))}
+        return _rows([state, stat, *pairs.messages(bucket, model.buckets, tables), *pairs.split_rows(bucket, tables)])
+
+    return run
+
+
+def _looked_up(model: Model):
+    """Sums of each text of a block over a bucket: score, base score, known tokens."""
+
+    def run(group: pa.Table) -> pa.Table:
+        pairs_, states, replies = _parts(group, PAIRS, STATE, REPLY)
+        pairs = Bucket(pairs_[0][1], model)
+        logs = np.log10(pairs.probabilities(states, replies, model))
+        base = np.log10(pairs.count + 1.0) - np.log10(model.N + model.V + 1.0)
+        key = pairs.word.astype(np.int64) * (len(pairs.U) + 1) + pairs.ctx
         out = []
-        for block, data, carried in zip(*(left.column(k).to_pylist() for k in ("block", "data", "carried"))):
-            key, at, leaf, row, n = _unpack(data, np.uint64, np.int32, np.int8, np.int32, np.int64)
-            row, n = np.cumsum(row), int(n[0])
-            spot = np.minimum(np.searchsorted(w, key), max(len(w) - 1, 0))
-            hit = w[spot] == key if len(w) else np.zeros(len(key), bool)
-            times = np.where(hit, c[spot], 0) if len(w) else np.zeros(len(key))
-            logs = np.where(hit[:, None], p[spot], none) if len(w) else np.repeat(none[None], len(key), axis=0)
-            sums = [np.bincount(row, x, n) for x in (np.ones(len(at)), hit[at], (np.log10(times + 1.0) - base)[at], logs[at, leaf])]
+        for kind, block, data, carried, n in zip(*(group.column(c).to_pylist() for c in ("kind", "at", "data", "carried", "s0"))):
+            if kind != ASK:
+                continue
+            w, k, u, many, row = _unpack(data, np.uint64, np.int32, np.uint64, np.int32, np.int32)
+            word = np.repeat(np.searchsorted(pairs.W, np.cumsum(w, dtype=np.uint64)), k)
+            spot = np.searchsorted(key, word * (len(pairs.U) + 1) + np.searchsorted(pairs.U, u))
+            sums = [np.bincount(row, np.repeat(x, many), int(n)) for x in (logs[spot], base[word], (pairs.count[word] > 0).astype(float))]
             out.append((block, carried, *(x.tobytes() for x in sums)))
-        kinds = [pa.int64(), *[pa.binary()] * 5]
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["block", "carried", "n", "known", "base", "score"])
-
-    parts = blocks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(look_up, "block long, carried binary, n binary, known binary, base binary, score binary")
+        kinds = [pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["block", "carried", "score", "base", "known"])
+
+    return run
+
+
+def _round_totals(rows: DataFrame, model: Model, number: int) -> Totals:
+    """Totals after a round; the split words' tables at the root are seated here, a few words a bucket."""
+    s = rows.filter(F.col("kind") == STAT).agg(F.sum("s0"), F.sum("s1")).first()
+    split = rows.filter(F.col("kind") == SPLIT).groupBy("at").agg(F.sum("s0").alias("t")).collect()
+    now = Totals(float(s[0] or 0), float(s[1] or 0))
+    w = np.array([r["at"] for r in split], np.int64).view(np.uint64)
+    customers = np.array([r["t"] for r in split], float)
+    order = np.argsort(w)
+    w, customers = w[order], customers[order]
+    some = np.flatnonzero(customers > 0)
+    roots = np.zeros(len(w))
+    if len(some):
+        base = np.full(len(some), (model.theta_root + model.d_root * max(now.tables, 1.0)) / (model.V + 1))
+        roots[some] = _seated(customers[some], base, model.d_root, np.random.default_rng([7, number]))
+    now.tables += float(roots.sum())
+    now.split = {int(a): (float(b), float(c)) for a, b, c in zip(w, customers, roots)}
+    return now
+
+
+def seated(rows: DataFrame, rounds: int, sweeps: int) -> tuple[Model, DataFrame]:
+    """Seatings for the texts `__t` of rows, learnt from those marked `__learn`: the model, and the pairs, seatings and
+    contexts' totals of every bucket."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("__t")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    model = Model(buckets=min(1 << 30, max(4, -(-int(size) // (6 * BUCKET)))))
+    model.hot, model.pieces = _frequent(rows, model.buckets)
+    model.hot_counts = np.zeros(len(model.hot))
+    pairs = written(_blocks(rows, model, asks=False).groupBy("bucket").applyInArrow(_merged(model), ROW), "pairs")
+    s = pairs.filter((F.col("kind") == STAT) & F.col("at").isNull()).agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) for k in range(5))).first()
+    k = pairs.filter((F.col("kind") == STAT) & (F.col("at") == 1)).agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) for k in range(2))).first()
+    split = {r["at"]: (r["t"], r["c"]) for r in pairs.filter(F.col("kind") == SPLIT).groupBy("at").agg(F.sum("s0").alias("t"), F.sum("s1").alias("c")).collect()}
+    model.hot_counts = np.array([split.get(int(w), (0, 0))[1] for w in model.hot.view(np.int64)], float)
+    model.N, model.V = int(s[0]), int(s[1]) + int((model.hot_counts > 0).sum())
+    share = lambda one, two: min(0.95, max(0.05, (one + 1) / (one + 2 * two + 2)))
+    model.d, model.d_root = share(s[2], s[3]), share(k[0], k[1])
+    now = Totals(float(s[4]), float(model.V), {int(np.int64(w).view(np.uint64)): (float(t), float(t > 0)) for w, (t, _) in split.items()})
+    theta, told, state, held = 1.0, pairs, None, []
+    bare = lambda df, kind: df.filter(F.col("kind") == kind)
+
+    def answers(told: DataFrame, theta: float) -> DataFrame:
+        return written(bare(told, MESSAGE).groupBy("at").applyInArrow(_answer(theta, model.d), ROW), "totals")
+
+    for number in range(rounds):
+        replies = answers(told, theta)
+        y, x = replies.filter(F.col("kind") == STAT).agg(F.coalesce(F.sum("s0"), F.lit(0.0)), F.coalesce(F.sum("s1"), F.lit(0.0))).first()
+        theta = min(1e4, max(1e-2, (1 + y) / (1 + x)))
+        known = bare(pairs, PAIRS).unionByName(bare(replies, REPLY))
+        told = written((known if state is None else known.unionByName(state)).groupBy("bucket").applyInArrow(_sampled(model, now, theta, number, sweeps), ROW), "round")
+        now, state = _round_totals(told, model, number), bare(told, STATE)
+        model.samples.append(now)
+        held.append((state, told, theta))
+    model.theta = [x[2] for x in held]
+    final = bare(pairs, PAIRS)
+    for number, (state, told, theta) in enumerate(held):
+        replies = bare(answers(told, theta), REPLY).withColumn("at", F.col("at") + (number << 32))
+        final = final.unionByName(state).unionByName(replies)
+    return model, final
+
+
+def score_texts(docs: DataFrame, learn: F.Column, carry: tuple[str, ...], text: str = "text", rounds: int = 2, sweeps: int = 3) -> tuple[DataFrame, Model]:
+    """(carry..., n_tokens, n_known, base_score, score, perplexity) for every row of docs, and the model, which learns from
+    the rows for which `learn` holds (null: not).
+
+    Null and blank texts are one end token. Ids are not looked at: repeated rows are learnt and scored each. Other columns
+    than `carry` go. Without a training row every word is unknown. An empty table gives an empty result.
+    """
+    first = written_so_far()
+    spark = docs.sparkSession
+    rows = docs.select(*carry, F.col(text).alias("__t"), F.coalesce(learn, F.lit(False)).alias("__learn"))
+    model, final = seated(rows, rounds, sweeps)
+    parts = _blocks(rows, model, asks=True, carry=carry).unionByName(final).groupBy("bucket").applyInArrow(_looked_up(model), "block long, carried binary, score binary, base binary, known binary")
+    meta = rows.select(*carry).schema
 
     def add(group: pa.Table) -> pa.Table:
-        sums = [np.sum([np.frombuffer(x) for x in group.column(k).to_pylist()], axis=0) for k in ("n", "known", "base", "score")]
-        held = pa.ipc.open_stream(next(x for x in group.column("carried").to_pylist() if x is not None)).read_all() if carry else None
-        cols = [held.column(c) for c in carry] + [pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])]
-        return pa.table(cols, names=[*carry, "n_tokens", "n_known", "base_score", "score"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in meta), "n_tokens long, n_known long, base_score double, score double"])
-    return parts.groupBy("block").applyInArrow(add, schema)
-
+        sums = [np.sum([np.frombuffer(x) for x in group.column(k).to_pylist()], axis=0) for k in ("score", "base", "known")]
+        kept = pa.ipc.open_stream(next(x for x in group.column("carried").to_pylist() if x is not None)).read_all()
+        n = kept.column("n_tokens").to_numpy()
+        cols = [*(kept.column(c) for c in carry), kept.column("n_tokens"), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), pa.array(10 ** np.minimum(-sums[0] / n, 300))]
+        return pa.table(cols, names=[*carry, "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
-def score_texts(docs: DataFrame, learn: F.Column, carry: tuple[str, ...], text: str = "text", sweeps: int = 4, burn: int = 2) -> tuple[DataFrame, Model]:
-    """Train on the rows of docs for which `learn` holds and score all rows.
-
-    Null and blank texts are one end token. Ids are not looked at: repeated rows are scored each. Without a training
-    row every word is unknown. An empty table gives an empty result.
-    """
-    counts = counted(docs.filter(learn), text)
-    model = train(counts, sweeps, burn)
-    return scored(docs, counts, model, text, carry), model
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in meta), "n_tokens long, n_known long, base_score double, score double, perplexity double"])
+    out = written(parts.groupBy("block").applyInArrow(add, schema), "scores")
+    drop_written(spark, first, written_so_far() - 1)
+    return out, model
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     found, model = score_texts(docs.withColumn("held_out", held), ~F.col("held_out"), ("doc_id", "held_out"))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.N).cast("long").alias("train_tokens"), "base_score", "score")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.N).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

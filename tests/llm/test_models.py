@@ -20,24 +20,86 @@ EMPTY = "doc_id long, text string, lang string, score string"
 # ---- Pitman-Yor ----
 
 
-def test_probabilities_sum_to_one(spark):
-    texts = ["the cat sat. The dog, 9 ran", "a b a b a b", None, "", "é x! y"] * 3
-    counts = pitman_yor.counted(spark.createDataFrame([(t,) for t in texts], "text string"))
-    model = pitman_yor.train(counts, sweeps=3, burn=1)
-    batch = pa.Table.from_pandas(counts.toPandas(), preserve_index=False).combine_chunks().to_batches()[0]
-    w, c = pitman_yor._columns(batch)
-    assert model.N == c.sum() and model.V == len(w)
-    for s, (t, T, r) in enumerate(model.replay(w, c, 3)):
-        assert ((t <= c) & ((t > 0) == (c > 0))).all() and (T.sum(axis=1) >= r).all() and (r >= 1).all()
-        total = model.predictive(c, t, T, r, model.totals[s]).sum(axis=0) + model.unknown(model.totals[s])
-        assert np.allclose(total, 1, atol=1e-9)
-
-
-def test_scores(spark, monkeypatch):
-    monkeypatch.setattr(pitman_yor, "BUCKET", 200)
+def test_gibbs_has_the_law_of_all_seatings():
+    """Tables of one word: every set partition of its customers, with weight a ** tables and (1 - d)...(n - 1 - d) a table."""
+
+    def partitions(n):
+        if not n:
+            yield []
+            return
+        for rest in partitions(n - 1):
+            for i in range(len(rest)):
+                yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+            yield [*rest, 1]
+
+    own = np.random.default_rng(6)
+    for c, a, d in ((2, 0.7, 0.5), (4, 0.7, 0.5), (6, 2.0, 0.3), (7, 0.4, 0.8)):
+        law = collections.Counter()
+        for sizes in partitions(c):
+            law[len(sizes)] += a ** len(sizes) * math.prod(math.prod(k - d for k in range(1, n)) for n in sizes)
+        n, m = sum(law.values()), 20_000
+        size, t = pitman_yor.first_seating(np.full(m, c), np.full(m, a), d, own)
+        for _ in range(10):
+            size, t = pitman_yor.gibbs(size, t, np.full(m, a), d, own)
+        assert all(abs((t == k).mean() - law[k] / n) < 0.015 for k in range(1, c + 1))
+
+
+def test_seating_keeps_customers_and_repeats():
+    c = np.array([rng.choice([1, 2, 3, 30, 5000, 10**6]) for _ in range(300)])
+    a = np.array([rng.choice([0.0, 1e-6, 0.5, 40.0]) for _ in c])
+    both = []
+    for _ in range(2):
+        own = np.random.default_rng(3)
+        size, t = pitman_yor.first_seating(c, a, 0.6, own)
+        for _ in range(2):
+            size, t = pitman_yor.gibbs(size, t, a, 0.6, own)
+        ends = np.cumsum(t)
+        assert (size > 0).all() and ends[-1] == len(size) and (np.add.reduceat(size, ends - t) == c).all()
+        both.append((size.tolist(), t.tolist()))
+    assert both[0] == both[1]
+    assert [x.tolist() for x in pitman_yor.gibbs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0.5, own)] == [[], []]
+
+
+@pytest.mark.parametrize("bucket", [2_000_000, 60])
+def test_probabilities_sum_to_one(spark, monkeypatch, bucket):
+    monkeypatch.setattr(pitman_yor, "BUCKET", bucket)  # 60: nearly all words are split
+    monkeypatch.setattr(pitman_yor, "SAMPLE", 1)
+    texts = ["the cat sat. The dog, 9 ran", "a b a b a b", None, "", "é x! y the the the"] * 9
+    rows = spark.createDataFrame([(t, i % 5 != 1 or i < 20) for i, t in enumerate(texts)], "__t string, __learn boolean")
+    model, final = pitman_yor.seated(rows, rounds=1, sweeps=2)
+    assert bool(len(model.hot)) == (bucket == 60)
+    held = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in final.collect():
+        held[r.bucket][r.kind].append((r.at, r.data))
+    now, theta = model.samples[0], model.theta[0]
+    known, root, context = collections.defaultdict(dict), {}, {}
+    for kinds in held.values():
+        pairs = pitman_yor.Bucket(kinds[pitman_yor.PAIRS][0][1], model)
+        p = pairs.probabilities(kinds[pitman_yor.STATE], kinds[pitman_yor.REPLY], model)
+        t, size, r = pitman_yor._unpack(kinds[pitman_yor.STATE][0][1], np.int64, np.int64, np.int64)
+        tables = pairs.tables(t)
+        assert ((tables <= pairs.c) & ((tables > 0) == (pairs.c > 0))).all() and size.sum() == pairs.c[pairs.live].sum()
+        c_u, T_u = pairs.replies(kinds[pitman_yor.REPLY])
+        for u, a, b in zip(pairs.U, c_u, T_u):
+            assert context.setdefault(u, (a, b)) == (a, b)
+        for w, q in zip(pairs.W, model.root(*pairs.dishes(tables, r, now, model), now)):
+            assert abs(root.setdefault(w, q) - q) < 1e-12
+        for w, u, q in zip(pairs.W[pairs.word], pairs.U[pairs.ctx], p):
+            known[u][w] = q
+    unknown = float(model.root(np.zeros(1), np.zeros(1), now)[0])
+    assert abs(sum(root.values()) + unknown - 1) < 1e-9 and len(root) == model.V
+    for u, (c, t) in context.items():
+        back = (theta + model.d * t) / (theta + c) if c else 1.0
+        assert abs(sum(known[u].get(w, back * q) for w, q in root.items()) + back * unknown - 1) < 1e-9
+
+
+@pytest.mark.parametrize("bucket", [2_000_000, 300])
+def test_scores(spark, monkeypatch, bucket):
+    monkeypatch.setattr(pitman_yor, "BUCKET", bucket)  # 300: several buckets and split words
+    monkeypatch.setattr(pitman_yor, "SAMPLE", 1)
     monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 300)
     vocab = [f"v{i}" for i in range(40)]
-    rows = [(i, " ".join(rng.choice(vocab[: 3 + i % 30]) for _ in range(rng.randrange(40)))) for i in range(60)] + [(None, "v1 zzz"), (7, None), (7, "V1 v2")]
+    rows = [(i, " ".join(rng.choice(vocab[: 3 + i % 30]) for _ in range(rng.randrange(40)))) for i in range(60)] + [(i, "hot " * 60) for i in range(60, 66)] + [(None, "v1 zzz"), (7, None), (7, "V1 v2")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
     got, model = pitman_yor.score_texts(df, learn, ("doc_id",))
@@ -52,15 +114,23 @@ def test_scores(spark, monkeypatch):
         tok = [*(t or "").lower().split(), None]
         want[(i, len(tok), sum(x in count for x in tok), round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in tok), 6))] += 1
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert model.N == n and all(r.score < 0 for r in got)
+    assert model.N == n and model.V == v and all(r.score < 0 for r in got)
+    assert bool(len(model.hot)) == (bucket == 300)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
-
-
-def test_seat_is_within_bounds_and_repeats():
-    w = np.arange(200, dtype=np.uint64) * np.uint64(7919)
-    c = np.array([rng.choice([0, 1, 2, 30, 5000, 10**6]) for _ in w], float)
-    t = pitman_yor.seat(w, c, np.full(200, 2.0), 0.5, 1, 2)
-    assert ((t <= c) & ((t >= 1) == (c >= 1))).all() and (t == pitman_yor.seat(w, c, np.full(200, 2.0), 0.5, 1, 2)).all()
+    assert all(abs(r.perplexity - 10 ** (-r.score / r.n_tokens)) < 1e-6 * r.perplexity for r in got)
+
+
+def test_order_of_words_counts(spark):
+    """What follows a word is learnt: a held-out text in the learnt order is likelier than one of the same words in another."""
+    cycle = [f"c{i}" for i in range(30)]
+    run = lambda k, n: " ".join(cycle[(k + j) % 30] for j in range(n))
+    mixed = run(3, 40).split()
+    random.Random(1).shuffle(mixed)
+    rows = [(i, run(i, 50)) for i in range(40)] + [(100, run(3, 40)), (101, " ".join(mixed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, _ = pitman_yor.score_texts(df, F.col("doc_id") < 100, ("doc_id",))
+    score = {r.doc_id: r.score for r in got.collect()}
+    assert score[100] > score[101] / 3
 
 
 def test_nothing_to_learn(spark):
