@@ -46,6 +46,12 @@ def written_so_far() -> int:
     return len(_WRITTEN)
 
 
+def reads_written(df: DataFrame, first: int, last: int) -> bool:
+    """Whether df still reads one of the tables first..last of those that `written` made."""
+    names = {path.rsplit("/", 1)[1] for path in _WRITTEN[first:last]}
+    return any(names.intersection(path.split("/")) for path in df.inputFiles())
+
+
 def drop_written(spark: SparkSession, first: int, last: int) -> None:
     """Delete tables first..last of those that `written` made, once nothing reads them any more."""
     jvm = spark.sparkContext._jvm

@@ -12,7 +12,9 @@ k-grams, and what lies to the left and right of these decides:
 3. where a k-gram still has several contexts, one of which is single, the strings of the representatives are
    compared one by one, spread by their own hash, so that a very common k-gram is no group of its own.
 
-No step gathers a group: counts are pre-aggregated and joins are on hashes. Documents are known by 128 bits of hash
+No step gathers a group: counts are pre-aggregated and joins are on hashes. A string counts as repeated only if two
+independent hashes agree: k-gram and context (128 bits) in step 2, two hashes of the string (96 bits) in step 3; at 10**12
+strings the chance of any wrong one is below one in 10**5. Documents are known by 128 bits of hash
 of their text, so ids may repeat or be null. Sampled positions are about 1% of the bytes.
 
 All of it also works on words in place of bytes (`by_word`): a word stands for its hash, whatever space is between words.
@@ -148,7 +150,8 @@ def sampled(docs: DataFrame, length: int, gram: int, by_word: bool = False) -> D
 
 
 def _strings(rows: DataFrame, length: int, by_word: bool = False) -> DataFrame:
-    """(text, runs of (rep, first, last)) -> (h, rep, shift) for every string that starts in a run."""
+    """(text, runs of (rep, first, last)) -> (h, g, rep, shift) for every string that starts in a run; h and g are two
+    independent hashes of the string, 96 bits in all."""
     units = word_hashes if by_word else text_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +166,11 @@ def _strings(rows: DataFrame, length: int, by_word: bool = False) -> DataFrame:
                     n = np.array([r["last"] - r["first"] + 1 for r in some])
                     shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     start = np.repeat(np.array([r["first"] for r in some]) - a, n) + shift
-                    h = _mix(hash1.of(start, start + length) ^ (hash2.of(start, start + length) * _U(_BASE)))
+                    h, g = hash1.of(start, start + length), hash2.of(start, start + length) >> _U(32)
                     rep = np.repeat(np.array([r["rep"] for r in some]), n)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rep), pa.array(shift.astype(np.int32))], names=["h", "rep", "shift"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32)), pa.array(rep), pa.array(shift.astype(np.int32))], names=["h", "g", "rep", "shift"])
 
-    return rows.mapInArrow(run, "h long, rep long, shift int")
+    return rows.mapInArrow(run, "h long, g int, rep long, shift int")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, by_word: bool = False) -> DataFrame:
@@ -187,12 +190,13 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, by_wo
     by_text = reps.groupBy(F.col("d1").alias("_1"), F.col("d2").alias("_2")).agg(F.collect_list(F.struct("rep", "first", "last")).alias("runs"))  # of one text
     texts = docs.join(by_text, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))).dropDuplicates(["d1", "d2"])
     single = reps.filter("n = 1").select(F.col("rep").alias("one"), "d1", "d2", "first")
-    twice = _strings(texts, length, by_word).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1").select("rep", "shift")
+    twice = _strings(texts, length, by_word).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h", "g"))).filter("c > 1").select("rep", "shift")
     hit = twice.join(single, F.col("rep") == F.col("one")).select("d1", "d2", F.struct((F.col("first") + F.col("shift")).alias("first"), (F.col("first") + F.col("shift")).alias("last")).alias("run"))
     return settled.union(hit).groupBy("d1", "d2").agg(F.collect_set("run").alias("runs"))  # of one text
 
 
-_ADDED = [StructField("kept_bytes", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())]
+_SHOWN = {"kept_bytes": (BinaryType(), pa.binary(), bytes), "kept_sha256": (StringType(), pa.string(), lambda x: hashlib.sha256(x).hexdigest()), "kept_text": (StringType(), pa.string(), lambda x: x.decode("utf-8", "ignore"))}
+_ADDED = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())]
 
 
 def _cut(t: str | None, runs: list[dict] | None, length: int, word_runs: list[dict] | None = None, n_words: int = 0) -> tuple[bytes, int, int, int]:
@@ -212,16 +216,17 @@ def _cut(t: str | None, runs: list[dict] | None, length: int, word_runs: list[di
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), spans
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", give: str = "kept_bytes", n_words: int = 0) -> DataFrame:
-    """docs without `text`, plus n_bytes, n_removed, n_spans and, by `give`, the remaining bytes: as kept_bytes, as
-    kept_sha256 (lower-case hex) or as kept_text (UTF-8; parts of a character that a cut left over are dropped).
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", give: str | tuple[str, ...] = "kept_bytes", n_words: int = 0) -> DataFrame:
+    """docs without `text`, plus n_bytes, n_removed, n_spans and, by `give` (one or several), the remaining bytes: as
+    kept_bytes, as kept_sha256 (lower-case hex) or as kept_text (UTF-8; parts of a character that a cut left over are dropped).
 
     Every byte that lies in a string of `length` bytes which starts anywhere else too is removed, in all copies; with
     n_words also every run of so many words that stands anywhere else too, from its first word to its last.
     Null and short texts lose nothing; repeated rows count as occurrences of each other; ids and other columns are
     not looked at and stay; columns named like outputs are replaced. An empty table gives an empty result.
     """
-    names = {f.name for f in _ADDED} | {"kept_sha256", "kept_text"}
+    give = (give,) if isinstance(give, str) else give
+    names = {f.name for f in _ADDED} | set(give)
     keep = [c for c in docs.columns if c != text and c not in names]
     one = [f"__{i}" for i in range(len(keep))]
     base = docs.select(*(F.col(c).alias(a) for c, a in zip(keep, one)), F.col(text).alias("t"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
@@ -233,20 +238,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     else:
         joined = joined.withColumn("word_runs", F.lit(None).cast("array<struct<first:bigint,last:bigint>>"))
     joined = joined.select(*one, "t", "runs", "word_runs")
-    shown = {"kept_bytes": (BinaryType(), pa.binary(), bytes), "kept_sha256": (StringType(), pa.string(), lambda x: hashlib.sha256(x).hexdigest()), "kept_text": (StringType(), pa.string(), lambda x: x.decode("utf-8", "ignore"))}
-    kind, arrow, show = shown[give]
-    added = [StructField(give, kind), *_ADDED[1:]]
+    added = [*(StructField(g, _SHOWN[g][0]) for g in give), *_ADDED]
     schema = StructType([*base.select(*one).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             made = [_cut(t, r, length, w, n_words) for t, r, w in zip(*(part.column(c).to_pylist() for c in ("t", "runs", "word_runs")))]
-            head = pa.array([show(x[0]) for x in made], arrow)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in one), head, *(pa.array([x[k] for x in made], pa.int64()) for k in (1, 2, 3))], names=schema.names)
+            head = [pa.array([_SHOWN[g][2](x[0]) for x in made], _SHOWN[g][1]) for g in give]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in one), *head, *(pa.array([x[k] for x in made], pa.int64()) for k in (1, 2, 3))], names=schema.names)
 
     return joined.mapInArrow(run, schema).withColumnsRenamed(dict(zip(one, keep)))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), give="kept_sha256")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), give=("kept_sha256", "kept_text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))

@@ -285,13 +285,22 @@ def _within(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.filter(small | (bound <= radius)).withColumn("d", exact).filter(small | (F.col("d") <= radius)).select("a", "b", "d")
 
 
+def _meet(n, i, m, j, least: float) -> F.Column:
+    """Whether sets of n and m shingles may be similar if the shingle at places i and j is the first in order that they share:
+    what comes before is not shared, so they share n - i and m - j at most. At a later shared shingle the bound is lower
+    still, so a pair that may be similar passes at its first one and no pair is lost."""
+    most = F.least(n - i, m - j)
+    return (most >= F.lit(least / (1 + least)) * (n + m) - 1e-9) & (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9)
+
+
 def _ordered(u, v) -> list[F.Column]:
     return [F.least(u, v).alias("a"), F.greatest(u, v).alias("b")]
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, node, component_id) for every row of docs: texts link when the Jaccard similarity of their sets of shingles
-    is `least` or more, and component_id is the least non-null id reachable (null if none has one).
+    """(id, text_hash, node, root, component_id) for every row of docs: texts link when the Jaccard similarity of their sets of shingles
+    is `least` or more, root is the same for all rows of a component, and component_id is the least non-null id reachable
+    (null if none has one). text_hash is the XXH64 of the text, node that of its words.
 
     Candidates share one of their `leading` shingles, a cell, as all pairs of that similarity do; the similarity of every
     candidate is computed exactly. Word sequences that are equal are one node, however many rows hold them. Null and
@@ -300,18 +309,22 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
 
     Work stays in proportion to the links that matter: each node is first compared with two members of each of its
     cells, the closest is verified, then the closest pair of any two components; only cells of more than two nodes that
-    still hold several components are joined with themselves, across components, with every pair that is left.
+    still hold several components are joined with themselves, across components, with every pair that is left and that the
+    places of the shared shingle allow (`_meet`).
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__x"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__x"), F.xxhash64(text).alias("__h"))
     named = written(wide_fingerprints(rows, "__x", width, least, common_shingles(rows, "__x", width)), "wide")
     nodes = written(named.groupBy("node").agg(F.min("__id").alias("least"), *[F.first(c).alias(c) for c in (*_WORDS, "n", "cells")]), "nodes")
-    cells = nodes.select(F.explode("cells").alias("cell"), "node")
+    cells = nodes.select(F.posexplode("cells").alias("i", "cell"), "node", "n")
     nodes = nodes.drop("cells")
-    ends = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("k"))
-    ends = written(ends.filter("lo < hi"), "cells")
+    # the pivots of a cell: the member with the fewest rarer shingles, which is most like the others, and the one with the most
+    whole = F.struct("i", "node", "n")
+    ends = cells.groupBy("cell").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"), F.count(F.lit(1)).alias("k"))
+    ends = written(ends.filter("k > 1"), "cells")
     met = written(cells.join(ends.filter("k > 2").select("cell", "lo", "hi").hint("merge"), "cell"), "met")
-    pivots = met.select("node", F.explode(F.array("lo", "hi")).alias("p")).filter("node <> p").select(*_ordered("node", "p"))
-    pivots = pivots.union(ends.filter("k = 2").select(*_ordered("lo", "hi"))).distinct()
+    of = lambda p: [F.col(f"{p}.n"), F.col(f"{p}.i")]
+    pivots = met.select("node", "n", "i", F.explode(F.array("lo", "hi")).alias("p")).filter((F.col("node") != F.col("p.node")) & _meet(F.col("n"), F.col("i"), *of("p"), least)).select(*_ordered("node", "p.node"))
+    pivots = pivots.union(ends.filter((F.col("k") == 2) & _meet(*of("lo"), *of("hi"), least)).select(*_ordered("lo.node", "hi.node"))).distinct()
     close = written(_within(pivots, nodes, least), "close")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -343,34 +356,40 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     roots = components(verified(first))
     second = rooted(close, roots).groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("e")).select("e.*")
     roots = components(verified(second).union(tree(roots)))
-    parts = written(met.select("cell", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "parts")
+    parts = written(met.select("cell", "node", "n", "i").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "parts")
     # in a cell, pairs that leave out the members of its largest component on one side are all that is needed
     largest = parts.groupBy("cell", "root").count().groupBy("cell").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("cell", "top")
     open_ = parts.join(largest.hint("merge"), "cell")
-    left = open_.filter("root <> top").select("cell", F.col("node").alias("x"), F.col("root").alias("rx"), "top")
-    right = open_.select("cell", F.col("node").alias("y"), F.col("root").alias("ry"))
-    across = left.join(right.hint("merge"), "cell").filter("rx <> ry and (ry = top or rx < ry)").select(*_ordered("x", "y")).distinct()
+    left = open_.filter("root <> top").select("cell", F.col("node").alias("x"), F.col("root").alias("rx"), "top", F.col("n").alias("nx"), F.col("i").alias("ix"))
+    right = open_.select(F.col("cell").alias("c"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    may = _meet(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy"), least)
+    across = left.join(right.hint("merge"), (F.col("cell") == F.col("c")) & F.expr("rx <> ry and (ry = top or rx < ry)") & may).select(*_ordered("x", "y")).distinct()
     rest = rooted(_within(across, nodes, least), roots)
     roots = components(verified(rest).union(tree(roots)))
     joined = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = joined.join(classes, "root").select(F.col("node").alias("n"), "component_id")
-    return named.select("__id", "node").join(by_node, F.col("node") == F.col("n"), "left").select(F.col("__id").alias(id_col), "node", "component_id")
+    by_node = joined.join(classes, "root").select(F.col("node").alias("n"), "root", "component_id")
+    found = named.select("__id", "__h", "node").join(by_node, F.col("node") == F.col("n"), "left")
+    return found.select(F.col("__id").alias(id_col), F.col("__h").alias("text_hash"), "node", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """docs without all but one row of each component of `similar`: the row of its least id stays.
+    """docs with one row of each component of `similar`: one with its least id, of several texts that of least hash.
 
-    Rows with a null id stay unless their component has an id; of rows that repeat the kept id, one stays.
+    Rows with a null id stay only in a component without any id, one of them. Rows that repeat an id with an unlike text
+    are another component and stay; rows that repeat id and text count as one. Null and blank texts are one component.
+    Other columns stay as they are, whatever their names. An empty table stays empty.
     """
     found = written(similar(docs, id_col, text, width, least), "classes")
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__k")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__k"], "left_semi").dropDuplicates([id_col])
-    bare = found.filter("component_id is null").select(F.col("node").alias("__f")).distinct()
-    nameless = docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), F.col(text).alias("__x"))
-    marked = wide_fingerprints(nameless, "__x", width)
-    rest = marked.join(bare, F.col("node") == F.col("__f"), "left_semi").dropDuplicates(["node"]).select("row.*")
-    return kept.unionByName(rest)
+    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root", F.col(id_col).alias("__k"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("n"))
+    keep = written(first.groupBy("root").agg(F.min_by(F.struct("__k", "__h", "n"), "__h").alias("x")).select("x.*"), "kept")
+    match = docs[id_col].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__h"))
+    size = keep.count()
+    once = docs.join(sized(keep.filter("n = 1"), size), match, "left_semi")
+    if keep.filter("n > 1").isEmpty():
+        return once
+    again = docs.join(sized(keep.filter("n > 1"), size), match, "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, text]))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
