@@ -53,3 +53,57 @@ def test_upsert(spark):
 def test_homoglyphs(spark):
     got = {r.variant for r in rules.homoglyphs(spark.createDataFrame([("z.in",)], "domain string")).collect()}
     assert got == {"z.in", "ž.in"}
+
+
+def test_pictures(spark):
+    import numpy as np
+
+    from lurewatch.operators import visual
+
+    own = np.random.default_rng(2)
+    picture = own.integers(0, 256, (90, 120))
+    assert visual.gradient_hash(np.repeat(np.arange(64)[:, None], 70, 1)) == 2**63 - 1 and visual.gradient_hash(np.full((20, 20), 7)) == 0
+    assert abs(visual.structural_similarity(picture, picture) - 1) < 1e-9 and visual.structural_similarity(picture, own.integers(0, 256, (90, 120))) < 0.6
+    assert np.allclose(visual._resized(picture.astype(float), 9, 12), picture.reshape(9, 10, 12, 10).mean((1, 3)))
+    rows = [(1, 120, picture.ravel().tolist()), (2, 120, np.clip(picture + 3, 0, 255).ravel().tolist()), (3, 7, [1, 2, 3]), (4, None, None)]
+    got = {r.id: r for r in visual.image_features(spark.createDataFrame(rows, "id int, width int, pixels array<int>")).collect()}
+    assert got[3].gradient == 0 and got[4].cosine is None and abs(got[1].brightness - picture.mean()) < 1e-9 and got[1].tones == len(np.unique(picture))
+    far = spark.createDataFrame([(got[1].cosine, got[2].cosine, got[3].cosine)], "a string, b string, c string").select(visual.cosine_distance(F.col("a"), F.col("b")), visual.cosine_distance(F.col("a"), F.col("c"))).first()
+    assert far[0] < 40 and far[1] == 256
+
+
+def test_models_are_kept_and_leak_nothing(spark, tmp_path):
+    from lurewatch.operators import model
+
+    rows = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), F.lit(1.0).alias("tranco_rank"), ((F.col("id") % 7) > 3).cast("int").alias("y"))
+    sizes = model.Sizes(trees=5, depth=4, rounds=3, boost_depth=3, step=0.1)
+    models = model.fit(rows, features=("a", "b", "tranco_rank"), sizes=sizes)
+    assert models[0].stages[0].getInputCols() == ["a", "b"] and model.importances(models, ("a", "b", "tranco_rank"))[0][1] > 0.9
+    model.save(models, str(tmp_path / "m"), 0.65, sizes)
+    again, about = model.load(spark, str(tmp_path / "m"))
+    assert about["threshold"] == 0.65 and about["trees"] == 5
+    score = lambda m: [r.score for r in model.score(rows, m).orderBy("id").collect()]
+    assert score(models) == score(again)
+    assert (model.Sizes().trees, model.Sizes().depth, model.Sizes().rounds, model.Sizes().boost_depth) == (500, 12, 1000, 7)
+
+
+def test_reference_in_blocks(spark, monkeypatch):
+    from lurewatch.operators import rules
+
+    names = spark.createDataFrame([("sbi bank",), ("zzz",)], "domain string")
+    reference = spark.createDataFrame([(f"name{i}", f"n{i}", i) for i in range(30)] + [("bank sbi", "first", 30), ("sbi bank", "second", 31)], "domain string, name string, ord int")
+    monkeypatch.setattr(rules, "BLOCK", 7)
+    assert sorted((r.domain, r.brand, r.ratio) for r in rules.token_set_best(names, reference).collect()) == [("sbi bank", "first", 100.0), ("zzz", None, 0.0)]
+
+
+def test_batch_predictor_by_hand(spark):
+    from lurewatch.operators import predict
+
+    names = spark.createDataFrame([("sbi-a.xyz",), ("hdfc-b.top",), ("sbi-find.com",), ("garden.org",), ("gov-x.xyz",), (None,), ("icici-low.in",)], "Name string")
+    score = {"sbi-a.xyz": 0.9, "hdfc-b.top": 0.8, "sbi-find.com": 0.9, "gov-x.xyz": 0.95, "icici-low.in": 0.2}
+    table = spark.createDataFrame(list(score.items()), "domain string, score double")
+    facts = spark.createDataFrame([("sbi-a.xyz", True, True, True, True), ("hdfc-b.top", True, False, True, True)], "domain string, live boolean, shot boolean, match boolean, ui boolean")
+    run = lambda **how: [(r.domain, r.confidence, r.final_confidence) for r in predict.batch_predict([names, names], lambda df: df.join(table, "domain"), facts, **how).collect()]
+    assert run() == [("sbi-a.xyz", 0.9, 1.0)]  # the other has no picture and ends as Suspected
+    assert run(stage=1) == [("sbi-a.xyz", 0.9, 1.0), ("hdfc-b.top", 0.8, 0.8)]  # and keeps its label beyond the second stage's rows
+    assert run(stage=1, top=1) == [("sbi-a.xyz", 0.9, 1.0)]

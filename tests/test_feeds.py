@@ -22,7 +22,7 @@ def test_lists(spark, tmp_path):
     assert [r[0] for r in rows(feeds.urlhaus(spark, p, phishing_only=True))] == ["x.com"]
     p = put(tmp_path / "tr.csv", "1,a.com\n1000,b.com\n101000,c.com\n101001,d.com\n5,b.com\n")
     assert [r[0] for r in rows(feeds.ranked(spark, p))] == ["b.com", "c.com"]
-    assert dict(rows(feeds.rank_lookup(spark, p)))["b.com"] == 1000
+    assert dict(rows(feeds.rank_lookup(spark, p)))["b.com"] == 5  # the last one of the file
 
 
 def test_flexible_and_workbook(spark, tmp_path):
@@ -40,5 +40,7 @@ def test_logs(spark):
     assert rows(feeds.certificate_entries(e, 1)) == [("sbi", "a.com"), ("sbi", "b.com")]
     m = spark.createDataFrame([("see https://www.A.com/x and", ["http://b.com", "mailto:c"]), (None, None)], "text string, hrefs array<string>")
     assert rows(feeds.channel_links(m)) == [("a.com",), ("b.com",)]
+    m = spark.createDataFrame([("https://t.me/x https://host.in:8080/y", None)], "text string, hrefs array<string>")
+    assert rows(feeds.channel_links(m)) == [("host.in:8080",)]
     r = spark.createDataFrame([(1, "Bank", " A.in "), (2, None, "b.in"), (3, "Rail", None)], "row int, organisation string, domain string")
     assert rows(feeds.brand_reference(r)) == [("a.in", "Bank"), ("b.in", "Bank")]

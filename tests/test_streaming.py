@@ -1,6 +1,7 @@
 """Streams replayed from files give what the batch forms give."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,22 @@ def collect(spark, stream, path):
     return spark.table("t" + path.name.replace("-", "")).collect()
 
 
+def polled(spark, stream, path, done, seconds=90):
+    """Rows of a stream with timers, which never comes to an end by itself: as soon as they are what is waited for."""
+    name = "p" + path.name.replace("-", "")
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(path / "c")).outputMode("append").start()
+    try:
+        end = time.time() + seconds
+        while time.time() < end:
+            rows = spark.table(name).collect()
+            if done(rows):
+                return rows
+            time.sleep(1)
+        raise AssertionError(f"not in {seconds} s: {rows}")
+    finally:
+        q.stop()
+
+
 def test_daily_dedup(spark, sf, tmp_path):
     batch = fixture(spark, sf, "jobs").select(F.col("user_id").cast("string").alias("domain"), "ts")
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -36,10 +53,10 @@ def test_retry(spark, tmp_path):
 
 
 def test_escalation(spark, tmp_path):
-    rows = [(1, 0, "parked", False), (1, 1, "lookalike", True), (2, 0, "lookalike", True), (3, 0, "unrelated", False), (3, 1, "lookalike", False)]
-    spark.createDataFrame(rows, "domain long, seq long, state string, credentials boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("domain long, seq long, state string, credentials boolean").parquet(str(tmp_path / "in"))
-    assert [(r.domain, r.seq) for r in collect(spark, jobs.escalations(stream), tmp_path)] == [(1, 1)]
+    rows = [("1", 0, "parked", False), ("1", 1, "lookalike", True), ("2", 0, "lookalike", True), ("3", 0, "unrelated", False), ("3", 1, "lookalike", False)]
+    spark.createDataFrame(rows, "domain string, seq long, state string, credentials boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("domain string, seq long, state string, credentials boolean").parquet(str(tmp_path / "in"))
+    assert [(r.domain, r.seq) for r in collect(spark, jobs.escalations(stream), tmp_path)] == [("1", 1)]
 
 
 def test_certificate_names(spark):
@@ -49,7 +66,58 @@ def test_certificate_names(spark):
 
 
 def test_upsert_sink(spark, tmp_path):
-    sink = jobs.upsert_sink(str(tmp_path / "s"), "k", "t")
+    path = str(tmp_path / "s")
+    sink = jobs.upsert_sink(path, "k", "t")
     sink(spark.createDataFrame([("a", 1), ("a", 2)], "k string, t int"), 0)
     sink(spark.createDataFrame([("a", 3), ("b", 1)], "k string, t int"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s/v1")).collect())) == [("a", 3), ("b", 1)]
+    sink(spark.createDataFrame([("a", 3), ("b", 1)], "k string, t int"), 1)  # a batch that is written again
+    want = [("a", 3), ("b", 1)]
+    assert sorted(map(tuple, jobs.upserted(spark, path, "k", "t").collect())) == want
+    again = jobs.upsert_sink(path, "k", "t")  # a new checkpoint begins at batch 0 and loses nothing
+    again(spark.createDataFrame([("c", 1), ("b", 0)], "k string, t int"), 0)
+    assert sorted(map(tuple, jobs.upserted(spark, path, "k", "t").collect())) == [*want, ("c", 1)]
+    jobs.compact(spark, path, str(tmp_path / "c"), "k", "t")
+    assert sorted(map(tuple, jobs.upserted(spark, str(tmp_path / "c"), "k", "t").collect())) == [*want, ("c", 1)]
+
+
+def test_order_across_chunks():
+    import pandas as pd
+
+    parts = iter([pd.DataFrame({"seq": [5, 3], "failed": [True, False]}), pd.DataFrame({"seq": [4, 1], "failed": [True, True]})])
+    assert jobs.in_order(parts, ("seq", "failed")) == [(1, True), (3, False), (4, True), (5, True)]
+
+
+def test_delayed_jobs_come_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs.Retry, "DELAYS", (0, 0))
+    schema = "job long, seq long, failed boolean"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(folder))
+    spark.createDataFrame([(1, 0, True), (2, 0, True), (2, 1, True), (2, 2, True), (3, 0, False)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    got = polled(spark, jobs.delayed(stream), tmp_path, lambda rows: {(1, "ready", 1), (2, "dead", 3)} <= {(r.job, r.outcome, r.retries) for r in rows})
+    assert not any(r.job == 3 for r in got)
+
+
+def test_monitoring_has_a_horizon(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [("a", day(0), "parked", False), ("a", day(2), "lookalike", True), ("a", day(89), "unrelated", False), ("a", day(90), "lookalike", True), ("b", day(1), "lookalike", True)]
+    schema = "domain string, at timestamp, state string, credentials boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = sorted((r.domain, r.checks, r.change) for r in polled(spark, jobs.monitored(stream), tmp_path, lambda rows: len(rows) >= 4))
+    assert got == [("a", 1, None), ("a", 2, "Suspected->Phishing"), ("a", 3, None), ("b", 1, None)]
+
+
+def test_queue_and_feed(spark, tmp_path):
+    from lurewatch.operators import store
+
+    names = spark.createDataFrame([("sbi-kyc.xyz",), ("garden.org",)], "domain string")
+    store.push(store.queued(names, "ct", F.lit("2024-01-15").cast("timestamp")), str(tmp_path / "q"))
+    names.select(F.col("domain").alias("value")).write.text(str(tmp_path / "f"))
+    running = jobs.start_all({"jobs": (jobs.queue(spark, str(tmp_path / "q")), str(tmp_path / "o1")), "feed": (jobs.daily_feed(spark, str(tmp_path / "f")), str(tmp_path / "o2"))}, str(tmp_path / "c"))
+    for q in running.values():
+        q.awaitTermination()
+    assert sorted((r.domain, r.retries) for r in spark.read.parquet(str(tmp_path / "o1")).collect()) == [("garden.org", 0), ("sbi-kyc.xyz", 0)]
+    assert [r.domain for r in spark.read.parquet(str(tmp_path / "o2")).collect()] == ["sbi-kyc.xyz"]
