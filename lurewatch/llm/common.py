@@ -42,6 +42,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect its garbage: Spark deletes the shuffle files of finished steps when nothing refers to
+    them any more, which otherwise happens when memory runs short, long after the disk did."""
+    spark.sparkContext._jvm.System.gc()
+
+
+class Parts:
+    """A written table in one folder a value of an int column, each of which can be dropped alone."""
+
+    def __init__(self, df: DataFrame, column: str, name: str):
+        self.spark, self.schema, self.column = df.sparkSession, df.schema, column
+        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").partitionBy(column).parquet(self.path)
+        _WRITTEN.append(self.path)
+        free_shuffles(self.spark)
+
+    def of(self, value: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).filter(F.col(self.column) == value).select(self.schema.names)
+
+    def drop(self, *values: int) -> None:
+        for value in values:
+            _delete(self.spark, f"{self.path}/{self.column}={value}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written_so_far() -> int:
     return len(_WRITTEN)
 
@@ -54,10 +83,8 @@ def reads_written(df: DataFrame, first: int, last: int) -> bool:
 
 def drop_written(spark: SparkSession, first: int, last: int) -> None:
     """Delete tables first..last of those that `written` made, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
     for path in _WRITTEN[first:last]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, lower_ascii, slices, table, text_bytes, words, written, written_so_far, xxh64
+from .common import Parts, drop_written, free_shuffles, lower_ascii, slices, table, text_bytes, words, written, written_so_far, xxh64
 
 #: hash of the end token, which no word has but by chance; as a context it is the start of a text
 END = np.uint64(0x9D39247E33776D41)
@@ -189,7 +189,7 @@ class Model:
     d: float = 0.5
     theta_root: float = 10.0
     #: concentration of the leaves in each round
-    theta: list[float] = field(default_factory=lambda: [1.0])
+    theta: list[float] = field(default_factory=list)
     samples: list[Totals] = field(default_factory=list)
 
     def split_of(self, w: np.ndarray) -> np.ndarray:
@@ -447,10 +447,10 @@ def _looked_up(model: Model):
     return run
 
 
-def _round_totals(rows: DataFrame, model: Model, number: int) -> Totals:
+def _round_totals(rows: Parts, model: Model, number: int) -> Totals:
     """Totals after a round; the split words' tables at the root are seated here, a few words a bucket."""
-    s = rows.filter(F.col("kind") == STAT).agg(F.sum("s0"), F.sum("s1")).first()
-    split = rows.filter(F.col("kind") == SPLIT).groupBy("at").agg(F.sum("s0").alias("t")).collect()
+    s = rows.of(STAT).agg(F.sum("s0"), F.sum("s1")).first()
+    split = rows.of(SPLIT).groupBy("at").agg(F.sum("s0").alias("t")).collect()
     now = Totals(float(s[0] or 0), float(s[1] or 0))
     w = np.array([r["at"] for r in split], np.int64).view(np.uint64)
     customers = np.array([r["t"] for r in split], float)
@@ -473,35 +473,37 @@ def seated(rows: DataFrame, rounds: int, sweeps: int) -> tuple[Model, DataFrame]
     model = Model(buckets=min(1 << 30, max(4, -(-int(size) // (6 * BUCKET)))))
     model.hot, model.pieces = _frequent(rows, model.buckets)
     model.hot_counts = np.zeros(len(model.hot))
-    pairs = written(_blocks(rows, model, asks=False).groupBy("bucket").applyInArrow(_merged(model), ROW), "pairs")
-    s = pairs.filter((F.col("kind") == STAT) & F.col("at").isNull()).agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) for k in range(5))).first()
-    k = pairs.filter((F.col("kind") == STAT) & (F.col("at") == 1)).agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) for k in range(2))).first()
-    split = {r["at"]: (r["t"], r["c"]) for r in pairs.filter(F.col("kind") == SPLIT).groupBy("at").agg(F.sum("s0").alias("t"), F.sum("s1").alias("c")).collect()}
+    pairs = Parts(_blocks(rows, model, asks=False).groupBy("bucket").applyInArrow(_merged(model), ROW), "kind", "pairs")
+    zero = lambda n: [F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) for k in range(n)]
+    s = pairs.of(STAT).filter("at is null").agg(*zero(5)).first()
+    k = pairs.of(STAT).filter("at = 1").agg(*zero(2)).first()
+    split = {r["at"]: (r["t"], r["c"]) for r in pairs.of(SPLIT).groupBy("at").agg(F.sum("s0").alias("t"), F.sum("s1").alias("c")).collect()}
     model.hot_counts = np.array([split.get(int(w), (0, 0))[1] for w in model.hot.view(np.int64)], float)
     model.N, model.V = int(s[0]), int(s[1]) + int((model.hot_counts > 0).sum())
     share = lambda one, two: min(0.95, max(0.05, (one + 1) / (one + 2 * two + 2)))
     model.d, model.d_root = share(s[2], s[3]), share(k[0], k[1])
     now = Totals(float(s[4]), float(model.V), {int(np.int64(w).view(np.uint64)): (float(t), float(t > 0)) for w, (t, _) in split.items()})
-    theta, told, state, held = 1.0, pairs, None, []
-    bare = lambda df, kind: df.filter(F.col("kind") == kind)
 
-    def answers(told: DataFrame, theta: float) -> DataFrame:
-        return written(bare(told, MESSAGE).groupBy("at").applyInArrow(_answer(theta, model.d), ROW), "totals")
+    def answers(told: Parts, theta: float) -> Parts:
+        """Totals of the contexts; the messages they come from go."""
+        found = Parts(told.of(MESSAGE).groupBy("at").applyInArrow(_answer(theta, model.d), ROW), "kind", "totals")
+        told.drop(MESSAGE)
+        return found
 
+    theta, state, final = 1.0, None, pairs.of(PAIRS)
+    replies = answers(pairs, theta)
     for number in range(rounds):
-        replies = answers(told, theta)
-        y, x = replies.filter(F.col("kind") == STAT).agg(F.coalesce(F.sum("s0"), F.lit(0.0)), F.coalesce(F.sum("s1"), F.lit(0.0))).first()
+        y, x = replies.of(STAT).agg(*zero(2)).first()
         theta = min(1e4, max(1e-2, (1 + y) / (1 + x)))
-        known = bare(pairs, PAIRS).unionByName(bare(replies, REPLY))
-        told = written((known if state is None else known.unionByName(state)).groupBy("bucket").applyInArrow(_sampled(model, now, theta, number, sweeps), ROW), "round")
-        now, state = _round_totals(told, model, number), bare(told, STATE)
+        known = pairs.of(PAIRS).unionByName(replies.of(REPLY))
+        told = Parts((known if state is None else known.unionByName(state)).groupBy("bucket").applyInArrow(_sampled(model, now, theta, number, sweeps), ROW), "kind", "round")
+        if not number:
+            replies.drop(REPLY)  # totals of the first tables, of no sample
+        now, state = _round_totals(told, model, number), told.of(STATE)
         model.samples.append(now)
-        held.append((state, told, theta))
-    model.theta = [x[2] for x in held]
-    final = bare(pairs, PAIRS)
-    for number, (state, told, theta) in enumerate(held):
-        replies = bare(answers(told, theta), REPLY).withColumn("at", F.col("at") + (number << 32))
-        final = final.unionByName(state).unionByName(replies)
+        model.theta.append(theta)
+        replies = answers(told, theta)
+        final = final.unionByName(state).unionByName(replies.of(REPLY).withColumn("at", F.col("at") + (number << 32)))
     return model, final
 
 
@@ -529,6 +531,7 @@ def score_texts(docs: DataFrame, learn: F.Column, carry: tuple[str, ...], text:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in meta), "n_tokens long, n_known long, base_score double, score double, perplexity double"])
     out = written(parts.groupBy("block").applyInArrow(add, schema), "scores")
     drop_written(spark, first, written_so_far() - 1)
+    free_shuffles(spark)
     return out, model
 
 
