@@ -62,6 +62,13 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"""(https?://[^\s"'<>]+)"""), F.lit(1)))
 
 
+def plain_text(html: Column) -> Column:
+    """Text of a page without scripts, styles and tags, by patterns alone; character references stay as they are written."""
+    for pattern in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<[^>]*>"):
+        html = F.regexp_replace(html, pattern, "")
+    return html
+
+
 def visible_text(html: Column | str) -> Column:
     """Text of a page as an HTML parser sees it, scripts and styles left out."""
 

@@ -282,6 +282,17 @@ def content_text(spark, sf):
     return pages.select("page_id", F.length(H.visible_text("html")).alias("page_text_length"))
 
 
+_PLAIN = "html"
+for _p in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<[^>]*>"):
+    _PLAIN = f"regexp_replace({_PLAIN}, {S.q(_p)}, '', 'g')"
+
+
+@query("content_plain_text", f"SELECT page_id, length({_PLAIN}) AS text_length, md5({_PLAIN}) AS digest FROM pages")
+def content_plain_text(spark, sf):
+    text = H.plain_text(F.col("html"))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.length(text).alias("text_length"), F.md5(text).alias("digest"))
+
+
 @query("live_content", "SELECT page_id, length(html) > 1000 AND (contains(lower(html), '<html') OR contains(lower(html), '<body') OR contains(lower(html), '<div') OR contains(lower(html), '<form') OR contains(lower(html), '<input') OR contains(lower(html), '<button')) AS live FROM pages")
 def live_content(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", H.live(F.col("html"), F.lit(200)).alias("live"))

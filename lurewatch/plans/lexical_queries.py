@@ -126,6 +126,7 @@ def obfuscation_match(spark, sf):
 @query("flagship_ranking", f"""WITH x AS (SELECT k, domain, {_SCORE} AS score, {S.first_of('domain', [(w, n) for w, n, _ in C.BRAND_ORDER])} AS target FROM {_DOMAINS} d)
 SELECT domain, target, max({S.r6('score')}) AS score, count(*) AS n FROM x WHERE target IS NOT NULL GROUP BY domain, target ORDER BY score DESC, domain LIMIT 100""")
 def flagship_ranking(spark, sf):
-    scored = R.lexical_score(fixture(spark, sf, "domains")).withColumn("target", L.first_of(F.col("domain"), [(w, n) for w, n, _ in C.BRAND_ORDER]))
-    ranked = scored.filter(F.col("target").isNotNull()).groupBy("domain", "target").agg(F.max(F.round("lexical_score", 6)).alias("score"), F.count(F.lit(1)).alias("n"))
+    # each distinct name is scored once; repeats are counted before the shuffle
+    names = fixture(spark, sf, "domains").groupBy("domain").agg(F.count(F.lit(1)).alias("n")).withColumn("target", L.first_of(F.col("domain"), [(w, n) for w, n, _ in C.BRAND_ORDER]))
+    ranked = R.lexical_score(names.filter(F.col("target").isNotNull())).select("domain", "target", F.round("lexical_score", 6).alias("score"), "n")
     return ranked.orderBy(F.desc("score"), "domain").limit(100)

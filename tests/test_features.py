@@ -4,6 +4,7 @@ import math
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pytest import approx
 from pyspark.sql import functions as F
 
 from lurewatch.operators import evaluate, lexical, network, normalize, rules, store
@@ -107,3 +108,20 @@ def test_batch_predictor_by_hand(spark):
     assert run() == [("sbi-a.xyz", 0.9, 1.0)]  # the other has no picture and ends as Suspected
     assert run(stage=1) == [("sbi-a.xyz", 0.9, 1.0), ("hdfc-b.top", 0.8, 0.8)]  # and keeps its label beyond the second stage's rows
     assert run(stage=1, top=1) == [("sbi-a.xyz", 0.9, 1.0)]
+
+
+def test_values_of_the_library_functions(spark):
+    """The few results that come from Python's library, against values worked out by hand."""
+    from lurewatch.operators import content, rules
+
+    names = {"sbi-login.xyz": 1.0, "irctx": 0.8, "zzzz": 0.0, "onlinesbj": 16 / 18, "sbj": 0.0, "a digital b": 0.9}
+    got = {r.domain: r.fuzzy_score for r in rules.fuzzy_scores(spark.createDataFrame([(n,) for n in names], "domain string")).collect()}
+    assert got == {n: approx(v) for n, v in names.items()}
+    variants = {"b\u00fccher.de": "xn--bcher-kva.de", "\u0430pple.com": "xn--pple-43d.com", "plain.in": "plain.in", "a..\u00fc": None}
+    assert {r.variant: r.ascii for r in rules.punycode(spark.createDataFrame([(v,) for v in variants], "variant string")).collect()} == variants
+    pages = {"<p>a<b>b</b></p><script>x</script>&amp;c": ("ab&c", "ab&amp;c"), "<style>p{}</style>t<!-- no -->": ("t", "t"), None: ("", None), "1 < 2": ("1 < 2", "1 < 2")}
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert {r.html: (r.a, r.b) for r in df.select("html", content.visible_text("html").alias("a"), content.plain_text(F.col("html")).alias("b")).collect()} == pages
+    reference = spark.createDataFrame([("state bank", "A", 0), ("bank state", "B", 1), ("rail", "C", 2)], "domain string, name string, ord int")
+    best = {r.domain: (r.brand, r.ratio) for r in rules.token_set_best(spark.createDataFrame([("bank-state",), ("state.bank.login",), ("rial",)], "domain string"), reference).collect()}
+    assert best == {"bank-state": ("A", 100.0), "state.bank.login": ("A", 100.0), "rial": (None, 0.0)}
