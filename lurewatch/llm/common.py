@@ -39,12 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect its garbage: Spark deletes the shuffle files of finished steps when nothing refers to
-    them any more, which otherwise happens when memory runs short, long after the disk did."""
+    """Ask the driver's JVM to collect its garbage: Spark deletes the shuffle files and broadcasts of finished steps when
+    nothing refers to them any more, which otherwise happens when the driver's memory runs short, long after disk and memory
+    of the executors did."""
     spark.sparkContext._jvm.System.gc()
 
 

@@ -184,6 +184,8 @@ WIDE = 4
 _WORDS = [f"f{k}" for k in range(WIDE)]
 #: one text of so many is looked at for common shingles; so many are known at most; sets from this size on are compared by bits
 SAMPLE, COMMON, SMALL = 32, 1 << 20, 64
+#: bytes of text that a step over shingle sets works on; it needs about a hundred times as much memory
+SLICE = 1 << 19
 
 
 def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,18 +203,24 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def leading(hashes: np.ndarray, bounds: np.ndarray, least: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ordered(common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of common in order, and their places in it from 1 on."""
+    order = np.argsort(common)
+    return common[order], order + 1
+
+
+def leading(hashes: np.ndarray, bounds: np.ndarray, least: float, common: np.ndarray | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of each distinct set hashes[bounds[i]:bounds[i + 1]], and their offsets: n - ceil(least * n) + 1
-    of n, in one order of all shingles, those of `common` last, as they stand in it.
+    of n, in one order of all shingles, those of `common` (or what `ordered` makes of it) last, as they stand in it.
 
     Sets of a similarity of `least` or more share at least ceil(least * n) shingles of either, so whatever the order, the
     first of those they share is among these of both."""
     sizes = np.diff(bounds)
     rank = np.zeros(len(hashes), np.int64)
-    if len(common) and len(hashes):
-        order = np.argsort(common)
-        place = np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)
-        rank = np.where(common[order[place]] == hashes, order[place] + 1, 0)
+    values, places = common if isinstance(common, tuple) else ordered(common)
+    if len(values) and len(hashes):
+        at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+        rank = np.where(values[at] == hashes, places[at], 0)
     row = np.repeat(np.arange(len(sizes)), sizes)
     sorted_ = hashes[np.lexsort((hashes, rank, row))]
     most = np.where(sizes > 0, sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, 0)
@@ -238,10 +246,10 @@ def wide_fingerprints(docs: DataFrame, text: str, width: int, least: float | Non
     if least is not None:
         added += [F.lit(0).cast("int").alias("n"), F.array(F.lit(0).cast("long")).alias("cells")]
     schema = docs.select(*keep, *added).schema
-    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if common is None else common)
+    shared = docs.sparkSession.sparkContext.broadcast(ordered(np.zeros(0, np.uint64) if common is None else common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             hashes, bounds, whole = shingles(part.column(text), width)
             hashes, bounds = _distinct(hashes, bounds)
             made = [pa.array(x.view(np.int64)) for x in (whole, *(_majority(_mixed(hashes, k), bounds) for k in range(WIDE)))]
@@ -257,7 +265,7 @@ def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     """(node, hashes): the distinct shingles of each text of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             hashes, bounds, whole = shingles(part.column(text), width)
             hashes, bounds = _distinct(hashes, bounds)
             sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
