@@ -108,6 +108,9 @@ class Delayed(StatefulProcessor):
     """Holds a failed job back until its time has come: 30 s after the first failure, 120 s after the second; after the third
     it is dead. A job is (job, failed); what comes out is what a worker may take now."""
 
+    def __init__(self, delays: tuple[int, int] = Retry.DELAYS):
+        self.delays = delays
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.tries = handle.getValueState("tries", "n int")
@@ -123,10 +126,10 @@ class Delayed(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if n:
-            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + 1000 * Retry.DELAYS[n - 1])
+            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + 1000 * self.delays[n - 1])
         yield pd.DataFrame(out, columns=["job", "outcome", "retries"])
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         n = self.tries.get()[0] if self.tries.exists() else 0
         yield pd.DataFrame([(key[0], "ready", n)] if n else [], columns=["job", "outcome", "retries"])
 
@@ -134,10 +137,10 @@ class Delayed(StatefulProcessor):
         pass
 
 
-def delayed(results: DataFrame) -> DataFrame:
+def delayed(results: DataFrame, delays: tuple[int, int] = Retry.DELAYS) -> DataFrame:
     """(job, seq, failed) -> (job, outcome, retries): `ready` when the delay of a failed job has passed, `dead` after the
     third failure. Timers go by the processing time."""
-    return results.groupBy("job").transformWithStateInPandas(Delayed(), "job long, outcome string, retries int", "append", "processingTime")
+    return results.groupBy("job").transformWithStateInPandas(Delayed(delays), "job long, outcome string, retries int", "append", "processingTime")
 
 
 class Monitor(StatefulProcessor):

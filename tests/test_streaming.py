@@ -87,14 +87,13 @@ def test_order_across_chunks():
     assert jobs.in_order(parts, ("seq", "failed")) == [(1, True), (3, False), (4, True), (5, True)]
 
 
-def test_delayed_jobs_come_back(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(jobs.Retry, "DELAYS", (0, 0))
+def test_delayed_jobs_come_back(spark, tmp_path):
     schema = "job long, seq long, failed boolean"
     folder = tmp_path / "in"
     folder.mkdir()
     stream = spark.readStream.schema(schema).parquet(str(folder))
     spark.createDataFrame([(1, 0, True), (2, 0, True), (2, 1, True), (2, 2, True), (3, 0, False)], schema).coalesce(1).write.mode("append").parquet(str(folder))
-    got = polled(spark, jobs.delayed(stream), tmp_path, lambda rows: {(1, "ready", 1), (2, "dead", 3)} <= {(r.job, r.outcome, r.retries) for r in rows})
+    got = polled(spark, jobs.delayed(stream, (1, 1)), tmp_path, lambda rows: {(1, "ready", 1), (2, "dead", 3)} <= {(r.job, r.outcome, r.retries) for r in rows})
     assert not any(r.job == 3 for r in got)
 
 
