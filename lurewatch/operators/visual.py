@@ -68,7 +68,8 @@ def _resized(gray, height: int, width: int):
 
     total = at(rows, cols)
     area = (gray.shape[0] / height) * (gray.shape[1] / width)
-    return (total[1:, 1:] - total[:-1, 1:] - total[1:, :-1] + total[:-1, :-1]) / area
+    # without the noise of the sums, so that equal pixels stay equal
+    return np.round((total[1:, 1:] - total[:-1, 1:] - total[1:, :-1] + total[:-1, :-1]) / area, 6)
 
 
 def gradient_hash(gray) -> int:
@@ -85,6 +86,7 @@ def cosine_hash(gray, size: int = 16):
     k = np.arange(n)
     basis = np.cos(np.pi / n * (k[None, :] + 0.5) * k[:, None])[:size]
     low = basis @ _resized(gray, n, n) @ basis.T
+    low = np.round(low, 6)
     return (low > np.median(low.ravel()[1:])).ravel()
 
 

@@ -65,7 +65,7 @@ def test_pictures(spark):
     picture = own.integers(0, 256, (90, 120))
     assert visual.gradient_hash(np.repeat(np.arange(64)[:, None], 70, 1)) == 2**63 - 1 and visual.gradient_hash(np.full((20, 20), 7)) == 0
     assert abs(visual.structural_similarity(picture, picture) - 1) < 1e-9 and visual.structural_similarity(picture, own.integers(0, 256, (90, 120))) < 0.6
-    assert np.allclose(visual._resized(picture.astype(float), 9, 12), picture.reshape(9, 10, 12, 10).mean((1, 3)))
+    assert np.allclose(visual._resized(picture.astype(float), 9, 12), picture.reshape(9, 10, 12, 10).mean((1, 3)), atol=1e-6)
     rows = [(1, 120, picture.ravel().tolist()), (2, 120, np.clip(picture + 3, 0, 255).ravel().tolist()), (3, 7, [1, 2, 3]), (4, None, None)]
     got = {r.id: r for r in visual.image_features(spark.createDataFrame(rows, "id int, width int, pixels array<int>")).collect()}
     assert got[3].gradient == 0 and got[4].cosine is None and abs(got[1].brightness - picture.mean()) < 1e-9 and got[1].tones == len(np.unique(picture))
