@@ -193,6 +193,12 @@ UNUSUAL_TLDS = (".xyz", ".top", ".click", ".tk", ".cn", ".cf", ".ga", ".gq", ".m
 BRAND_AGE_DAYS = 3650
 #: features that tell a name's rank and so its source; left out of training
 RANK_FEATURES = ("tranco_rank", "is_in_tranco")
+#: colours of a brand as hue (0 to 179), saturation and value (0 to 255), least and greatest
+BRAND_COLOURS = {
+    "State Bank of India (SBI)": {"blue": ((100, 150, 50), (140, 255, 255))},
+    "ICICI Bank": {"blue": ((100, 150, 50), (140, 255, 255)), "orange": ((10, 150, 150), (25, 255, 255))},
+    "HDFC Bank": {"blue": ((100, 150, 50), (140, 255, 255))},
+}
 
 # ---- own choices ----
 

@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import decision_queries, fact_queries, feed_queries, lexical_queries, rule_queries  # noqa: F401
+from . import decision_queries, fact_queries, feed_queries, lexical_queries, picture_queries, rule_queries  # noqa: F401

@@ -180,15 +180,6 @@ def page_analysis(spark, sf):
     return fixture(spark, sf, "html").select("k", *(x.alias(n) for n, x in H.page_analysis(F.col("html")).items()))
 
 
-_TEXTS = "split_part('Sign In Email Continue|Welcome|Your PASSWORD is secure||Enter passcode', '|', CAST(k % 5 + 1 AS INT))"
-
-
-@query("ui_elements", f"SELECT k, {', '.join((S.any_of('lower(x)', ws) + (' OR k % 6 >= 2' if n == 'login_form' else '')) + ' AS ' + n for n, ws in VI._UI.items())} FROM (SELECT k, {_TEXTS} AS x FROM {D} d) t")
-def ui_elements(spark, sf):
-    texts = F.split(F.expr(_TEXTS), " ")
-    return domains(spark, sf).select("k", *(x.alias(n) for n, x in VI.ui_elements(texts, F.col("k") % 6).items()))
-
-
 @query("min_visual", f"SELECT k, least(CAST(k % 30 AS DOUBLE), CAST(k % 17 + 5 AS DOUBLE)) AS distance, least(k % 30, k % 17 + 5) <= 15 AS lookalike FROM {D} d")
 def min_visual(spark, sf):
     least, hit = VI.nearest(F.array(F.col("k") % 30, F.col("k") % 17 + 5))

@@ -70,6 +70,11 @@ SELECT k, domain, concat('http://', domain, CASE WHEN k % 3 = 0 THEN ':8080/veri
   split_part('State Bank of India|Other|HDFCBank|Nobody|UIDAI', '|', CAST(k % 5 + 1 AS INT)) AS target, split_part('online|offline|unknown', '|', CAST(k % 3 + 1 AS INT)) AS url_status,
   split_part('malware_download|phishing', '|', CAST(k % 2 + 1 AS INT)) AS threat, split_part('elf|Phishing kit|none|exe', '|', CAST(k % 4 + 1 AS INT)) AS tags
 FROM ({_DOMAINS}) d""",
+    "screens": """
+SELECT k, brand, CASE WHEN n % 5 = 0 THEN 'striped' ELSE split_part('blue|orange|grey', '|', CAST(n % 3 + 1 AS INT)) END AS look,
+  10 + a % 20 AS x1, 8 + n % 5 AS y1, 60 + a % 160 AS w1, 20 + n * 2 AS h1, 12 + n AS x2, 100 AS y2, 90 + a % 97 AS w2, 12 + a % 40 AS h2
+FROM (SELECT s_suppkey AS k, CAST(s_nationkey AS BIGINT) AS n, CAST(floor(abs(s_acctbal)) AS BIGINT) AS a,
+  split_part('State Bank of India (SBI)|ICICI Bank|HDFC Bank|Airtel', '|', CAST(s_suppkey % 4 + 1 AS INT)) AS brand FROM supplier) s""",
     "jobs": """
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value FROM events""",
     "monitored": f"""
@@ -92,6 +97,19 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name])
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The screens drawn, 300 by 200: (k, brand, look, image) with two filled rectangles on white or with stripes of four pixels."""
+    tables(spark, sf_dir, "supplier")
+    paint = "CASE look WHEN 'blue' THEN 'C83C14' WHEN 'orange' THEN '148CF0' ELSE '787878' END"
+    white = lambda n: f"repeat('FFFFFF', CAST({n} AS INT))"
+    row = lambda x, w, c: f"concat({white(x)}, repeat({c}, CAST({w} AS INT)), {white(f'300 - {x} - {w}')})"
+    bars = "repeat(concat(repeat(concat(repeat('000000', 4), repeat('FFFFFF', 4)), 37), repeat('000000', 4)), 200)"
+    rows = lambda line, n: f"repeat({line}, CAST({n} AS INT))"
+    drawn = ", ".join((rows(white(300), "y1"), rows(row("x1", "w1", paint), "h1"), rows(white(300), "y2 - y1 - h1"), rows(row("x2", "w2", "'323232'"), "h2"), rows(white(300), "200 - y2 - h2")))
+    image = f"named_struct('origin', concat(look, '-', CAST(k AS STRING), '.png'), 'height', 200, 'width', 300, 'nChannels', 3, 'mode', 16, 'data', unhex(CASE WHEN look = 'striped' THEN {bars} ELSE concat({drawn}) END))"
+    return spark.sql(f"SELECT k, brand, look, {image} AS image FROM ({SQL['screens']}) s")
+
+
 def exported(df: DataFrame, header: bool = False, text: bool = False) -> str:
     """Write df as CSV (or its only column as text) under the session's shared folder, for the feed readers; the path."""
     spark = df.sparkSession
