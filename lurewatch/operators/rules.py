@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .fuzzy import text_pairs
 from .lexical import KEYWORDS, any_of, entropy, first_of, long, one
 
 
@@ -56,20 +55,14 @@ def lexical_score(df: DataFrame, domain: str = "domain", brand: Column | None =
 
 
 def fuzzy_scores(df: DataFrame, domain: str = "domain", threshold: float = 0.8) -> DataFrame:
-    """df plus fuzzy_score: brand_score, and where this is 0 the best sequence-match ratio of at least threshold.
-
-    The ratio is Python's, in Arrow batches over distinct names that the native tests left open."""
-
-    @F.pandas_udf("double")
-    def ratio(names: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        best = lambda n: max(SequenceMatcher(None, w, n.lower()).ratio() for w in _BRAND_WORDS)
-        return names.map(lambda n: r if (r := best(n)) >= threshold else 0.0)
+    """df plus fuzzy_score: brand_score, and where this is 0 the best ratio of a keyword and the name that reaches threshold.
 
+    The ratios come from a join of the keywords with the distinct names that the native tests left open."""
     scored = df.withColumn("_b", brand_score(F.col(domain)))
-    open_ = scored.filter("_b = 0").select(F.col(domain).alias("_n")).distinct().withColumn("_r", ratio("_n"))
-    return scored.join(open_, F.col(domain) == F.col("_n"), "left").withColumn("fuzzy_score", F.greatest("_b", F.coalesce("_r", F.lit(0.0)))).drop("_b", "_n", "_r")
+    open_ = scored.filter("_b = 0").select(F.col(domain).alias("l")).distinct()
+    words = df.sparkSession.createDataFrame([(w,) for w in _BRAND_WORDS], "r string")
+    best = text_pairs(open_, words, threshold).groupBy(F.col("l").alias("_n")).agg(F.max("ratio").alias("_r"))
+    return scored.join(best, F.col(domain) == F.col("_n"), "left").withColumn("fuzzy_score", F.greatest("_b", F.coalesce("_r", F.lit(0.0)))).drop("_b", "_n", "_r")
 
 
 def is_typosquatting(domain: Column, keywords=C.EDIT_KEYWORDS) -> Column:
@@ -110,22 +103,6 @@ def registered_homoglyphs(names: DataFrame, resolved: DataFrame) -> DataFrame:
     return variants.join(resolved.select(F.col("domain").alias("_r")).distinct(), F.col("variant") == F.col("_r"), "left_semi")
 
 
-def punycode(variants: DataFrame) -> DataFrame:
-    """variants plus `ascii`, the name that is looked up; null where it cannot be encoded."""
-
-    @F.pandas_udf("string")
-    def encode(names: pd.Series) -> pd.Series:
-        def one_name(n: str) -> str | None:
-            try:
-                return n.encode("idna").decode()
-            except UnicodeError:
-                return None
-
-        return names.map(one_name)
-
-    return variants.withColumn("ascii", F.when(F.col("variant").rlike("^[\\x00-\\x7f]*$"), F.col("variant")).otherwise(encode("variant")))
-
-
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789.-_"
 
 
@@ -197,42 +174,6 @@ def utility_category(domain: Column) -> Column:
     return out
 
 
-def token_set_best(df: DataFrame, reference: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """Best token-set ratio of each distinct name against a reference (domain, name, ord); first best wins. The reference
-    is taken in blocks of BLOCK rows, each a small list that goes to all tasks, and the best of the blocks counts."""
-    names = df.select("domain").distinct()
-    blocks = [r[0] for r in reference.select(F.floor(F.col("ord") / BLOCK).alias("b")).distinct().orderBy("b").collect()] or [0]
-    parts = [_best_of(names, [(r["domain"], r["name"]) for r in reference.filter(F.floor(F.col("ord") / BLOCK) == b).orderBy("ord").collect()], threshold).withColumn("b", F.lit(b)) for b in blocks]
-    best = F.max_by(F.struct("brand", "ratio"), F.struct("ratio", -F.col("b")))
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("domain").agg(best.alias("x")).select("domain", "x.*")
-
-
-BLOCK = 10_000
-
-
-def _best_of(names: DataFrame, ref: list[tuple[str, str]], threshold: float) -> DataFrame:
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
-        def token_set(a: str, b: str) -> float:
-            x, y = set(a.lower().replace("-", " ").replace(".", " ").split()), set(b.lower().replace("-", " ").replace(".", " ").split())
-            both, s, t = " ".join(sorted(x & y)), " ".join(sorted(x)), " ".join(sorted(y))
-            pairs = [(both, s), (both, t), (s, t)] if both else [(s, t)]
-            return max(100 * SequenceMatcher(None, p, r).ratio() for p, r in pairs)
-
-        for part in batches:
-            out = []
-            for n in part["domain"]:
-                best, name = 0.0, None
-                for d, who in ref:
-                    if (v := token_set(n, d)) > best and v >= threshold:
-                        best, name = v, who
-                out.append((n, name, best))
-            yield pd.DataFrame(out, columns=["domain", "brand", "ratio"])
-
-    return names.mapInPandas(score, "domain string, brand string, ratio double")
-
-
 def official_domain(brand: Column) -> Column:
     """Official domain of a brand's name, by the first entry of that name; 'unknown' without one."""
     out = F.lit("unknown")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import lexical as L
 from ..operators import rules as R
+from ..operators.idna import to_ascii
 from ..sources.fixtures import fixture
 from . import sqltext as S
 from .registry import query
@@ -100,7 +101,7 @@ def homoglyph_registered(spark, sf):
 
 @query("homoglyph_punycode")
 def homoglyph_punycode(spark, sf):
-    return R.punycode(R.homoglyphs(fixture(spark, sf, "domains").select("domain").distinct()))
+    return R.homoglyphs(fixture(spark, sf, "domains").select("domain").distinct()).withColumn("ascii", to_ascii(F.col("variant")))
 
 
 @query("char_encode", f"SELECT k, domain, list_transform(range(64), lambda i: CASE WHEN i = 0 THEN 2 WHEN i > length(domain) THEN 0 WHEN strpos('abcdefghijklmnopqrstuvwxyz0123456789.-_', substr(domain, CAST(i AS INT), 1)) > 0 THEN 2 + strpos('abcdefghijklmnopqrstuvwxyz0123456789.-_', substr(domain, CAST(i AS INT), 1)) ELSE 1 END) AS ids FROM {_DOMAINS} d")

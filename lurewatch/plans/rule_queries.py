@@ -9,6 +9,7 @@ from .. import constants as C
 from ..operators import lexical as L
 from ..operators import normalize as N
 from ..operators import rules as R
+from ..operators.fuzzy import best_reference
 from ..sources.fixtures import fixture
 from . import sqltext as S
 from .registry import query
@@ -94,7 +95,7 @@ def suspicious_feed(spark, sf):
 @query("brand_token_set")
 def brand_token_set(spark, sf):
     reference = spark.createDataFrame([(o, n, i) for i, (_, n, o) in enumerate(C.BRAND_ORDER)], "domain string, name string, ord int")
-    return R.token_set_best(fixture(spark, sf, "domains"), reference)
+    return best_reference(fixture(spark, sf, "domains"), reference)
 
 
 @query("watchlist_prefilter", f"SELECT k, domain FROM {D} d WHERE {S.any_of('lower(domain)', C.WATCHLIST)}")

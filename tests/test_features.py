@@ -88,15 +88,6 @@ def test_models_are_kept_and_leak_nothing(spark, tmp_path):
     assert (model.Sizes().trees, model.Sizes().depth, model.Sizes().rounds, model.Sizes().boost_depth) == (500, 12, 1000, 7)
 
 
-def test_reference_in_blocks(spark, monkeypatch):
-    from lurewatch.operators import rules
-
-    names = spark.createDataFrame([("sbi bank",), ("zzz",)], "domain string")
-    reference = spark.createDataFrame([(f"name{i}", f"n{i}", i) for i in range(30)] + [("bank sbi", "first", 30), ("sbi bank", "second", 31)], "domain string, name string, ord int")
-    monkeypatch.setattr(rules, "BLOCK", 7)
-    assert sorted((r.domain, r.brand, r.ratio) for r in rules.token_set_best(names, reference).collect()) == [("sbi bank", "first", 100.0), ("zzz", None, 0.0)]
-
-
 def test_batch_predictor_by_hand(spark):
     from lurewatch.operators import predict
 
@@ -117,11 +108,6 @@ def test_values_of_the_library_functions(spark):
     names = {"sbi-login.xyz": 1.0, "irctx": 0.8, "zzzz": 0.0, "onlinesbj": 16 / 18, "sbj": 0.0, "a digital b": 0.9}
     got = {r.domain: r.fuzzy_score for r in rules.fuzzy_scores(spark.createDataFrame([(n,) for n in names], "domain string")).collect()}
     assert got == {n: approx(v) for n, v in names.items()}
-    variants = {"b\u00fccher.de": "xn--bcher-kva.de", "\u0430pple.com": "xn--pple-43d.com", "plain.in": "plain.in", "a..\u00fc": None}
-    assert {r.variant: r.ascii for r in rules.punycode(spark.createDataFrame([(v,) for v in variants], "variant string")).collect()} == variants
     pages = {"<p>a<b>b</b></p><script>x</script>&amp;c": ("ab&c", "ab&amp;c"), "<style>p{}</style>t<!-- no -->": ("t", "t"), None: ("", None), "1 < 2": ("1 < 2", "1 < 2")}
     df = spark.createDataFrame([(p,) for p in pages], "html string")
     assert {r.html: (r.a, r.b) for r in df.select("html", content.visible_text("html").alias("a"), content.plain_text(F.col("html")).alias("b")).collect()} == pages
-    reference = spark.createDataFrame([("state bank", "A", 0), ("bank state", "B", 1), ("rail", "C", 2)], "domain string, name string, ord int")
-    best = {r.domain: (r.brand, r.ratio) for r in rules.token_set_best(spark.createDataFrame([("bank-state",), ("state.bank.login",), ("rial",)], "domain string"), reference).collect()}
-    assert best == {"bank-state": ("A", 100.0), "state.bank.login": ("A", 100.0), "rial": (None, 0.0)}
