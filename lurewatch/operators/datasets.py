@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import last_known
+
 
 def key_hash(key: Column, seed: int = 0) -> Column:
     return ((key + seed) * 2654435761) % 4294967296
@@ -78,8 +80,8 @@ def sample(df: DataFrame, key: Column, n: int, seed: int = 42) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, column: str, order: str, group: str) -> DataFrame:
-    window = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(window))
+    """df with the nulls of a column filled by the last value before them in their group, in order of a number, date or time."""
+    return last_known(df, column, order, group)
 
 
 def shuffled(df: DataFrame, key: Column, seed: int = 42) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running_sums
+
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share), most frequent first."""
@@ -36,10 +38,9 @@ def sweep(df: DataFrame, y: str, score: str, thresholds) -> DataFrame:
 def precision_threshold(df: DataFrame, y: str, score: str, target: float) -> DataFrame:
     """(threshold, precision): the least score cut whose precision reaches target, else the cut of best precision.
 
-    Scores are first counted; the running sums go over distinct scores alone."""
-    by = df.groupBy(F.round(score, 6).alias("threshold")).agg(F.count_if(y).alias("p"), F.count(F.lit(1)).alias("n"))
-    below = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = by.select("threshold", (F.sum("p").over(below) / F.sum("n").over(below)).alias("precision"))
+    Scores are first counted; the running sums go over ranges of the distinct scores."""
+    by = df.groupBy(F.round(score, 6).alias("threshold")).agg(F.count_if(y).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("down", -F.col("threshold"))
+    curve = running_sums(by, "down", {"ps": "p", "ns": "n"}).select("threshold", (F.col("ps") / F.col("ns")).alias("precision"))
     pick = F.coalesce(F.min_by(F.struct("threshold", "precision"), F.when(F.col("precision") >= target, F.col("threshold"))), F.max_by(F.struct("threshold", "precision"), F.struct("precision", "threshold")))
     return curve.agg(pick.alias("x")).select("x.threshold", F.round("x.precision", 6).alias("precision"))
 

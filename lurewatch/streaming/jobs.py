@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.rules import suspicious
-from ..operators.store import latest
 
 CT_SCHEMA = "message_type string, data struct<leaf_cert: struct<all_domains: array<string>>>"
 
@@ -44,18 +42,59 @@ def in_order(parts: Iterator[pd.DataFrame], names: tuple[str, ...]) -> list[tupl
     return sorted(found, key=lambda r: r[0])
 
 
-class Retry(StatefulProcessor):
-    """Counts failures of a job: 30 s and 120 s to the next tries, dead after the third."""
+class Expiring(StatefulProcessor):
+    """One value for each key that is forgotten `horizon` seconds of event time after the key's last row (`at`); without a horizon
+    never. A value that says nothing more is not kept at all."""
 
-    DELAYS = (30, 120)
+    FIELD, COLUMNS = "", ()
+
+    def __init__(self, horizon: int | None = None):
+        self.horizon = horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tries = handle.getValueState("tries", "n int")
+        self.handle = handle
+        self.value = handle.getValueState("value", self.FIELD)
+
+    def held(self, default):
+        return self.value.get()[0] if self.value.exists() else default
+
+    def keep(self, value, last) -> None:
+        """Hold a value (None: nothing) until `horizon` after the time `last`."""
+        if self.horizon is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+        if value is None:
+            self.value.clear()
+            return
+        self.value.update((value,))
+        if self.horizon is not None:
+            self.handle.registerTimer(int(pd.Timestamp(last).timestamp() * 1000) + 1000 * self.horizon)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        yield pd.DataFrame([], columns=list(self.COLUMNS))
+
+    def close(self) -> None:
+        pass
+
+
+def expiring(rows: DataFrame, key: str, processor: Expiring, schema: str, late: str) -> DataFrame:
+    """The processor's rows for each key; with a horizon, timers go by the event time `at`, which may be `late`."""
+    if processor.horizon is None:
+        return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "none")
+    return rows.withWatermark("at", late).groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+class Retry(Expiring):
+    """Counts failures of a job: 30 s and 120 s to the next tries, dead after the third. A job that is done or dead leaves no state."""
+
+    DELAYS = (30, 120)
+    FIELD, COLUMNS = "n int", ("job", "outcome", "retries", "delay_s")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        out = []
-        n = self.tries.get()[0] if self.tries.exists() else 0
-        for _, failed in in_order(rows, ("seq", "failed")):
+        out, n, last = [], self.held(0), None
+        for _, failed, *at in in_order(rows, ("seq", "failed", *(["at"] if self.horizon is not None else []))):
+            last = max([x for x in (last, *at) if x is not None], default=None)
             if not failed:
                 n = 0
                 out.append((key[0], "done", 0, 0))
@@ -63,57 +102,53 @@ class Retry(StatefulProcessor):
             n += 1
             out.append((key[0], "dead", n, 0) if n >= 3 else (key[0], "retry", n, self.DELAYS[n - 1]))
             n = 0 if n >= 3 else n
-        self.tries.update((n,))
-        yield pd.DataFrame(out, columns=["job", "outcome", "retries", "delay_s"])
-
-    def close(self) -> None:
-        pass
+        self.keep(n or None, last)
+        yield pd.DataFrame(out, columns=list(self.COLUMNS))
 
 
 RETRY_SCHEMA = "job long, outcome string, retries int, delay_s int"
 
 
-def retries(results: DataFrame) -> DataFrame:
-    """(job, seq, failed) -> (job, outcome, retries, delay_s)."""
-    return results.groupBy("job").transformWithStateInPandas(Retry(), RETRY_SCHEMA, "append", "none")
+def retries(results: DataFrame, horizon: int | None = None, late: str = "1 hour") -> DataFrame:
+    """(job, seq, failed) -> (job, outcome, retries, delay_s). With a horizon, results also have their time `at`, and a job that is heard
+    of no more is forgotten so many seconds after its last result."""
+    return expiring(results, "job", Retry(horizon), RETRY_SCHEMA, late)
 
 
-class Escalate(StatefulProcessor):
-    """Keeps a domain's last content state and reports parked or unrelated pages that turn into look-alikes."""
+class Escalate(Expiring):
+    """Keeps a domain's last content state and reports parked or unrelated pages that turn into look-alikes. Only those two states
+    can lead to a report, so no other is kept."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state string")
+    FIELD, COLUMNS = "state string", ("domain", "seq", "change")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        out = []
-        last = self.last.get()[0] if self.last.exists() else None
-        for seq, state, credentials in in_order(rows, ("seq", "state", "credentials")):
-            if last in ("parked", "unrelated") and state == "lookalike" and credentials:
+        out, state, last = [], self.held(None), None
+        for seq, new, credentials, *at in in_order(rows, ("seq", "state", "credentials", *(["at"] if self.horizon is not None else []))):
+            last = max([x for x in (last, *at) if x is not None], default=None)
+            if state in ("parked", "unrelated") and new == "lookalike" and credentials:
                 out.append((key[0], seq, "Suspected->Phishing"))
-            last = state
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["domain", "seq", "change"])
+            state = new
+        self.keep(state if state in ("parked", "unrelated") else None, last)
+        yield pd.DataFrame(out, columns=list(self.COLUMNS))
 
-    def close(self) -> None:
-        pass
 
-
-def escalations(checks: DataFrame) -> DataFrame:
-    """(domain, seq, state, credentials) -> (domain, seq, change)."""
-    return checks.groupBy("domain").transformWithStateInPandas(Escalate(), "domain string, seq long, change string", "append", "none")
+def escalations(checks: DataFrame, horizon: int | None = None, late: str = "1 day") -> DataFrame:
+    """(domain, seq, state, credentials) -> (domain, seq, change). With a horizon, checks also have their time `at`, and a domain is
+    forgotten so many seconds after its last check."""
+    return expiring(checks, "domain", Escalate(horizon), "domain string, seq long, change string", late)
 
 
 class Delayed(StatefulProcessor):
     """Holds a failed job back until its time has come: 30 s after the first failure, 120 s after the second; after the third
-    it is dead. A job is (job, failed); what comes out is what a worker may take now."""
+    it is dead. A job is (job, failed); what comes out is what a worker may take now. A job that is done or dead leaves no state,
+    and one that nobody reports on again goes after `horizon` seconds."""
 
-    def __init__(self, delays: tuple[int, int] = Retry.DELAYS):
-        self.delays = delays
+    def __init__(self, delays: tuple[int, int] = Retry.DELAYS, horizon: int = 86_400):
+        self.delays, self.horizon = delays, horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tries = handle.getValueState("tries", "n int")
+        self.tries = handle.getValueState("tries", "n int", ttlDurationMs=1000 * self.horizon)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         n, out = (self.tries.get()[0] if self.tries.exists() else 0), []
@@ -122,11 +157,13 @@ class Delayed(StatefulProcessor):
             if n >= 3:
                 out.append((key[0], "dead", n))
                 n = 0
-        self.tries.update((n,))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if n:
+            self.tries.update((n,))
             self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + 1000 * self.delays[n - 1])
+        else:
+            self.tries.clear()
         yield pd.DataFrame(out, columns=["job", "outcome", "retries"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -137,10 +174,10 @@ class Delayed(StatefulProcessor):
         pass
 
 
-def delayed(results: DataFrame, delays: tuple[int, int] = Retry.DELAYS) -> DataFrame:
+def delayed(results: DataFrame, delays: tuple[int, int] = Retry.DELAYS, horizon: int = 86_400) -> DataFrame:
     """(job, seq, failed) -> (job, outcome, retries): `ready` when the delay of a failed job has passed, `dead` after the
     third failure. Timers go by the processing time."""
-    return results.groupBy("job").transformWithStateInPandas(Delayed(delays), "job long, outcome string, retries int", "append", "processingTime")
+    return results.groupBy("job").transformWithStateInPandas(Delayed(delays, horizon), "job long, outcome string, retries int", "append", "processingTime")
 
 
 class Monitor(StatefulProcessor):
@@ -190,24 +227,3 @@ def daily_feed(spark: SparkSession, folder: str) -> DataFrame:
 def start_all(streams: dict[str, tuple[DataFrame, str]], folder: str) -> dict:
     """Start several streams (name -> stream and output folder) in one session, each with its own checkpoint."""
     return {n: s.writeStream.format("parquet").queryName(n).option("path", out).option("checkpointLocation", f"{folder}/{n}").trigger(availableNow=True).start() for n, (s, out) in streams.items()}
-
-
-def upsert_sink(path: str, key: str, *newest: str):
-    """A foreachBatch function that keeps the newest row of each key under path. A batch's changes are appended as one
-    Parquet folder (written again if the batch is), and `upserted` reads the newest rows; `compact` folds the folders."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        latest(batch, key, *newest).write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
-
-    run = uuid.uuid4().hex  # a new checkpoint counts its batches from 0 again and must not replace those of the old one
-    return write
-
-
-def upserted(spark: SparkSession, path: str, key: str, *newest: str) -> DataFrame:
-    """The table that `upsert_sink` keeps."""
-    return latest(spark.read.option("recursiveFileLookup", True).parquet(path), key, *newest)
-
-
-def compact(spark: SparkSession, path: str, to: str, key: str, *newest: str) -> None:
-    """Write the newest rows of path as one run under `to`."""
-    upserted(spark, path, key, *newest).write.mode("overwrite").parquet(f"{to}/run=compact/batch=0")

@@ -65,21 +65,6 @@ def test_certificate_names(spark):
     assert [r.domain for r in jobs.certificate_names(df).collect()] == ["sbi-kyc.xyz"]
 
 
-def test_upsert_sink(spark, tmp_path):
-    path = str(tmp_path / "s")
-    sink = jobs.upsert_sink(path, "k", "t")
-    sink(spark.createDataFrame([("a", 1), ("a", 2)], "k string, t int"), 0)
-    sink(spark.createDataFrame([("a", 3), ("b", 1)], "k string, t int"), 1)
-    sink(spark.createDataFrame([("a", 3), ("b", 1)], "k string, t int"), 1)  # a batch that is written again
-    want = [("a", 3), ("b", 1)]
-    assert sorted(map(tuple, jobs.upserted(spark, path, "k", "t").collect())) == want
-    again = jobs.upsert_sink(path, "k", "t")  # a new checkpoint begins at batch 0 and loses nothing
-    again(spark.createDataFrame([("c", 1), ("b", 0)], "k string, t int"), 0)
-    assert sorted(map(tuple, jobs.upserted(spark, path, "k", "t").collect())) == [*want, ("c", 1)]
-    jobs.compact(spark, path, str(tmp_path / "c"), "k", "t")
-    assert sorted(map(tuple, jobs.upserted(spark, str(tmp_path / "c"), "k", "t").collect())) == [*want, ("c", 1)]
-
-
 def test_order_across_chunks():
     import pandas as pd
 
