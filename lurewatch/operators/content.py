@@ -1,56 +1,11 @@
-"""Page-content features from HTML text, with native expressions; visible text by an Arrow UDF."""
+"""Page-content features from HTML text, with native expressions (marks and texts of pages: `markup`)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import constants as C
-from .lexical import KEYWORDS, any_of
-
-FORM = r"(?is)(<form\b.*?(?:</form>|$))"
-
-
-def forms(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(FORM), F.lit(1))
-
-
-def counts(html: Column) -> dict[str, Column]:
-    n = lambda p: F.regexp_count(html, F.lit(p)).cast("bigint")
-    styles = F.regexp_extract_all(html, F.lit(r'(?is)<[a-z][^>]*\sstyle="([^"]*)"'), F.lit(1))
-    return {"num_forms": n(r"(?i)<form[\s>]"), "iframe_count": n(r"(?i)<iframe[\s>]"), "hidden_element_count": F.size(F.filter(styles, lambda s: any_of(s, C.HIDDEN_STYLES))).cast("bigint")}
-
-
-def form_flags(html: Column, domain: Column) -> dict[str, Column]:
-    """Password input inside a form, and a form that posts to another host."""
-    action = lambda f: F.regexp_extract(f, r'(?is)<form\b[^>]*\saction="([^"]*)"', 1)
-    host = lambda u: F.regexp_extract(F.lower(u), r"^https?://([^/?#]*)", 1)
-    return {
-        "has_password_field": F.exists(forms(html), lambda f: f.rlike(r'(?is)<input\b[^>]*type="?password')),
-        "form_action_external": F.exists(forms(html), lambda f: F.startswith(F.lower(action(f)), F.lit("http")) & (host(action(f)) != F.lower(domain))),
-    }
-
-
-def external_ratio(html: Column, domain: Column) -> Column:
-    """Share of script and img tags whose source is another host's URL."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:script|img)\b[^>]*>)"), F.lit(1))
-    src = lambda t: F.regexp_extract(t, r'(?is)\ssrc="(https?://[^"]*)"', 1)
-    other = F.filter(tags, lambda t: (src(t) != "") & (F.regexp_extract(F.lower(src(t)), r"^https?://([^/?#]*)", 1) != F.lower(domain)))
-    return F.when(F.size(tags) > 0, F.size(other) / F.size(tags)).otherwise(0.0)
-
-
-def flags(html: Column) -> dict[str, Column]:
-    title = F.lower(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return {
-        "has_favicon": html.rlike(r'(?is)<link\b[^>]*rel="[^"]*icon'),
-        "has_copyright": F.contains(html, F.lit("©")) | F.contains(F.lower(html), F.lit("copyright")),
-        "title_has_brand": any_of(title, KEYWORDS),
-        "has_eval_js": F.contains(html, F.lit("eval(")),
-        "has_obfuscated_js": F.contains(html, F.lit("fromCharCode")) | F.contains(html, F.lit("unescape")),
-        "is_parked": any_of(F.lower(html), C.PARKED),
-    }
-
+from .lexical import any_of
 
 def live(html: Column, status: Column) -> Column:
     low = F.lower(html)
@@ -69,48 +24,7 @@ def plain_text(html: Column) -> Column:
     return html
 
 
-def visible_text(html: Column | str) -> Column:
-    """Text of a page as an HTML parser sees it, scripts and styles left out."""
-
-    @F.pandas_udf("string")
-    def read_pages(pages: pd.Series) -> pd.Series:
-        from html.parser import HTMLParser
-
-        class Reader(HTMLParser):
-            def __init__(self) -> None:
-                super().__init__()
-                self.out, self.skip = [], 0
-
-            def handle_starttag(self, tag, attrs):
-                self.skip += tag in ("script", "style")
-
-            def handle_endtag(self, tag):
-                self.skip -= tag in ("script", "style") and self.skip > 0
-
-            def handle_data(self, data):
-                if not self.skip:
-                    self.out.append(data)
-
-        def read(page: str | None) -> str:
-            r = Reader()
-            r.feed(page or "")
-            return "".join(r.out)
-
-        return pages.map(read)
-
-    return read_pages(html)
-
-
 def redirects(asked: Column, final: Column, hops: Column) -> dict[str, Column]:
     """Whether a fetch ended on another host (www. aside), and how many hops it took."""
     host = lambda u: F.replace(F.regexp_extract(F.lower(u), r"^https?://([^/?#]*)", 1), F.lit("www."), F.lit(""))
     return {"redirected_to_different_domain": (host(asked) != host(final)).cast("bigint"), "redirect_count": F.coalesce(F.size(hops), F.lit(0)).cast("bigint")}
-
-
-def page_analysis(html: Column) -> dict[str, Column]:
-    """Credential flag (a password input), number of forms, title."""
-    return {
-        "has_credentials": F.coalesce(html.rlike(r'(?is)<input\b[^>]*type="?password'), F.lit(False)),
-        "form_count": F.coalesce(F.regexp_count(html, F.lit(r"(?i)<form[\s>]")), F.lit(0)).cast("bigint"),
-        "title": F.coalesce(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")),
-    }

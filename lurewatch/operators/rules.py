@@ -211,8 +211,20 @@ def template_score(brand: Column, template: Column, words, split: str) -> Column
     return both + parts
 
 
-def best_template(brands: DataFrame, templates: DataFrame, score: Column) -> DataFrame:
-    """(brand) by (i, template): the template of the best score, the first of equals; a score of 0 counts. Both sides
-    are lists of brands and of their pictures."""
-    pairs = brands.join(F.broadcast(templates)).withColumn("s", score)
+def best_template(templates: DataFrame, brands: list[str], score: Column) -> DataFrame:
+    """(brand, template, score) for each of a short list of brands: of templates (i, template) the one of the best score, the first of equals; a
+    score of 0 counts. `score` is over brand and template. Combined before the shuffle, so a list of any length of templates is
+    read once."""
+    pairs = templates.withColumn("brand", F.explode(F.array(*[F.lit(b) for b in brands]))).withColumn("s", score)
     return pairs.groupBy("brand").agg(F.max_by("template", F.struct("s", -F.col("i"))).alias("template"), F.max("s").cast("bigint").alias("score"))
+
+
+def synthetic(brands: DataFrame, suffixes, subs, tlds, n: int) -> DataFrame:
+    """(domain): made-up phishing names of the distinct brands, n of brand, suffix and tld, and n with brand as a subdomain; those of
+    least hash."""
+    each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    made = brands.select("brand").distinct().withColumn("tld", each(tlds)).withColumn("suffix", each(suffixes))
+    plain = made.select(F.concat("brand", "suffix", "tld").alias("domain"))
+    under = made.withColumn("sub", each(subs)).select(F.concat("brand", F.lit("."), "sub", "suffix", "tld").alias("domain"))
+    least = lambda df: df.distinct().orderBy(F.md5("domain"), "domain").limit(n)
+    return least(plain).unionByName(least(under)).distinct()

@@ -11,10 +11,12 @@ from ..operators import datasets as DS
 from ..operators import decide as V
 from ..operators import evaluate as E
 from ..operators import lexical as L
+from ..operators import markup as MK
 from ..operators import model as M
 from ..operators import network as NW
 from ..operators import normalize as N
 from ..operators import predict as P
+from ..operators import rules as R
 from ..operators import store as ST
 from ..operators import visual as VI
 from ..sources.fixtures import fixture
@@ -198,13 +200,16 @@ def forward_fill(spark, sf):
     return DS.forward_fill(rows, "name", "k", "g").select("k", "g", "name")
 
 
-_B, _X, _T = ("sbi", "hdfc", "icici", "pnb"), ("-login", "-secure", "-kyc", "-update"), ("xyz", "top", "in", "com")
+_SUFFIXES, _SUBS, _TLDS = ("-login", "-secure", "-verify", "-update", "-help", "-support", "-banking", "-online", "login", "secure", "verify", "update"), ("portal", "service", "secure", "check"), (".net", ".org", ".in", ".co", ".info", ".xyz", ".top")
+_KEYED = f"(SELECT DISTINCT {S.first_of('lower(domain)', [(w, w) for w in L.KEYWORDS])} AS b FROM {D} d)"
+_MADE = f"(SELECT unnest([{S.words(_SUFFIXES)}]) AS x) x, (SELECT unnest([{S.words(_TLDS)}]) AS t) t"
 
 
-@query("synthetic_names", f"SELECT concat(b, x, '.', t) AS domain FROM (SELECT unnest([{S.words(_B)}]) AS b) a, (SELECT unnest([{S.words(_X)}]) AS x) c, (SELECT unnest([{S.words(_T)}]) AS t) d")
+@query("synthetic_names", f"(SELECT DISTINCT concat(b, x, t) AS domain FROM {_KEYED} b, {_MADE} WHERE b IS NOT NULL ORDER BY md5(concat(b, x, t)), domain LIMIT 100) UNION (SELECT DISTINCT concat(b, '.', s, x, t) AS domain FROM {_KEYED} b, (SELECT unnest([{S.words(_SUBS)}]) AS s) s, {_MADE} WHERE b IS NOT NULL ORDER BY md5(concat(b, '.', s, x, t)), domain LIMIT 100)")
 def synthetic_names(spark, sf):
-    column = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    return column("b", _B).crossJoin(column("x", _X)).crossJoin(column("t", _T)).select(F.concat("b", "x", F.lit("."), "t").alias("domain"))  # three fixed lists
+    """Made-up names of the brands that the given names hold."""
+    brands = fixture(spark, sf, "domains").select(R.first_keyword(F.col("domain")).alias("brand")).filter("brand <> 'Generic'")
+    return R.synthetic(brands, _SUFFIXES, _SUBS, _TLDS, 100)
 
 
 # ---- network facts ----
@@ -253,33 +258,61 @@ def cert_match(spark, sf):
 # ---- content and images ----
 
 
-@query("content_counts", f"SELECT k, domain, {S.long('len(regexp_extract_all(html, ' + S.q('<form[ >]') + '))')} AS num_forms, {S.long('len(regexp_extract_all(html, ' + S.q('<iframe[ >]') + '))')} AS iframe_count, {S.long('CASE WHEN k % 6 = 0 THEN 2 ELSE 0 END')} AS hidden_element_count FROM {HTML} h")
+@query("content_counts", f"SELECT k, domain, {S.long('len(regexp_extract_all(html, ' + S.q('<form[ >]') + '))')} AS num_forms, {S.long('len(regexp_extract_all(html, ' + S.q('<iframe[ >]') + '))')} AS iframe_count, {S.long('len(regexp_extract_all(html, ' + S.q('display: ?none|visibility: ?hidden') + '))')} AS hidden_element_count FROM {HTML} h")
 def content_counts(spark, sf):
-    return fixture(spark, sf, "html").select("k", "domain", *(c.alias(n) for n, c in H.counts(F.col("html")).items()))
+    return html_tokens(spark, sf).select("k", "domain", *(c.alias(n) for n, c in MK.counts(F.col("tokens")).items()))
 
 
-@query("content_forms", f"SELECT k, domain, k % 4 = 0 AS has_password_field, k % 4 = 0 AS form_action_external FROM {HTML} h")
+_ACTION = "regexp_extract(html, '<form action=\"https?://([^/\"]*)', 1)"
+
+
+@query("content_forms", f"SELECT k, domain, contains(regexp_extract(html, '<form.*?</form>'), 'type=\"password\"') AS has_password_field, {_ACTION} <> '' AND {_ACTION} <> domain AS form_action_external FROM {HTML} h")
 def content_forms(spark, sf):
-    return fixture(spark, sf, "html").select("k", "domain", *(c.alias(n) for n, c in H.form_flags(F.col("html"), F.col("domain")).items()))
+    return html_tokens(spark, sf).select("k", "domain", *(c.alias(n) for n, c in MK.forms(F.col("tokens"), F.col("domain")).items()))
 
 
-_TAGS = "(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 8 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 9 = 0 THEN 2 ELSE 0 END)"
+_TAGS, _FAR = "len(regexp_extract_all(html, '<(script|img)'))", "len(list_filter(regexp_extract_all(html, 'src=\"https?://([^/\"]*)', 1), lambda h: h <> domain))"
 
 
-@query("content_external", f"SELECT k, domain, {S.r6(f'CASE WHEN {_TAGS} > 0 THEN CAST(CASE WHEN k % 8 = 0 THEN 1 ELSE 0 END AS DOUBLE) / {_TAGS} ELSE 0 END')} AS external_ratio FROM {HTML} h")
+@query("content_external", f"SELECT k, domain, {S.r6(f'CASE WHEN {_TAGS} > 0 THEN CAST({_FAR} AS DOUBLE) / {_TAGS} ELSE 0 END')} AS external_ratio FROM {HTML} h")
 def content_external(spark, sf):
-    return fixture(spark, sf, "html").select("k", "domain", F.round(H.external_ratio(F.col("html"), F.col("domain")), 6).alias("external_ratio"))
+    return html_tokens(spark, sf).select("k", "domain", F.round(MK.external_ratio(F.col("tokens"), F.col("domain")), 6).alias("external_ratio"))
+
 
+_TITLE = "lower(regexp_extract(html, '<title>(.*?)</title>', 1))"
 
-@query("content_flags", f"SELECT k, domain, k % 3 = 0 AS has_favicon, k % 10 = 0 AS has_copyright, k % 2 = 0 AS title_has_brand, contains(html, 'eval(') AS has_eval_js, contains(html, 'fromCharCode') OR contains(html, 'unescape') AS has_obfuscated_js, false AS is_parked FROM {HTML} h")
+
+@query("content_flags", f"SELECT k, domain, contains(html, 'rel=\"shortcut icon\"') AS has_favicon, contains(lower(html), 'copyright') AS has_copyright, {S.any_of(_TITLE, L.KEYWORDS)} AS title_has_brand, contains(html, 'eval(') AS has_eval_js, contains(html, 'fromCharCode') OR contains(html, 'unescape') AS has_obfuscated_js, {S.any_of('lower(html)', C.PARKED)} AS is_parked FROM {HTML} h")
 def content_flags(spark, sf):
-    return fixture(spark, sf, "html").select("k", "domain", *(c.alias(n) for n, c in H.flags(F.col("html")).items()))
+    return html_tokens(spark, sf).select("k", "domain", *(c.alias(n) for n, c in MK.flags(F.col("tokens"), F.col("html")).items()))
+
+
+def html_tokens(spark, sf):
+    return MK.parsed(fixture(spark, sf, "html"))
 
 
 @query("content_text")
 def content_text(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    return pages.select("page_id", F.length(H.visible_text("html")).alias("page_text_length"))
+    pages = MK.parsed(spark.read.parquet(f"{sf}/pages.parquet"))
+    return pages.select("page_id", F.length(MK.text(F.col("tokens"))).alias("page_text_length"))
+
+
+#: the given pages hold no quoted end of a tag, so patterns see the same marks
+_SEEN = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
+
+
+_PAGE_TITLE = f"regexp_extract(html, {S.q('(?is)<title[^>]*>(.*?)</title>')}, 1)"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    _PAGE_TITLE = f"replace({_PAGE_TITLE}, {S.q(_a)}, {S.q(_b)})"
+
+
+@query("page_counts", f"SELECT page_id, {S.long(f'len(regexp_extract_all({_SEEN}, {S.q("(?i)<a[ >]")}))')} AS links, {S.long(f'len(regexp_extract_all({_SEEN}, {S.q("(?i)<form[ >]")}))')} AS num_forms, {S.long(f'len(regexp_extract_all({_SEEN}, {S.q("(?i)<iframe[ >]")}))')} AS iframe_count, {S.long(f'len(regexp_extract_all(html, {S.q("(?i)<script[ >]")}))')} AS scripts, trim({_PAGE_TITLE}) AS title FROM pages")
+def page_counts(spark, sf):
+    """Marks of the given pages, from their token streams."""
+    t = F.col("tokens")
+    n = lambda tag: F.size(F.filter(t, lambda x: (x["tag"] == tag) & ~x["ends"])).cast("bigint")
+    counts = MK.counts(t)
+    return MK.parsed(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", n("a").alias("links"), counts["num_forms"].alias("num_forms"), counts["iframe_count"].alias("iframe_count"), n("script").alias("scripts"), F.trim(MK.title(t)).alias("title"))
 
 
 _PLAIN = "html"

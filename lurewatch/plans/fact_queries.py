@@ -10,6 +10,7 @@ from ..operators import datasets as DS
 from ..operators import decide as V
 from ..operators import evaluate as E
 from ..operators import lexical as L
+from ..operators import markup as MK
 from ..operators import network as NW
 from ..operators import normalize as N
 from ..operators import predict as P
@@ -128,40 +129,60 @@ def official_domains(spark, sf):
     return domains(spark, sf).select("k", name.alias("brand"), R.first_keyword(F.col("domain")).alias("keyword")).withColumn("official", R.official_domain(F.col("brand")))
 
 
-@query("sector_mask", f"SELECT k, coalesce({S.any_of('lower(target)', C.SECTOR_WORDS)}, false) OR {S.any_of('lower(domain)', C.SECTOR_WORDS)} AS sector FROM (SELECT k, domain, CASE WHEN k % 6 <> 0 THEN target END AS target FROM {FEED} f) t")
+@query("sector_mask_target", f"SELECT k, coalesce({S.any_of('lower(target)', C.SECTOR_WORDS)}, false) OR {S.any_of('lower(domain)', C.SECTOR_WORDS)} AS sector FROM (SELECT k, domain, CASE WHEN k % 6 <> 0 THEN target END AS target FROM {FEED} f) t")
 def sector_mask(spark, sf):
     target = F.when(F.col("k") % 6 != 0, F.col("target"))
     return fixture(spark, sf, "feed").select("k", R.sector_mask(target, F.col("domain")).alias("sector"))
 
 
-_TEMPLATES = ["sbi_login_sbi.co.in", "state_bank_of_india_sbi", "icici_bank", "irctc_home", "nic_portal", "bank_of_baroda_bob", "hdfc_netbanking", "pnb_one", "census_home"]
+TEMPLATES = S.fixture("templates")
 _BRANDS = [n for _, n, _ in C.BRAND_ORDER]
 _NORM = "replace(replace(replace(replace(lower(brand), '(', ''), ')', ''), '&', 'and'), ' ', '_')"
 
 
 def _best(brand: str, words, sep: str) -> str:
+    """Names with their brand and its best template."""
     score = " + ".join(f"CASE WHEN contains(b, {S.q(w)}) AND contains(t, {S.q(w)}) THEN 3 ELSE 0 END" for w in words)
     score += f" + len(list_filter(string_split(b, {S.q(sep)}), lambda w: length(w) > 3 AND contains(t, w)))"
-    return f"SELECT brand, arg_max(template, s * 1000 - i) AS template, CAST(max(s) AS BIGINT) AS score FROM (SELECT *, {score} AS s FROM (SELECT brand, {brand} AS b, template, lower(template) AS t, i FROM (SELECT unnest([{S.words(_BRANDS)}]) AS brand) x, (VALUES {', '.join(f'({i}, {S.q(t)})' for i, t in enumerate(_TEMPLATES))}) y(i, template)) z) v GROUP BY brand"
+    best = f"SELECT brand, arg_max(template, s * 1000000 - i) AS template, CAST(max(s) AS BIGINT) AS score FROM (SELECT *, {score} AS s FROM (SELECT brand, {brand} AS b, template, lower(template) AS t, i FROM (SELECT unnest([{S.words(_BRANDS)}]) AS brand) x, {TEMPLATES} y) p) q GROUP BY brand"
+    return f"SELECT k, n.brand, template, score FROM (SELECT k, {_NAME} AS brand FROM {D} d) n LEFT JOIN ({best}) z ON n.brand = z.brand"
 
 
-def _lists(spark):
-    return spark.createDataFrame([(b,) for b in _BRANDS], "brand string"), spark.createDataFrame(list(enumerate(_TEMPLATES)), "i int, template string")
+def _with_template(spark, sf, norm, words, split):
+    score = R.template_score(norm, F.col("template"), words, split)
+    best = R.best_template(fixture(spark, sf, "templates"), _BRANDS, score)
+    names = domains(spark, sf).select("k", R.brand_of(F.col("domain"))[0].alias("brand"))
+    return names.join(F.broadcast(best), "brand", "left").select("k", "brand", "template", "score")  # a row for each brand of the list
 
 
 @query("template_best_words", _best(_NORM, C.CENSUS_TEMPLATE_WORDS, "_"))
 def template_best_words(spark, sf):
-    norm = F.lower("brand")
-    for a, b in (("(", ""), (")", ""), ("&", "and"), (" ", "_")):
-        norm = F.replace(norm, F.lit(a), F.lit(b))
-    brands, templates = _lists(spark)
-    return R.best_template(brands, templates, R.template_score(norm, F.col("template"), C.CENSUS_TEMPLATE_WORDS, "_"))
+    return _with_template(spark, sf, _norm("brand"), C.CENSUS_TEMPLATE_WORDS, "_")
 
 
 @query("template_by_brand", _best("lower(brand)", C.PICTURE_WORDS, " "))
 def template_by_brand(spark, sf):
-    brands, templates = _lists(spark)
-    return R.best_template(brands, templates, R.template_score(F.col("brand"), F.col("template"), C.PICTURE_WORDS, " "))
+    return _with_template(spark, sf, F.col("brand"), C.PICTURE_WORDS, " ")
+
+
+def _norm(column):
+    norm = F.lower(column)
+    for a, b in (("(", ""), (")", ""), ("&", "and"), (" ", "_")):
+        norm = F.replace(norm, F.lit(a), F.lit(b))
+    return norm
+
+
+_TS = " + ".join(f"CASE WHEN contains(b, {S.q(w)}) AND contains(t, {S.q(w)}) THEN 3 ELSE 0 END" for w in C.TEMPLATE_WORDS) + " + CASE WHEN contains(t, b) THEN 4 ELSE 0 END"
+_TB = f"SELECT brand, arg_max(template, s * 1000000 - i) AS template, CAST(max(s) AS BIGINT) AS score FROM (SELECT *, {_TS} AS s FROM (SELECT brand, {_NORM} AS b, template, lower(template) AS t, i FROM (SELECT unnest([{S.words(_BRANDS)}]) AS brand) x, {TEMPLATES} y) p) q GROUP BY brand"
+
+
+@query("template_best", f"SELECT k, n.brand, template, score FROM (SELECT k, {_NAME} AS brand FROM {D} d) n LEFT JOIN ({_TB}) z ON n.brand = z.brand")
+def template_best(spark, sf):
+    """The template of each name's brand by shared words and containment."""
+    b, t = _norm("brand"), F.lower("template")
+    score = sum((F.when(F.contains(b, F.lit(w)) & F.contains(t, F.lit(w)), 3).otherwise(0) for w in C.TEMPLATE_WORDS), F.when(F.contains(t, b), 4).otherwise(0))
+    best = R.best_template(fixture(spark, sf, "templates"), _BRANDS, score)
+    return domains(spark, sf).select("k", R.brand_of(F.col("domain"))[0].alias("brand")).join(F.broadcast(best), "brand", "left").select("k", "brand", "template", "score")  # a row for each brand of the list
 
 
 # ---- pages and pictures ----
@@ -177,13 +198,18 @@ def redirects(spark, sf):
 
 @query("page_analysis", f"SELECT k, contains(html, 'type=\"password\"') AS has_credentials, CAST((length(html) - length(replace(html, '<form', ''))) / 5 AS BIGINT) AS form_count, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM {HTML} h")
 def page_analysis(spark, sf):
-    return fixture(spark, sf, "html").select("k", *(x.alias(n) for n, x in H.page_analysis(F.col("html")).items()))
+    return MK.parsed(fixture(spark, sf, "html")).select("k", *(x.alias(n) for n, x in MK.page_analysis(F.col("tokens")).items()))
+
+
+_FAR = "CASE WHEN coalesce({0}, 0) = 0 OR coalesce({1}, 0) = 0 THEN 100 ELSE CAST(bit_count(xor(CAST({0} AS BIGINT), CAST({1} AS BIGINT))) AS BIGINT) END"
+_LEAST = f"least({_FAR.format('h1', 'h2')}, {_FAR.format('h1', '(h2 * 3)')})"
 
 
-@query("min_visual", f"SELECT k, least(CAST(k % 30 AS DOUBLE), CAST(k % 17 + 5 AS DOUBLE)) AS distance, least(k % 30, k % 17 + 5) <= 15 AS lookalike FROM {D} d")
+@query("min_visual", f"SELECT k, CAST({_LEAST} AS DOUBLE) AS distance, {_LEAST} <= 15 AS lookalike FROM {S.fixture('hashes')} h")
 def min_visual(spark, sf):
-    least, hit = VI.nearest(F.array(F.col("k") % 30, F.col("k") % 17 + 5))
-    return domains(spark, sf).select("k", least.alias("distance"), hit.alias("lookalike"))
+    c = F.col
+    least, hit = VI.nearest(F.array(VI.hamming(c("h1"), c("h2")), VI.hamming(c("h1"), c("h2") * 3)))
+    return fixture(spark, sf, "hashes").select("k", least.alias("distance"), hit.alias("lookalike"))
 
 
 @query("full_enrichment", f"WITH {S.shared(D)} SELECT s.k, s.domain, {S.long('length(d)')} AS domain_length, {S.r6(S.entropy('d'))} AS domain_entropy, {_days('created', _T)} AS domain_age_days, CAST(coalesce({S.any_of('lower(registrar)', C.RISKY_REGISTRARS)}, false) AS BIGINT) AS registrar_risk, CAST(w.country = 'India' AS BIGINT) AS ip_in_india, CAST(CASE WHEN s.k % 2 = 0 THEN s.k % 10 ELSE 0 END AS DOUBLE) AS visual_complexity FROM s JOIN {WH} w ON s.k = w.k")
@@ -217,9 +243,13 @@ _TOKENS = "list_filter(regexp_split_to_array(domain, '[^a-zA-Z0-9]'), lambda t:
 _OBF = f"len(list_filter({_TOKENS}, lambda t: " + " OR ".join(f"levenshtein(t, {S.q(w)}) BETWEEN 1 AND 2" for w in L.KEYWORDS) + ")) > 0"
 
 
-@query("pattern_counters", f"SELECT count(*) FILTER (concat('.', list_last(string_split(domain, '.'))) IN ({S.words(C.UNUSUAL_TLDS)})) AS unusual_tld, count(*) FILTER ({_OBF}) AS obfuscated_kw, count(*) FILTER (k % 5 = 0) AS phishing_in_path, count(*) FILTER (false) AS ip_based FROM {D} d")
+_ADDRESS = "concat(CASE WHEN k % 7 = 3 THEN concat('10.', k % 256, '.0.', k % 100) ELSE domain END, split_part('/sbi/login|/about|/|/Help/irctc', '|', CAST(k % 4 + 1 AS INT)))"
+_HOSTS = f"(SELECT *, regexp_extract(a, '^[^/]*') AS domain, regexp_extract(a, '^[^/]*/(.*)$', 1) AS p FROM (SELECT k, {_ADDRESS} AS a FROM {D} d) x)"
+
+
+@query("pattern_counters", f"SELECT count(*) FILTER (concat('.', list_last(string_split(domain, '.'))) IN ({S.words(C.UNUSUAL_TLDS)})) AS unusual_tld, count(*) FILTER ({_OBF}) AS obfuscated_kw, count(*) FILTER ({S.any_of('p', L.KEYWORDS)}) AS phishing_in_path, count(*) FILTER (regexp_full_match(domain, '[0-9]+([.][0-9]+){{3}}')) AS ip_based FROM {_HOSTS} h")
 def pattern_counters(spark, sf):
-    name = F.concat("domain", F.when(F.col("k") % 5 == 0, "/sbi/login").otherwise("/about"))
+    name = F.expr(_ADDRESS)
     host = F.regexp_extract(name, "^[^/]*", 0)
     flags = {"unusual_tld": F.concat(F.lit("."), F.element_at(F.split(host, "[.]"), -1)).isin(*C.UNUSUAL_TLDS), "obfuscated_kw": R.obfuscation(host).isNotNull(), "phishing_in_path": L.any_of(F.regexp_extract(name, "^[^/]*/(.*)$", 1), L.KEYWORDS), "ip_based": host.rlike(r"^\d+\.\d+\.\d+\.\d+$")}
     return E.pattern_counts(domains(spark, sf), flags)

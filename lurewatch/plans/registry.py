@@ -13,6 +13,8 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
         QUERIES[name] = f
         if sql:
             ORACLES[name] = sql

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .. import constants as C
 from ..operators import lexical as L
@@ -192,25 +191,3 @@ def brand_theta(spark, sf):
     brands = spark.createDataFrame(list(enumerate(L.KEYWORDS)), "i int, kw string")
     names = fixture(spark, sf, "domains")
     return names.join(F.broadcast(brands), F.contains("domain", F.col("kw"))).groupBy("k", "domain").agg(F.min_by("kw", "i").alias("brand"))
-
-
-_TEMPL = ["sbi_login_sbi.co.in", "state_bank_of_india_sbi", "icici_bank", "irctc_home", "nic_portal", "bank_of_baroda_bob", "hdfc_netbanking", "pnb_one"]
-_TS = " + ".join(f"CASE WHEN contains(n.norm, {S.q(w)}) AND contains(t.t, {S.q(w)}) THEN 3 ELSE 0 END" for w in C.TEMPLATE_WORDS) + " + CASE WHEN contains(t.t, n.norm) THEN 4 ELSE 0 END"
-_NORM = "replace(replace(replace(replace(lower(name), '(', ''), ')', ''), '&', 'and'), ' ', '_')"
-
-
-_NAMES = f"SELECT name, {_NORM} AS norm FROM (VALUES {', '.join(f'({S.q(n)})' for _, n, _ in C.BRAND_ORDER)}) v(name)"
-_SCORED = f"SELECT n.name, t.t, t.i, {_TS} AS s FROM ({_NAMES}) n, (VALUES {', '.join(f'({i}, {S.q(t)})' for i, t in enumerate(_TEMPL))}) t(i, t)"
-
-
-@query("template_best", f"SELECT name, arg_max(t, s * 100 - i) AS template, CAST(max(s) AS BIGINT) AS score FROM ({_SCORED}) x GROUP BY name")
-def template_best(spark, sf):
-    norm = F.lower("name")
-    for a, b in (("(", ""), (")", ""), ("&", "and"), (" ", "_")):
-        norm = F.replace(norm, F.lit(a), F.lit(b))
-    names = spark.createDataFrame([(n,) for _, n, _ in C.BRAND_ORDER], "name string").withColumn("norm", norm)
-    templates = spark.createDataFrame(list(enumerate(_TEMPL)), "i int, t string")
-    score = sum((F.when(F.contains("norm", F.lit(w)) & F.contains("t", F.lit(w)), 3).otherwise(0) for w in C.TEMPLATE_WORDS), F.when(F.contains("t", F.col("norm")), 4).otherwise(0))
-    best = Window.partitionBy("name").orderBy(F.desc("s"), "i")
-    found = names.join(F.broadcast(templates)).withColumn("s", score).withColumn("r", F.row_number().over(best)).filter("r = 1")  # both sides are fixed lists
-    return found.select("name", F.col("t").alias("template"), F.col("s").cast("bigint").alias("score"))

@@ -75,6 +75,9 @@ SELECT k, brand, CASE WHEN n % 5 = 0 THEN 'striped' ELSE split_part('blue|orange
   10 + a % 20 AS x1, 8 + n % 5 AS y1, 60 + a % 160 AS w1, 20 + n * 2 AS h1, 12 + n AS x2, 100 AS y2, 90 + a % 97 AS w2, 12 + a % 40 AS h2
 FROM (SELECT s_suppkey AS k, CAST(s_nationkey AS BIGINT) AS n, CAST(floor(abs(s_acctbal)) AS BIGINT) AS a,
   split_part('State Bank of India (SBI)|ICICI Bank|HDFC Bank|Airtel', '|', CAST(s_suppkey % 4 + 1 AS INT)) AS brand FROM supplier) s""",
+    "templates": """
+SELECT s_suppkey AS i, concat(split_part('sbi_login_sbi.co.in|state_bank_of_india_sbi|ICICI_bank|irctc_home|nic_portal|bank_of_baroda_bob|hdfc_netbanking|pnb_one|census_home', '|', CAST(s_nationkey % 9 + 1 AS INT)), '_', s_suppkey) AS template
+FROM supplier""",
     "jobs": """
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value FROM events""",
     "monitored": f"""
@@ -88,7 +91,7 @@ SQL["html"] = SQL["html"].replace("""'<img src="http://', domain, '/i.png"><img
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register tables as temporary views."""
-    for name in names or ("customer", "orders", "lineitem", "events"):
+    for name in names or ("customer", "orders", "lineitem", "events", "supplier"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
@@ -113,7 +116,11 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported(df: DataFrame, header: bool = False, text: bool = False) -> str:
     """Write df as CSV (or its only column as text) under the session's shared folder, for the feed readers; the path."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{where.rstrip('/')}/feed-{uuid.uuid4().hex}"
     if text:
         df.write.text(path)
