@@ -57,6 +57,11 @@ def token_set_ratio(a: list[str], b: list[str]) -> int:
     return max(round(100 * ratio(p, q)) for p, q in pairs if p and q) if one and two else 0
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokens(name: Column) -> Column:
     """Sorted distinct words of letters, digits and underscores, lower-cased."""
     parts = F.split(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_]+", " "), " ")
@@ -65,8 +70,9 @@ def tokens(name: Column) -> Column:
 
 def letter_pairs(words: Column) -> Column:
     """The pairs of neighbouring letters of words padded by blanks, the n-th equal pair marked by n."""
-    pairs = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))))
-    return F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == p)).cast("string")))
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))
+    marked = lambda pairs: F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == p)).cast("string")))
+    return let(F.flatten(F.transform(words, of)), marked)
 
 
 def _common(of: DataFrame, column: str) -> list[str]:
@@ -84,7 +90,7 @@ def _in_order(elements: Column, common: list[str]) -> Column:
 def _until(words: Column, left: Column) -> Column:
     """The first words, until the others with their blanks are shorter than `left`."""
     weight = lambda ws: F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w) + 1)
-    return F.filter(words, lambda w, i: weight(F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0)))) >= left)
+    return let(words, lambda ws: F.filter(ws, lambda w, i: weight(F.slice(ws, i + 1, F.greatest(F.size(ws) - i, F.lit(0)))) >= left))
 
 
 def _met(left: DataFrame, right: DataFrame, on: tuple[str, str], within: Column | None = None, size: int = 0) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fuzzy import let
+
 #: fixed values of the coder: digits, thresholds, damping, skew, first bias, first code point
 BASE, LEAST, MOST, SKEW, DAMP, BIAS, FIRST = 36, 1, 26, 38, 700, 72, 128
 _DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -75,18 +77,13 @@ def prepared(label: Column) -> Column:
     right = lambda x: x.rlike(f"[{_RIGHT}]") & (x.rlike(f"[\\p{{L}}&&[^{_RIGHT}]]") | ~x.rlike(f"^[{_RIGHT}]") | ~x.rlike(f"[{_RIGHT}]$"))
     moved = _ranges([*one, *gone, *several, *bad])
     stays = ~label.rlike(f"[A-Z{moved}\\p{{M}}{_RIGHT}\\x{{10000}}-\\x{{10FFFF}}]")  # most labels, at the price of one pattern
-    return F.when(stays, label).otherwise(_let(F.when(~unfit, low), lambda x: F.when(~right(x), x)))
+    return F.when(stays, label).otherwise(let(F.when(~unfit, low), lambda x: F.when(~right(x), x)))
 
 
 def _long(x) -> Column:
     return (F.lit(x) if isinstance(x, int) else x).cast("bigint")
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _written(delta: Column, bias: Column) -> Column:
     """A step as digits."""
 
@@ -113,7 +110,7 @@ def _adapted(delta: Column, points: Column, first: Column) -> Column:
 def bootstring(label: Column) -> Column:
     """A label's ASCII letters, a hyphen if there are any, and the steps that put in the others."""
     letters = F.filter(F.split(label, ""), lambda c: c != "")
-    return _let(F.transform(letters, lambda c, i: F.struct(_long(F.ascii(c)).alias("c"), _long(i).alias("at"), c.alias("text"))), _steps)
+    return let(F.transform(letters, lambda c, i: F.struct(_long(F.ascii(c)).alias("c"), _long(i).alias("at"), c.alias("text"))), _steps)
 
 
 def _steps(placed: Column) -> Column:
@@ -122,7 +119,7 @@ def _steps(placed: Column) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         place = _long(F.size(F.filter(placed, lambda y: (y["at"] < x["at"]) & (y["c"] <= x["c"]))))
-        moved = _let(F.struct(place.alias("place"), ((x["c"] - s["n"]) * (s["h"] + 1) + place - s["i"]).alias("delta")), lambda m: F.struct(
+        moved = let(F.struct(place.alias("place"), ((x["c"] - s["n"]) * (s["h"] + 1) + place - s["i"]).alias("delta")), lambda m: F.struct(
             x["c"].alias("n"), _long(m["place"] + 1).alias("i"), _long(s["h"] + 1).alias("h"), _adapted(m["delta"], s["h"] + 1, s["first"]).alias("bias"),
             F.lit(False).alias("first"), F.concat(s["out"], _written(m["delta"], s["bias"])).alias("out"),
         ))
@@ -142,8 +139,8 @@ def to_ascii(name: Column) -> Column:
 
     def one(label: Column, i: Column) -> Column:
         ready = F.when(label.rlike(plain), label).otherwise(prepared(label))
-        coded = _let(ready, lambda x: F.when(x.rlike(plain), x).when(~F.startswith(x, F.lit("xn--")), F.concat(F.lit("xn--"), bootstring(x))))
-        return _let(coded, lambda x: F.when(F.length(x).between(F.when((i == last) & (label == ""), 0).otherwise(1), 63), x))
+        coded = let(ready, lambda x: F.when(x.rlike(plain), x).when(~F.startswith(x, F.lit("xn--")), F.concat(F.lit("xn--"), bootstring(x))))
+        return let(coded, lambda x: F.when(F.length(x).between(F.when((i == last) & (label == ""), 0).otherwise(1), 63), x))
 
-    whole = _let(F.transform(labels, one), lambda ls: F.when(~F.exists(ls, lambda c: c.isNull()), F.array_join(ls, ".")))
+    whole = let(F.transform(labels, one), lambda ls: F.when(~F.exists(ls, lambda c: c.isNull()), F.array_join(ls, ".")))
     return F.when(name.rlike(plain), name).otherwise(whole)

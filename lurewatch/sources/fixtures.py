@@ -110,7 +110,8 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lambda line, n: f"repeat({line}, CAST({n} AS INT))"
     drawn = ", ".join((rows(white(300), "y1"), rows(row("x1", "w1", paint), "h1"), rows(white(300), "y2 - y1 - h1"), rows(row("x2", "w2", "'323232'"), "h2"), rows(white(300), "200 - y2 - h2")))
     image = f"named_struct('origin', concat(look, '-', CAST(k AS STRING), '.png'), 'height', 200, 'width', 300, 'nChannels', 3, 'mode', 16, 'data', unhex(CASE WHEN look = 'striped' THEN {bars} ELSE concat({drawn}) END))"
-    return spark.sql(f"SELECT k, brand, look, {image} AS image FROM ({SQL['screens']}) s")
+    drawn_of = spark.sql(SQL["screens"]).repartition(2 * spark.sparkContext.defaultParallelism, "k")  # numbers; the pictures are drawn where they are read
+    return drawn_of.selectExpr("k", "brand", "look", f"{image} AS image")
 
 
 def exported(df: DataFrame, header: bool = False, text: bool = False) -> str:
