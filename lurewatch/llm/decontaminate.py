@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, table, written
+from .rows import unused
 
 WIDTH = 5
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -123,9 +124,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs into which no benchmark item leaks, with their own columns."""
-    dirty = written(leaks(docs, benchmark, id_col=id_col, text=text, **how).select(F.col(id_col).alias("__d"), F.col("text_hash").alias("__h")).distinct(), "leaks")
-    return docs.join(sized(dirty, dirty.count()), docs[id_col].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text]) == F.col("__h")), "left_anti")
+    """The rows of docs into which no benchmark item leaks, with their own columns, whatever their names."""
+    d, h = (unused(docs.columns) + x for x in ("d", "h"))
+    dirty = written(leaks(docs, benchmark, id_col=id_col, text=text, **how).select(F.col(id_col).alias(d), F.col("text_hash").alias(h)).distinct(), "leaks")
+    return docs.join(sized(dirty, dirty.count()), docs[id_col].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text]) == F.col(h)), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,11 @@ def with_columns(docs: DataFrame, inputs: list[Column], new: str, make: Callable
     made = rows.mapInArrow(run, schema)
     return made.select(*(["row.*"] if keep else []), *(f"`{c}`" for c in added.names))
 
+
+
+def unused(columns: list[str]) -> str:
+    """A prefix that none of the columns begins with, in any case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix

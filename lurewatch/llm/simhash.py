@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import looked_up, lower_ascii, slices, table, text_bytes, words, written, xxh64
 from .components import components
 from .decontaminate import sized
+from .rows import unused
 
 _LANES = np.array([sum(1 << (8 * j) for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -389,9 +390,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     Other columns stay as they are, whatever their names. An empty table stays empty.
     """
     found = written(similar(docs, id_col, text, width, least), "classes")
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root", F.col(id_col).alias("__k"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("n"))
-    keep = written(first.groupBy("root").agg(F.min_by(F.struct("__k", "__h", "n"), "__h").alias("x")).select("x.*"), "kept")
-    match = docs[id_col].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__h"))
+    k, h = (unused(docs.columns) + x for x in ("k", "h"))
+    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root", F.col(id_col).alias(k), F.col("text_hash").alias(h)).agg(F.count(F.lit(1)).alias("n"))
+    keep = written(first.groupBy("root").agg(F.min_by(F.struct(k, h, "n"), h).alias("x")).select("x.*"), "kept")
+    match = docs[id_col].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h))
     size = keep.count()
     once = docs.join(sized(keep.filter("n = 1"), size), match, "left_semi")
     if keep.filter("n > 1").isEmpty():
