@@ -1,18 +1,18 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred from pages of a host.
 
-A page is read as a stream of block tags and text. A node of the wrapper is a place in that stream: its path of
-signatures (tag, classes, role), each with the signature of the sibling before it. All pages of a host are aligned at
-once by these places, so a mismatch shows in the counts of a node: where some pages that have the parent lack it, it is
-an optional group; where an element holds it several times, a repeated group; where its text differs between pages, a
-text slot; and a text that stands there on nearly all pages is part of the template. That is a regular expression
-with optional and repeated groups and text slots, and without unions (`expression` prints it).
-
-A page keeps its text in article or main elements. A page that has none keeps the slots of the wrapper: all text but
-the template's and that of navigation and the like, which tags, roles and class words tell.
-
-Everything about a host is an aggregation over (host, node) or (host, node, text), combined before the shuffle; a host
-with a third of all pages is no group of any task. Reading a page is iterative and takes time in proportion to its
-length, however deep or broken it is.
+A page is read as a stream of block tags and text and folded into a tree (`alignment`). The distinct trees of a host are
+aligned one after another: mismatches become optional groups, repeats fold into repeated groups, text is a slot. The
+wrapper is a table; every tree is aligned with it, which gives each block of text its place. A text that stands at one
+place on nearly all pages of the host is the template's. The article is the group of the wrapper with most slot text;
+tags, roles and class words break ties, and tell navigation and the like inside of it. A host of fewer than FEWEST
+distinct pages has no wrapper: there the marks alone decide.
+
+Trees are made distinct before they are shuffled and merged in buckets of about FAN rows that are read one by one, in as
+many rounds as that takes; texts are counted by (host, place, text), combined before the shuffle. A host with a third of
+all pages is no group of any task. Reading a page is iterative and takes time in proportion to its length, however deep
+or broken it is.
+
+`infer` and `expression` give a quick view of a host by counts of places (path and left neighbour), without alignment.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import Skeleton, flat, grown, matched, merge, region
 from .common import looked_up, slices, table, written
 
 #: share of a host's distinct pages on which the text of a template stands, and their least number
 NEARLY_ALL, FEWEST = 0.9, 3
+#: trees that are merged in one go, about
+FAN = 256
 #: tags that begin and end blocks, fixed values
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: tags whose content is no text of the page
@@ -77,9 +80,9 @@ def _place(parent: int, sig: str, before: str) -> int:
     return xxhash.xxh64_intdigest(f"{parent}\n{sig}\n{before}") - (1 << 63)
 
 
-def parse(page: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int]]]:
+def parse(page: str | None, tree: Skeleton | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int]]]:
     """(blocks, nodes). blocks: (node, kind, text) in page order; kind is CHROME, ARTICLE or OTHER. nodes: (node, its
-    parent, signature, the most times one element of the parent holds it).
+    parent, signature, the most times one element of the parent holds it). tree, if given, is told of all elements.
 
     A tag that no `>` closes outside of its quoted values ends at the next `>`, and so do all tags after it; without
     any the rest is text."""
@@ -94,12 +97,16 @@ def parse(page: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
         if held:
             if text := " ".join(html.unescape("".join(held)).split()):
                 blocks.append((places[-1], kinds[-1], text))
+                if tree is not None:
+                    tree.text()
             held.clear()
 
     def close() -> None:
         open_[tags.pop()] -= 1
         for stack in (places, kinds, last, before, runs):
             stack.pop()
+        if tree is not None:
+            tree.close()
 
     while (i := page.find("<", at)) >= 0:
         held.append(page[at:i])
@@ -159,6 +166,8 @@ def parse(page: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
                     kind = CHROME if chrome or head and kind == OTHER and not main else ARTICLE if main else kind
                 open_[tag] += 1
                 tags.append(tag), places.append(place), kinds.append(kind), last.append(""), before.append(""), runs.append(Counter())
+                if tree is not None:
+                    tree.open(sig, kind)
     held.append(page[at:])
     flush()
     return blocks, [tuple(n) for n in nodes.values()]
@@ -225,6 +234,136 @@ def expression(nodes: list) -> str:
     return "".join(out).strip()
 
 
+TREE = pa.list_(pa.struct([("parent", pa.int32()), ("key", pa.string()), ("kind", pa.int32()), ("flags", pa.int32())]))
+TREE_SQL = "array<struct<parent:int,key:string,kind:int,flags:int>>"
+
+
+def _trees(column: pa.ListArray) -> Iterator[list[tuple]]:
+    """The rows of every tree of a column, one tree at a time."""
+    for i in range(len(column)):
+        rows = column[i].values
+        yield list(zip(*(rows.field(k).to_pylist() for k in range(4)))) if rows is not None else []
+
+
+def _tree_array(trees: list[list[tuple]]) -> pa.Array:
+    return pa.array([[dict(zip(("parent", "key", "kind", "flags"), n)) for n in t] for t in trees], TREE)
+
+
+def skeletons(pages: DataFrame) -> DataFrame:
+    """(id, url, html) as (id, url, tree, blocks): the folded tree, and of every block its node, kind and text."""
+    kept = pages.select("id", "url").schema
+    block = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int32()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            trees, blocks = [], []
+            for page in part.column("html").to_pylist():
+                tree = Skeleton()
+                found, _ = parse(page, tree)
+                rows, at = tree.done()
+                trees.append(rows)
+                blocks.append([{"node": n, "kind": k, "text": t} for n, (_, k, t) in zip(at, found)])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), _tree_array(trees), pa.array(blocks, block)], names=["id", "url", "tree", "blocks"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return pages.select("id", "url", "html").mapInArrow(run, f"{head}, tree {TREE_SQL}, blocks array<struct<node:int,kind:int,text:string>>")
+
+
+def merged(shapes: DataFrame) -> DataFrame:
+    """(host, tree): the wrapper of every host of (host, shape, tree). Rows of a bucket come one by one in order of their
+    hash; a round leaves a row a bucket, the last one a row a host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, root = None, None
+        for batch in batches:
+            done = []
+            for host, bucket, order, tree in zip(*(batch.column(k).to_pylist() for k in range(3)), _trees(batch.column(3))):
+                if now is None or now[:2] != (host, bucket):
+                    if now:
+                        done.append((now, flat(root)))
+                    now, root = (host, bucket, order), grown(tree)
+                else:
+                    merge(root, grown(tree))
+            if done:
+                yield _out(done)
+        if now:
+            yield _out([(now, flat(root))])
+
+    def _out(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[0][0] for d in done], pa.string()), pa.array([d[0][2] for d in done], pa.int64()), _tree_array([d[1] for d in done])], names=["host", "turn", "tree"])
+
+    rows = shapes.select("host", F.xxhash64("shape").alias("turn"), "tree")
+    while True:
+        most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        buckets = -(-most // FAN) or 1
+        dealt = rows.select("host", F.pmod("turn", F.lit(buckets)).alias("bucket"), "turn", "tree")
+        dealt = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "turn")
+        rows = written(dealt.mapInArrow(run, f"host string, turn bigint, tree {TREE_SQL}"), "wrappers")
+        if buckets == 1:
+            return rows.select("host", "tree")
+
+
+def _each_shape(rows: DataFrame, f, column: str, kind: pa.DataType, sql: str) -> DataFrame:
+    """(host, shape, tree, other) with f(tree, other) added as `column`; other is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = [f(tree, part.column(3)[i]) for i, tree in enumerate(_trees(part.column(2)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(made, kind)], names=["host", "shape", "tree", column])
+
+    return rows.mapInArrow(run, f"host string, shape string, tree {TREE_SQL}, {column} {sql}")
+
+
+def _places(tree: list[tuple], wrapper: pa.Scalar) -> list[int]:
+    rows = wrapper.values
+    return matched(tree, list(zip(*(rows.field(k).to_pylist() for k in range(4)))))
+
+
+def _kept(tree: list[tuple], weights: pa.Scalar) -> dict:
+    rows = weights.as_py()
+    keep, marked = region([n[:4] for n in tree], [r or 0.0 for r in rows])
+    return {"keep": keep, "marked": marked}
+
+
+def _total(rows: DataFrame, column: str) -> int:
+    return rows.agg(F.sum(F.size(column))).first()[0] or 0
+
+
+def aligned(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(choices, templates) of hosts with FEWEST distinct pages or more in rows (host, content, shape, tree, blocks), None
+    without any. choices: (s, places, keep, marked) of every shape s: its nodes' places in the wrapper, whether a node's text
+    belongs to the article, and whether a mark says so. templates: (h, fixed), hashes of place and text."""
+    pages_of = rows.select("host", "content").distinct().groupBy(F.col("host").alias("o")).agg(F.count(F.lit(1)).alias("pages"))
+    pages_of = written(pages_of.filter(F.col("pages") >= FEWEST), "hosts")
+    n_hosts = pages_of.count()
+    if not n_hosts:
+        return None
+    some = looked_up(rows, pages_of, n_hosts, F.col("host"), "o", "left_semi")
+    shapes = written(some.groupBy("host", "shape").agg(F.first("tree").alias("tree")), "shapes")
+    wrapper = merged(shapes).select(F.col("host").alias("o"), F.col("tree").alias("wrapper"))
+    with_wrapper = looked_up(shapes, wrapper, _total(wrapper, "wrapper"), F.col("host"), "o", "left").select("host", "shape", "tree", "wrapper")
+    placed = written(_each_shape(with_wrapper, _places, "places", pa.list_(pa.int32()), "array<int>"), "places")
+    n_places = _total(placed, "places")
+
+    at = looked_up(some.select("host", "content", "shape", "blocks"), placed.select(F.col("shape").alias("s"), "places"), n_places, F.col("shape"), "s", "left")
+    block = F.explode(F.expr("transform(blocks, b -> struct(places[b.node] as place, xxhash64(places[b.node], b.text) as key, length(b.text) as chars))"))
+    texts = written(at.select("host", "content", block.alias("b")).select("host", "content", "b.*").distinct(), "texts")
+    seen = texts.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FEWEST)
+    fixed = seen.join(pages_of, F.col("host") == F.col("o")).filter(F.col("n") >= NEARLY_ALL * F.col("pages"))
+    fixed = written(fixed.groupBy(F.col("host").alias("h")).agg(F.collect_set("key").alias("fixed")), "templates")  # a page's blocks / NEARLY_ALL at most
+    slots = looked_up(texts, fixed, _total(fixed, "fixed"), F.col("host"), "h", "left").filter("place >= 0 and not array_contains(coalesce(fixed, array()), key)")
+    weight = slots.groupBy("host", "place", "content").agg(F.sum("chars").alias("chars")).groupBy("host", "place").agg(F.avg("chars").alias("weight"))
+    by_host = written(weight.groupBy(F.col("host").alias("o")).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("weight")), "weights")  # a wrapper's places at most
+    weighed = looked_up(placed, by_host, _total(by_host, "weight"), F.col("host"), "o", "left")
+    weighed = weighed.select("host", "shape", "tree", F.expr("transform(places, p -> weight[p])").alias("weights"))
+    weighed = weighed.withColumn("weights", F.coalesce("weights", F.expr("transform(tree, n -> cast(0 as double))")))
+    chosen = _each_shape(weighed, _kept, "chosen", pa.struct([("keep", pa.list_(pa.bool_())), ("marked", pa.bool_())]), "struct<keep:array<boolean>,marked:boolean>")
+    chosen = written(chosen.select("shape", "chosen.*"), "regions").join(placed.select("shape", "places"), "shape")
+    return written(chosen.select(F.col("shape").alias("s"), "places", "keep", "marked"), "choices"), fixed
+
+
 def extracted(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row of pages.
 
@@ -232,25 +371,22 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url: str = "url", page:
     its host says; a page of which only the template's text would be left keeps that. Repeated ids and rows stay;
     other columns are ignored. An empty table gives an empty result.
     """
-    rows = parsed(pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(page).alias("html"))).withColumn("host", host_of(F.col("url")))
-    rows = written(rows.withColumn("content", F.xxhash64("blocks")), "pages")
-    # only pages without an article ask the wrapper, and only about their own text
-    rest = F.expr(f"filter(blocks, b -> b.kind = {OTHER})")
-    asks = rows.withColumn("asks", ~F.expr(f"exists(blocks, b -> b.kind = {ARTICLE})") & (F.size(rest) > 0))
-    asking = asks.filter("asks").select("host").distinct()
-    n_hosts = asking.count()
-    key = F.expr("xxhash64(b.node, b.text)")
-    some = looked_up(rows, asking.select(F.col("host").alias("h")), n_hosts, F.col("host"), "h", "left_semi") if n_hosts else rows.limit(0)
-    pages_of = some.select("host", "content").distinct().groupBy(F.col("host").alias("o")).agg(F.count(F.lit(1)).alias("pages"))
-    texts = some.select("host", "content", F.explode(rest).alias("b")).select("host", "content", key.alias("key")).distinct()
-    seen = texts.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FEWEST)
-    fixed = seen.join(pages_of, F.col("host") == F.col("o")).filter(F.col("n") >= NEARLY_ALL * F.col("pages"))
-    fixed = written(fixed.groupBy(F.col("host").alias("h")).agg(F.collect_set("key").alias("fixed")), "templates")  # a page's blocks / NEARLY_ALL at most
-    joined = looked_up(asks, fixed, 20 * fixed.count(), F.when(F.col("asks"), F.col("host")), "h", "left")
-    slots = F.expr(f"filter(blocks, b -> b.kind = {OTHER} and not array_contains(coalesce(fixed, array()), xxhash64(b.node, b.text)))")
-    kept = F.when(~F.col("asks"), F.expr(f"filter(blocks, b -> b.kind = {ARTICLE})")).when(F.size("slots") > 0, F.col("slots")).otherwise(rest)
+    rows = skeletons(pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(page).alias("html")))
+    shape = F.concat_ws(" ", "host", F.hex(F.xxhash64("tree")), F.hex(F.hash("tree")))
+    rows = rows.withColumn("host", host_of(F.col("url"))).withColumns({"content": F.xxhash64(F.expr("transform(blocks, b -> b.text)")), "shape": shape})
+    rows = written(rows, "pages")
+    marks = F.expr(f"filter(blocks, b -> b.kind = if(exists(blocks, c -> c.kind = {ARTICLE}), {ARTICLE}, {OTHER}))")
+    found = aligned(rows)
+    if found is None:
+        joined = rows.withColumn("kept", marks)
+    else:
+        choices, fixed = found
+        joined = looked_up(rows.drop("tree"), choices, 2 * _total(choices, "places"), F.col("shape"), "s", "left")
+        joined = looked_up(joined, fixed, _total(fixed, "fixed"), F.col("host"), "h", "left")
+        slots = F.expr("filter(group, b -> marked or not array_contains(coalesce(fixed, array()), xxhash64(places[b.node], b.text)))")
+        joined = joined.withColumn("group", F.expr("filter(blocks, b -> keep[b.node])")).withColumn("slots", slots)
+        joined = joined.withColumn("kept", F.when(F.col("keep").isNull(), marks).when(F.size("slots") > 0, F.col("slots")).otherwise(F.col("group")))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
-    joined = joined.withColumn("slots", slots).withColumn("kept", kept)
     return joined.select(F.col("id").alias(id_col), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
