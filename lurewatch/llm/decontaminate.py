@@ -4,8 +4,11 @@ A document leaks an item when a window of the item's size has a weighted-shingle
 it: the sum of the smaller over the sum of the larger counts of their shingles (five normalised words; a shorter
 item is one shingle).
 
-1. Shared shingles. Similar sets share shingles, so only windows around a shingle of the item are looked at. The
-   counts bound the similarity from above; windows that cannot reach `least` are dropped. This loses nothing.
+1. Shared shingles. A window that is similar to an item lacks at most n - ceil(least * n) of the item's n shingles, so
+   it holds one of the rarest that count one more in sum: only documents with one of these probes meet the item, and a
+   phrase that many items and documents share makes no pairs. Windows around the shared shingles of such pairs
+   are looked at; the counts bound the similarity from above, and windows that cannot reach `least` are dropped.
+   This loses nothing.
 2. SimHash. Each remaining window and each item get a 64-bit fingerprint. Fingerprints are cut into radius + 1
    blocks; within the radius at least one block agrees, so an equi-join on blocks (multi-index) finds every pair
    within it. The radius is 24 bits: at a similarity of 0.8 the expected distance is under 10 bits with a deviation
@@ -18,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, table, written
+from .common import BROADCAST_ROWS, looked_up, table, written
 from .rows import unused
 
 WIDTH = 5
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if `rows`, its counted size, allows it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -71,6 +76,19 @@ def items(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
     return base.select("item_id", "width", hashes.alias("hashes")).withColumn("n", F.size("hashes")).distinct()
 
 
+def candidates(known: DataFrame, wanted: DataFrame, least: float, size: int) -> DataFrame:
+    """(doc, text_hash, item_id), distinct: documents that hold one of an item's probes, its rarest shingles in known (doc,
+    text_hash, width, hash, a row a place), as many as a similar window cannot all lack. size: the items' shingles."""
+    seen = known.groupBy(F.col("width").alias("w"), F.col("hash").alias("h")).agg(F.count(F.lit(1)).alias("seen"))
+    each = wanted.select("item_id", "width", "n", F.xxhash64("hashes").alias("of"), F.explode("hashes").alias("hash"))
+    each = each.groupBy("item_id", "width", "n", "of", "hash").agg(F.count(F.lit(1)).alias("times"))
+    each = each.join(seen, (F.col("width") == F.col("w")) & (F.col("hash") == F.col("h")), "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    rarest = Window.partitionBy("item_id", "width", "n", "of").orderBy("seen", "hash").rowsBetween(Window.unboundedPreceding, -1)  # of one item
+    lacked = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    probes = each.withColumn("before", F.coalesce(F.sum("times").over(rarest), F.lit(0))).filter((F.col("before") <= lacked) & (F.col("seen") > 0))
+    return known.join(sized(probes.select("item_id", "width", "hash"), size), ["width", "hash"]).select("doc", "text_hash", "item_id").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 24, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, text_hash, item_id, similarity, position) for every document and item that leaks into it: the best
     window's similarity and its first word.
@@ -82,21 +100,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
     keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("__t"))
     wanted = written(items(benchmark, item_col, item_text), "items")
     n_items = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = wanted.select("item_id", "width", "n", F.explode(F.array_distinct("hashes")).alias("hash"))
-    parts = sized(parts, n_items[1])
     widths = [r[0] for r in wanted.select("width").distinct().orderBy("width").collect()]  # five values at most
     if not widths:
         kind = wanted.schema["item_id"].dataType
         return docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("position")).limit(0)
     runs = keyed.select("doc", "text_hash", F.explode(_all_shingles("__t", widths)).alias("s")).select("doc", "text_hash", "s.*")
-    hits = runs.join(parts, ["width", "hash"]).select("doc", "text_hash", "item_id", "width", "n", "total", "p")
-    hits = written(hits, "hits")
+    said = wanted.select("width", F.explode("hashes").alias("hash")).distinct().select(F.struct("width", "hash").alias("said"))
+    known = written(looked_up(runs, said, n_items[1], F.struct("width", "hash"), "said", "left_semi"), "known")
+    same = lambda names, mark="_": [F.col(c).eqNullSafe(F.col(mark + c)) for c in names]
+    parts = wanted.select("item_id", "width", "n", F.explode(F.array_distinct("hashes")).alias("hash"))
+    asked = candidates(known, wanted, least, n_items[1]).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash"), F.col("item_id").alias("_item"))
+    asked = asked.join(sized(parts, n_items[1]), F.col("_item").eqNullSafe(F.col("item_id"))).withColumnsRenamed({"width": "_width", "hash": "_hash"})
+    hits = written(known.join(asked, same(["doc", "text_hash", "width", "hash"])).select("doc", "text_hash", "item_id", "width", "n", "total", "p"), "hits")
     # the most shingles a window and an item can share must reach `least` of their union
     held = F.least("n", "total")
     need = F.ceil(F.lit(least / (1 + least)) * (held + F.col("n")) - 1e-9)
     pair = ["doc", "text_hash", "item_id"]
     likely = hits.groupBy(*pair).agg(F.count_distinct("p").alias("c"), F.first("n").alias("n"), F.first("total").alias("total")).filter(F.col("c") >= need).select(*(F.col(c).alias(f"_{c}") for c in pair))
-    same = lambda names, mark="_": [F.col(c).eqNullSafe(F.col(mark + c)) for c in names]
     near = hits.join(likely, same(pair), "left_semi")
     # a hit is in the windows that start at first..last; running sums over these ends count the hits of all windows
     first, last = F.greatest(F.lit(0), F.col("p") - F.col("n") + 1), F.greatest(F.lit(0), F.least(F.col("p"), F.col("total") - F.col("n")))

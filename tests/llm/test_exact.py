@@ -425,3 +425,17 @@ def test_decontaminate(spark, docs, empty):
     assert kept == {d for d, _ in rows} - {d for d, _ in leaks(rows, items)} | ({None} if any(d is None for d, _ in rows) and (None, 13) not in leaks(rows, items) else set()) | ({None})
     assert decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_a_phrase_of_many_items_and_documents_makes_no_pairs(spark):
+    """100 items and 100 documents with one opening phrase, in other respects unlike; one document holds an item."""
+    phrase = " ".join(f"p{k}" for k in range(14))
+    words = lambda mark, i: " ".join(f"{mark}{i}x{k}" for k in range(40))
+    items = spark.createDataFrame([(i, f"{phrase} {words('i', i)}") for i in range(100)], "item_id long, text string")
+    rows = [(i, f"{phrase} {words('d', i)}") for i in range(100)] + [(500, f"before it {phrase} {words('i', 7)} after it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = decontaminate.items(items, "item_id", "text")
+    known = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.explode(decontaminate._all_shingles("text", [5])).alias("s")).select("doc", "text_hash", "s.*")
+    known = known.join(wanted.select(F.explode("hashes").alias("hash")).distinct(), "hash", "left_semi")
+    assert [tuple(r) for r in decontaminate.candidates(known, wanted, 0.8, 10_000).select("doc", "item_id").collect()] == [(500, 7)]
+    assert [(r.doc_id, r.item_id, r.position) for r in decontaminate.leaks(docs, items).collect()] == [(500, 7, 2)]
