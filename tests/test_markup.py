@@ -101,3 +101,15 @@ def test_columns_by_fold(spark):
     assert got[4].title == "My SBI Bank" and got[4].title_has_brand and got[4].text == "My SBI Bankxa<b" and not got[4].has_copyright and got[4].ratio == 1.0
     assert (got[5].hidden_element_count, got[5].has_favicon, got[5].has_copyright, got[5].ratio) == (1, True, True, 0.333333)
     assert got[6].text == got[7].text == got[6].title == "" and got[6].ratio == 0.0
+
+
+def test_references_without_an_end(spark, tmp_path):
+    """A title cut within a reference keeps what is left of it (page_counts); a browser's reading does not."""
+    from lurewatch.plans import registry
+
+    pages = [(1, "<title>a &amp;&lt; b&amp</title><a href='x'>y</a>"), (2, "<title> &amp;lt; &lt &#39;&nbsp;</title>"), (3, None)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.title, r.links) for r in registry.QUERIES["page_counts"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("a &< b&amp", 1), 2: ("&lt; &lt '\u00a0", 0), 3: ("", 0)}
+    assert {r.k: r.t for r in markup.parsed(df).select(F.col("page_id").alias("k"), markup.title(F.col("tokens")).alias("t")).collect()} == {1: "a &< b&", 2: " &lt; < '\u00a0", 3: ""}
