@@ -52,8 +52,7 @@ _MEAN = f"CASE WHEN look = 'striped' THEN 255.0 * 148 / 300 ELSE (255.0 * (60000
 
 @query("template_features", f"SELECT k, CAST(shapes AS INT) AS contour_count, {S.r6('density')} AS edge_density, {S.r6(_MEAN)} AS brightness_mean, CASE WHEN look = 'striped' THEN 2 ELSE 3 END AS color_diversity FROM {SCREENS} s JOIN {_EDGES} e ON k = j")
 def template_features(spark, sf):
-    drawn = pictures(spark, sf).select("k", "image", F.col("image").alias("again"))
-    found = P.colour_count(P.template_features(drawn), "again")
+    found = P.template_features(pictures(spark, sf).select("k", "image"))
     return found.select("k", "contour_count", F.round("edge_density", 6).alias("edge_density"), F.round("brightness_mean", 6).alias("brightness_mean"), "color_diversity")
 
 

@@ -160,3 +160,18 @@ def test_pictures_without_pixels_and_other_columns(spark):
     assert collections.Counter(r.contour_count for r in shapes.template_features(pictures).collect()) == {1: 1, None: 3, 0: 1}
     assert {r.k: r.color_diversity for r in shapes.colour_count(pictures).collect()} == {1: 2, 2: None, 3: None, 4: None, 5: 1}
     assert shapes.picture_boxes(pictures.limit(0)).collect() == []
+
+
+def test_outlines_see_few_points(monkeypatch):
+    """Corners are those of all pixels of a component; straight sides give their ends alone, however long they are."""
+    rng = np.random.default_rng(8)
+    bitmaps = [np.kron(rng.random((14, 11)) < share, np.ones((1, wide), bool)) > 0 for share in (0.1, 0.4, 0.6, 0.9) for wide in (1, 2, 3) for _ in range(8)]
+    bars = np.tile(np.arange(96) % 4 == 1, (300, 1))
+    whole = shapes.corners_of
+    for bitmap in [*bitmaps, bars]:
+        (row, start, end), own = shapes.components(bitmap)
+        pixels = [np.array([(x, r) for r, a, b in zip(row[own == i], start[own == i], end[own == i]) for x in range(a, b)]) for i in range(own.max() + 1)]
+        assert shapes.boxes(bitmap, outer=False)[:, 5].tolist() == [whole(p) for p in pixels]
+    seen = []
+    monkeypatch.setattr(shapes, "corners_of", lambda p: seen.append(len(p)) or whole(p))
+    assert len(shapes.boxes(bars)) == 24 and max(seen) <= 4
