@@ -198,7 +198,7 @@ def redirects(spark, sf):
 
 @query("page_analysis", f"SELECT k, contains(html, 'type=\"password\"') AS has_credentials, CAST((length(html) - length(replace(html, '<form', ''))) / 5 AS BIGINT) AS form_count, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM {HTML} h")
 def page_analysis(spark, sf):
-    return MK.parsed(fixture(spark, sf, "html")).select("k", *(x.alias(n) for n, x in MK.page_analysis(F.col("tokens")).items()))
+    return MK.parsed(fixture(spark, sf, "html", dealt=True)).select("k", *(x.alias(n) for n, x in MK.page_analysis(F.col("tokens")).items()))
 
 
 _FAR = "CASE WHEN coalesce({0}, 0) = 0 OR coalesce({1}, 0) = 0 THEN 100 ELSE CAST(bit_count(xor(CAST({0} AS BIGINT), CAST({1} AS BIGINT))) AS BIGINT) END"

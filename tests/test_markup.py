@@ -113,3 +113,23 @@ def test_references_without_an_end(spark, tmp_path):
     got = {r.page_id: (r.title, r.links) for r in registry.QUERIES["page_counts"](spark, str(tmp_path)).collect()}
     assert got == {1: ("a &< b&amp", 1), 2: ("&lt; &lt '\u00a0", 0), 3: ("", 0)}
     assert {r.k: r.t for r in markup.parsed(df).select(F.col("page_id").alias("k"), markup.title(F.col("tokens")).alias("t")).collect()} == {1: "a &< b&", 2: " &lt; < '\u00a0", 3: ""}
+
+
+def test_slices_and_tasks(spark, monkeypatch):
+    """A batch becomes tokens slice by slice, and pages made of a small table are many tasks."""
+    pages = [(i, "" if i % 7 == 0 else None if i % 5 == 0 else f"<p a=1 b='x&amp;{i}'>t{i}<br>u" * (i % 4)) for i in range(60)]
+    held = []
+    whole = markup._streams
+    monkeypatch.setattr(markup, "SLICE", 50)
+    monkeypatch.setattr(markup, "_streams", lambda some, decode: held.append(sum(len(p or "") for p in some[:-1])) or whole(some, decode))
+    want = [[{"tag": t, "ends": e, "attrs": list(a.items()), "text": x} for t, e, a, x in markup.tokens(p)] for _, p in pages]
+    parts = [markup._streams([p], markup.unescape).to_pylist() for _, p in pages]
+    assert [x for (x,) in parts] == want and max(held) < 50
+    rows = markup.parsed(spark.createDataFrame(pages, "k int, html string").coalesce(1)).collect()
+    assert [[(t.tag, t.ends, t.attrs, t.text) for t in r.tokens] for r in rows] == [list(markup.tokens(p)) for _, p in pages]
+
+
+def test_small_tables_are_many_tasks(spark, sf):
+    from lurewatch.plans import decision_queries
+
+    assert decision_queries.html_tokens(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
