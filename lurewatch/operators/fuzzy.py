@@ -15,33 +15,28 @@ Both orders put the most common elements last. Any order gives the same result.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 #: elements that are put last; rows up to which the counted side of a join is broadcast
 COMMON, BROADCAST_ROWS = 128, 200_000
 
 
 def matched(a: str, b: str) -> int:
     """Letters in the matching blocks of two texts: the longest common part (the first in a, then in b), and so on left and right of it."""
-    total, todo = 0, [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        best, at, bt = 0, 0, 0
-        row = [0] * (b1 - b0 + 1)
-        for i in range(a0, a1):
-            new = [0] * (b1 - b0 + 1)
-            for j in range(b0, b1):
-                if a[i] == b[j]:
-                    n = new[j - b0 + 1] = row[j - b0] + 1
-                    if n > best:
-                        best, at, bt = n, i - n + 1, j - n + 1
-            row = new
-        if best:
-            total += best
-            todo += [(a0, at, b0, bt), (at + best, a1, bt + best, b1)]
-    return total
+    return sum(block.size for block in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def at_most(a: str, b: str) -> float:
+    """A bound of the ratio: all letters that both texts hold."""
+    if len(a) > len(b):
+        a, b = b, a
+    return 2 * sum(min(a.count(c), b.count(c)) for c in set(a)) / (len(a) + len(b)) if a or b else 1.0
 
 
 def ratio(a: str, b: str) -> float:
@@ -49,12 +44,12 @@ def ratio(a: str, b: str) -> float:
     return 2 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def token_set_ratio(a: list[str], b: list[str]) -> int:
-    """Token-set ratio of two sorted lists of distinct tokens, as a whole percentage."""
+def token_set_ratio(a: list[str], b: list[str], least: float = 0) -> int:
+    """Token-set ratio of two sorted lists of distinct tokens, as a whole percentage; one below `least` may come out as 0."""
     both = " ".join(t for t in a if t in b)
     one, two = (" ".join(filter(None, [both, " ".join(t for t in x if t not in y)])) for x, y in ((a, b), (b, a)))
     pairs = [(both, one), (both, two), (one, two)] if both else [(one, two)]
-    return max(round(100 * ratio(p, q)) for p, q in pairs if p and q) if one and two else 0
+    return max((round(100 * ratio(p, q)) for p, q in pairs if p and q and round(100 * at_most(p, q)) >= least), default=0) if one and two else 0
 
 
 def let(value: Column, f) -> Column:
@@ -77,7 +72,7 @@ def letter_pairs(words: Column) -> Column:
 
 def _common(of: DataFrame, column: str) -> list[str]:
     """The most common elements of a list column, at most COMMON."""
-    found = of.select(F.explode(column).alias("e")).groupBy("e").count().orderBy(F.desc("count"), "e").limit(COMMON).collect()
+    found = of.select(F.explode_outer(column).alias("e")).filter("e is not null").groupBy("e").count().orderBy(F.desc("count"), "e").limit(COMMON).collect()
     return [r["e"] for r in found]
 
 
@@ -94,9 +89,9 @@ def _until(words: Column, left: Column) -> Column:
 
 
 def _met(left: DataFrame, right: DataFrame, on: tuple[str, str], within: Column | None = None, size: int = 0) -> DataFrame:
-    """(l, r): pairs of keys with an equal element."""
-    a = left.select("l", "lw", F.explode(on[0]).alias("le"))
-    b = right.select("r", "rw", F.explode(on[1]).alias("re"))
+    """(l, r): pairs of keys with an equal element. An outer explode: of a plain one Spark tests the list's size before rows are dealt."""
+    a = left.select("l", "lw", F.explode_outer(on[0]).alias("le"))
+    b = right.select("r", "rw", F.explode_outer(on[1]).alias("re"))
     b = F.broadcast(b) if size <= BROADCAST_ROWS else b
     same = F.col("le") == F.col("re")
     return a.join(b, same if within is None else same & within).select("l", "r")
@@ -106,7 +101,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float, words) -> DataFr
     """(l, r): pairs of the distinct texts l of left and r of right that hold all of a ratio of `least` or more, over the tokens that
     `words` makes of a text."""
     share = least / (2 - least)
-    a, b = (df.select(k).distinct().withColumn(f"{k}t", words(F.col(k))).withColumns({f"{k}p": letter_pairs(F.col(f"{k}t"))}).withColumn(f"{k}w", F.size(f"{k}p")).filter(F.col(f"{k}w") > 0) for df, k in ((left, "l"), (right, "r")))
+    a, b = (spread(df.select(k), k).distinct().withColumn(f"{k}t", words(F.col(k))).withColumns({f"{k}p": letter_pairs(F.col(f"{k}t"))}).withColumn(f"{k}w", F.greatest(F.size(f"{k}p"), F.lit(0))) for df, k in ((left, "l"), (right, "r")))
     size = b.agg(F.sum("rw")).first()[0] or 0  # letter pairs: what the broadcast side holds at most
     often, words_often = _common(b, "rp"), _common(b, "rt")
     # equal pairs of two texts that differ enough: (w + v - 3 d) / 2 for d = (1 - least) (w + v - 2) letters, and v at least share * (w - 1) + 1
@@ -119,7 +114,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float, words) -> DataFr
     x, y = both
     near = (F.col("lw") - 1 >= share * (F.col("rw") - 1) - 1e-6) & (F.col("rw") - 1 >= share * (F.col("lw") - 1) - 1e-6)
     found = [_met(x, y, ("lf", "rf"), near, size), _met(x, y, ("lu", "rt"), None, size), _met(x, y, ("lt", "ru"), None, size)]
-    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    return spread(found[0].unionByName(found[1]).unionByName(found[2]), "l", "r").distinct()
 
 
 def token_set_pairs(left: DataFrame, right: DataFrame, threshold: float = 80) -> DataFrame:
@@ -128,7 +123,7 @@ def token_set_pairs(left: DataFrame, right: DataFrame, threshold: float = 80) ->
 
     @F.pandas_udf("int")
     def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(sorted(x), sorted(y)) for x, y in zip(a, b)], dtype="int32")
+        return pd.Series([token_set_ratio(sorted(x), sorted(y), threshold) for x, y in zip(a, b)], dtype="int32")
 
     found = candidates(left, right, (threshold - 0.5) / 100, tokens)
     return found.withColumn("ratio", scored(tokens(F.col("l")), tokens(F.col("r")))).filter(F.col("ratio") >= threshold)
@@ -140,7 +135,7 @@ def text_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> Dat
 
     @F.pandas_udf("double")
     def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([ratio(x, y) if at_most(x, y) >= threshold - 1e-12 else 0.0 for x, y in zip(a, b)], dtype="float64")
 
     whole = lambda t: F.filter(F.array(F.lower(t)), lambda w: F.length(w) > 0)
     return candidates(left, right, threshold, whole).withColumn("ratio", scored(F.lower("r"), F.lower("l"))).filter(F.col("ratio") >= threshold - 1e-12)

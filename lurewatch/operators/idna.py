@@ -76,7 +76,8 @@ def prepared(label: Column) -> Column:
     unfit = label.rlike(f"[{unfit}\\p{{M}}\\x{{10000}}-\\x{{10FFFF}}]")
     right = lambda x: x.rlike(f"[{_RIGHT}]") & (x.rlike(f"[\\p{{L}}&&[^{_RIGHT}]]") | ~x.rlike(f"^[{_RIGHT}]") | ~x.rlike(f"[{_RIGHT}]$"))
     moved = _ranges([*one, *gone, *several, *bad])
-    stays = ~label.rlike(f"[A-Z{moved}\\p{{M}}{_RIGHT}\\x{{10000}}-\\x{{10FFFF}}]")  # most labels, at the price of one pattern
+    odd = F.regexp_replace(label, "[\\x00-@\\[-\\x7f]+", "")  # a pattern of many ranges is slow, and few letters are not plain
+    stays = ~odd.rlike(f"[A-Z{moved}\\p{{M}}{_RIGHT}\\x{{10000}}-\\x{{10FFFF}}]")  # most labels, at the price of one pattern
     return F.when(stays, label).otherwise(let(F.when(~unfit, low), lambda x: F.when(~right(x), x)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .fuzzy import text_pairs
 from .lexical import KEYWORDS, any_of, entropy, first_of, long, one
+from .spread import spread
 
 
 def _alternatives(conditions) -> Column:
@@ -88,13 +89,14 @@ def enhanced_lexical(df: DataFrame, domain: str = "domain") -> DataFrame:
 
 
 def homoglyphs(names: DataFrame, domain: str = "domain") -> DataFrame:
-    """(domain, variant): the name itself and every one-character look-alike of all but its last label."""
-    d = F.col(domain)
+    """(domain, variant): the name itself and every one-character look-alike of all but its last label. A name's rows stay in one task,
+    and names are dealt over all: each makes many rows (an outer explode, as Spark tests the size of a plain one's list before)."""
     table = F.create_map(*[x for k, v in C.CONFUSABLES.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
-    bare = names.select(d.alias("domain"), F.regexp_replace(d, "[.][^.]*$", "").alias("name"), F.element_at(F.split(d, "[.]"), -1).alias("tld"))
-    spots = bare.select("*", F.posexplode(F.split("name", "")).alias("i", "ch")).withColumn("alt", F.explode(F.try_element_at(table, F.col("ch"))))
-    made = spots.select("domain", F.concat(F.expr("substr(name, 1, i)"), F.col("alt"), F.expr("substr(name, i + 2)"), F.lit("."), F.col("tld")).alias("variant"))
-    return bare.select("domain", F.col("domain").alias("variant")).union(made).distinct()
+    d, none = F.col("domain"), F.array().cast("array<string>")
+    bare = spread(names.select(F.col(domain).alias("domain")), "domain").distinct().select(d, F.regexp_replace(d, "[.][^.]*$", "").alias("name"), F.element_at(F.split(d, "[.]"), -1).alias("tld"))
+    with_ = lambda i, alt: F.concat(F.substr("name", F.lit(1), i), alt, F.substr("name", i + 2), F.lit("."), F.col("tld"))
+    made = F.flatten(F.transform(F.split("name", ""), lambda ch, i: F.transform(F.coalesce(F.try_element_at(table, ch), none), lambda alt: with_(i, alt))))
+    return bare.select("domain", F.explode_outer(F.array_distinct(F.concat(F.array(d), F.coalesce(made, none)))).alias("variant"))
 
 
 def registered_homoglyphs(names: DataFrame, resolved: DataFrame) -> DataFrame:

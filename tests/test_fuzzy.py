@@ -85,3 +85,23 @@ def test_the_first_of_the_best_references(spark):
     names = ["bank-state", "state.bank.login", "rial", "rails", "", None]
     got = {r.domain: (r.brand, r.ratio) for r in fuzzy.best_reference(spark.createDataFrame([(n,) for n in [*names, "rial"]], "domain string"), reference).collect()}
     assert got == {"bank-state": ("A", 100.0), "state.bank.login": ("A", 100.0), "rial": (None, 0.0), "rails": ("C", 89.0), "": (None, 0.0), None: (None, 0.0)}
+
+
+def test_long_work_comes_after_rows_are_dealt(spark):
+    """Lists of letters are made in the tasks that names are dealt to, not in the one that reads a small table."""
+    from lurewatch.operators import rules
+
+    names = spark.createDataFrame([("sbi.co.in",), ("login-sbi.in",), (None,)], "domain string").coalesce(1)
+    left, right = (names.select(F.col("domain").alias(k)) for k in "lr")
+    found = [rules.homoglyphs(names), fuzzy.candidates(left, right, 0.8, fuzzy.tokens)]
+    for df in found:
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        below = 0  # indent of the last repartition above a line
+        for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+            depth = len(line) - len(line.lstrip(" :+-"))
+            if below and depth > below:
+                assert "lambda" not in line, line
+            else:
+                below = depth if "RepartitionByExpression [domain" in line or "RepartitionByExpression [l#" in line and ", r#" not in line else 0
+    assert {r.variant for r in found[0].filter("domain is null").collect()} == {None}
+    assert fuzzy.token_set_ratio(["abc"], ["xyz"], 80) == 0 and fuzzy.at_most("abca", "aab") == 2 * 3 / 7
