@@ -9,14 +9,16 @@ The grid cuts the 32 dimensions into radius + agree runs. Within Manhattan dista
 differ, so `agree` runs match at least: a cell is the choice of so many runs and their counts, and all pairs within
 the radius share a cell (known by a hash; where two cells collide, a pair is looked at for nothing). A larger `agree`
 makes more cells of fewer chance meetings; `cells_to_agree` takes it from the number of fingerprints, so it grows with
-the logarithm of the corpus. Cells of one fingerprint go before any join, by a pre-aggregated least and largest member.
+the logarithm of the corpus. Members of cells are shuffled twice, once for their number (pre-aggregated) and once to meet.
 Work stays in proportion to the links that matter:
 
 1. equal fingerprints are one node, however many documents carry them;
-2. members of a cell are first compared with two members of the cell alone, its least and its largest;
-3. only cells that still hold more than one component are joined with themselves, across components.
+2. cells of CROWD members at most are compared pair by pair as they stream by in order; what a cell links is a star;
+3. members of larger cells are first compared with two members of the cell alone, its least and its largest;
+4. only larger cells that still hold more than one component are joined with themselves, across components, the members of
+   the largest component on one side alone.
 
-Step 3 compares every remaining pair, so no link that could join two components is lost.
+Steps 2 and 4 compare every remaining pair, so no link that could join two components is lost.
 
 `similar` links texts by the similarity of their shingle sets instead (0.8 or more): candidates share one of the
 rarest shingles of both, which every pair of that similarity does; then sizes, a wide fingerprint of the same kind with
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import looked_up, lower_ascii, slices, table, text_bytes, words, written, xxh64
+from .common import SALTS, looked_up, lower_ascii, slices, table, text_bytes, words, written, xxh64
 from .components import components
 from .decontaminate import sized
 from .rows import unused
@@ -137,29 +139,87 @@ def _close(a: str, b: str, radius: int) -> F.Column:
     return bound & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius)
 
 
+#: members up to which all pairs of a cell are compared where it streams by; what a meeting costs, a cell of a fingerprint (two
+#: shuffled rows) being 1
+CROWD, MEETING = 512, 1 / 30
+
+
 def cells_to_agree(n: int, radius: int) -> int:
     """`agree` of least work for n fingerprints: cells a fingerprint, and what it meets in them by chance (a segment of
-    random bits agrees with a chance of 3/8), a meeting counted as four cells."""
-    cost = lambda a: math.comb(radius + a, radius) * (1 + 4 * n * 0.375 ** (32 * a / (radius + a)))
+    random bits agrees with a chance of 3/8)."""
+    cost = lambda a: math.comb(radius + a, radius) * (1 + MEETING * n * 0.375 ** (32 * a / (radius + a)))
     return min(range(1, 29 - radius), key=cost)
 
 
+def _embedded(fp: np.ndarray) -> np.ndarray:
+    """`embedding` of an array."""
+    odd, up = np.uint64(_ODD), fp >> np.uint64(1)
+    return ((fp | up) & odd) | ((fp & up & odd) << np.uint64(1))
+
+
+def _stars(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the pairs within the radius of each cell join; rows of a cell stand together."""
+    fp = fp.view(np.uint64)
+    points, found = _embedded(fp), []
+    at, d = np.arange(len(fp)), 0
+    while len(at):
+        d += 1
+        at = at[: np.searchsorted(at, len(fp) - d)]
+        at = at[cell[at] == cell[at + d]]
+        near = at[np.bitwise_count(points[at] ^ points[at + d]) <= radius]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= radius]
+        found.append((near, near + d))
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+    least = np.arange(len(fp))
+    while len(u):
+        low = np.minimum(least[u], least[v])
+        if (low == least[u]).all() and (low == least[v]).all():
+            break
+        np.minimum.at(least, u, low)
+        np.minimum.at(least, v, low)
+    some = np.flatnonzero(least != np.arange(len(fp)))
+    return fp[some].view(np.int64), fp[least[some]].view(np.int64)
+
+
+def _met(members: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links of cells of CROWD members at most, from (cell, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 2  # the last cell, which may go on in the next batch
+        links = lambda c, f: pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(c, f, radius)], names=["u", "v"])
+        for batch in batches:
+            c, f = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
+            last = int(np.flatnonzero(np.diff(c, prepend=c[:1]))[-1:].sum())  # where it begins
+            yield links(c[:last], f[:last])
+            held = [c[last:], f[last:]]
+        yield links(*held)
+
+    return members.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+
+
 def linked(fps: DataFrame, radius: int = 4, agree: int | None = None) -> DataFrame:
     """Distinct longs `fp` -> (node, root) for all that have a link at `radius` differing bits or fewer."""
     masks = F.array(*[F.lit(m) for m in cell_masks(radius, agree or cells_to_agree(fps.count(), radius))])
-    all_ = fps.select("fp", F.posexplode(masks).alias("c", "mask")).select("fp", F.xxhash64("c", embedding(F.col("fp")).bitwiseAND(F.col("mask"))).alias("cell"))
-    ends = all_.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
-    ends = written(ends, "shared-cells")
-    cells = written(looked_up(all_, ends.withColumnRenamed("cell", "m"), ends.count(), F.col("cell"), "m", "inner").select("cell", "fp", "lo", "hi"), "cells")
+    all_ = fps.select("fp", F.posexplode(masks).alias("c", "mask")).select(F.xxhash64("c", embedding(F.col("fp")).bitwiseAND(F.col("mask"))).alias("cell"), "fp")
+    ends = all_.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD)
+    ends = written(ends.select(F.col("cell").alias("m"), "lo", "hi"), "crowded-cells")
+    size = ends.count()
+    few = looked_up(all_, ends.select("m"), size, F.col("cell"), "m", "left").filter("m is null").select("cell", "fp") if size else all_
+    links = written(_met(few, radius), "met")
+    if not size:
+        return components(links)
+    cells = written(looked_up(all_, ends, size, F.col("cell"), "m", "inner").select("cell", "fp", "lo", "hi"), "cells")
     near = [cells.filter((F.col("fp") != F.col(p)) & _close("fp", p, radius)).select(F.col("fp").alias("u"), F.col(p).alias("v")) for p in ("lo", "hi")]
-    roots = components(near[0].union(near[1]))
-    named = cells.join(roots, cells.fp == roots.node, "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "named")
-    mixed = named.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("cell")
-    open_ = named.join(mixed, "cell")
-    left = open_.select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    right = open_.select("cell", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, "cell").filter((F.col("ra") < F.col("rb")) & _close("a", "b", radius)).select(F.col("ra").alias("u"), F.col("rb").alias("v"))
+    roots = components(links.union(near[0]).union(near[1]))
+    named = written(cells.join(roots, cells.fp == roots.node, "left").select("cell", "fp", F.coalesce("root", "fp").alias("root")), "named")
+    # in a cell, pairs that leave out the members of its largest component on one side are all that is needed
+    top = named.groupBy("cell", "root").count().groupBy("cell").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    top = written(top.select(F.col("cell").alias("m"), "top"), "mixed")
+    open_ = looked_up(named, top, top.count(), F.col("cell"), "m", "inner")
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))  # the members of a cell go to so many tasks
+    left = open_.filter("root <> top").select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"), "top", F.explode(salts).alias("s"))
+    right = open_.select("cell", F.col("fp").alias("b"), F.col("root").alias("rb"), F.pmod("fp", F.lit(SALTS)).alias("s"))
+    across = left.join(right, ["cell", "s"]).filter(F.expr("ra <> rb and (rb = top or ra < rb)") & _close("a", "b", radius)).select(F.col("ra").alias("u"), F.col("rb").alias("v"))
     return components(across.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 

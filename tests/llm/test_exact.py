@@ -110,6 +110,32 @@ def test_simhash_links_within_radius(spark):
     assert groups(got) == groups(cls)
 
 
+def test_simhash_crowded_cells(spark, monkeypatch):
+    # families of a chain each, many in the cells of the others; cells of more than 3 members go the way of crowded ones
+    seed, fps = random.Random(5), set()
+    for _ in range(6):
+        x = seed.getrandbits(64)
+        for _ in range(40):
+            x ^= 1 << seed.randrange(64) | 1 << seed.randrange(64)
+            fps |= {x, x ^ 0b1011 << seed.randrange(60), x ^ 0b11111 << seed.randrange(59)}
+    signed = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    cls = classes(list(fps))
+    want = {frozenset(k for k in fps if cls[k] == v) for v in set(cls.values())}
+    for crowd, agree in ((3, 1), (3, 2), (20, 1), (512, 2)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in simhash.linked(signed, agree=agree).collect()}
+        assert {frozenset(k for k in fps if got.get(k, k) == v) for v in {got.get(k, k) for k in fps}} == want
+
+
+def test_simhash_cells_grow_with_the_logarithm(spark):
+    # the shuffle is of so many rows a fingerprint
+    cells = [len(simhash.cell_masks(4, simhash.cells_to_agree(n, 4))) for n in (47_000, 236_000, 14_000_000)]
+    assert cells[0] == cells[1] <= 15 and cells[2] <= 35
+    # a third in one cell: no join makes a row for each pair of its members
+    fps = np.arange(3000) << 20
+    assert len(simhash._stars(np.repeat(np.arange(100), 30), fps, 4)[0]) < 3000
+
+
 def test_simhash_empty_and_keep(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).count() == 0
