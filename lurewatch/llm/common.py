@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -94,12 +94,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @lru_cache(1)
-def _give_back_memory() -> None:
-    """Keep glibc from holding on to freed arrays in a worker that lives for many tasks (a fixed mmap threshold)."""
+def _libc() -> ctypes.CDLL | None:
     try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if libc.mallopt and libc.malloc_trim else None
     except (OSError, AttributeError):  # another C library
-        pass
+        return None
+
+
+#: mallopt's names, and the least size of an array that is mapped and unmapped alone: as a rule, and within `keeping_memory`
+_TRIM, _MMAP, _ALONE, _KEPT = -1, -3, 1 << 18, 32 << 20
+
+
+@lru_cache(1)
+def _give_back_memory() -> None:
+    """Keep glibc from holding on to freed arrays in a worker that lives for many tasks (a fixed mmap threshold)."""
+    if _libc():
+        _libc().mallopt(_MMAP, _ALONE)
+
+
+def keeping_memory(step: Callable) -> Callable:
+    """step, within which freed arrays stay with the worker for the next ones: a step of many array operations spends most of
+    its time on fresh pages otherwise. What is free when it ends goes back."""
+
+    @wraps(step)
+    def run(first, *rest):  # Spark counts the named arguments
+        libc = _libc()
+        if not libc:
+            return step(first, *rest)
+        libc.mallopt(_MMAP, _KEPT)
+        libc.mallopt(_TRIM, 16 * _KEPT)
+        try:
+            return step(first, *rest)
+        finally:
+            libc.mallopt(_MMAP, _ALONE)
+            libc.mallopt(_TRIM, _ALONE)
+            libc.malloc_trim(0)
+
+    return run
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

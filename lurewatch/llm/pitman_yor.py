@@ -24,7 +24,6 @@ Words are known by 64 bits of hash, contexts by 48. Random numbers come from buc
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Parts, drop_written, free_shuffles, lower_ascii, slices, table, text_bytes, words, written, written_so_far, xxh64
+from .common import Parts, drop_written, free_shuffles, keeping_memory, lower_ascii, slices, table, text_bytes, words, written, written_so_far, xxh64
 
 #: hash of the end token, which no word has but by chance; as a context it is the start of a text
 END = np.uint64(0x9D39247E33776D41)
 BUCKET = 2_000_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: one text of so many is looked at for frequent words
 SAMPLE = 32
 PAIRS, STATE, REPLY, ASK, MESSAGE, STAT, SPLIT = range(7)
@@ -55,11 +54,13 @@ def _pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         parts += [len(a).to_bytes(8, "little"), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
-    return zlib.compress(b"".join(parts), 1)
+    data = b"".join(parts)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    data, at, out = zlib.decompress(data), 0, []
+    size = int.from_bytes(data[:8], "little")
+    data, at, out = pa.decompress(memoryview(data)[8:], decompressed_size=size, codec="zstd", asbytes=True), 0, []
     for kind in kinds:
         n, size = int.from_bytes(data[at : at + 8], "little"), np.dtype(kind).itemsize
         planes = np.frombuffer(data, np.uint8, n * size, at + 8).reshape(size, n)
@@ -270,11 +271,31 @@ class Bucket:
             yield {"bucket": bucket, "kind": SPLIT, "at": int(self.W[i].view(np.int64)), "s0": float(own[0][i]), "s1": float(own[1][i])}
 
 
+def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x in order, and the place of each x among them."""
+    order = np.argsort(x)
+    held = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = held[1:] != held[:-1]
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return held[new], rank
+
+
 def _sorted_pairs(w: np.ndarray, u: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order of tokens by word and context (within `by`) and where a new pair begins."""
-    order = np.lexsort((u, w) if by is None else (u, w, by))
-    w, u = w[order], u[order]
-    return order, np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]) if len(w) else np.zeros(0, bool)
+    """Order of pairs by word and context (within `by`), given the ranks of both, and where a new one begins. They are sorted
+    as one number, if it has the bits."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (u, w, w[:0] if by is None else by)]
+    if sum(bits) > 63:
+        order = np.lexsort((u, w) if by is None else (u, w, by))
+        key = np.stack([w, u])[:, order]
+        return order, np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])[: len(w)]
+    key = w << bits[0] | u
+    if by is not None:
+        key |= by << bits[0] + bits[1]
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.concatenate([[True], key[1:] != key[:-1]])[: len(w)]
 
 
 def _blocks(docs: DataFrame, model: Model, asks: bool, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -282,41 +303,48 @@ def _blocks(docs: DataFrame, model: Model, asks: bool, carry: tuple[str, ...] =
     tokens (asks: all its tokens, and the texts they stand in)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @keeping_memory
+    def block(part: pa.RecordBatch, number: int) -> list[pa.RecordBatch]:
         m = shared.value
+        w, u, row = tokens(part.column("__t"))
+        learn = np.asarray(part.column("__learn").to_pylist(), bool)
+        b = m.bucket(w, u)
+        distinct, rank = _ranks(w)
+        # the rank of a context is that of the word before, by the bits that a context has
+        before = np.append(np.searchsorted(distinct, END), rank[:-1])
+        order, new = _sorted_pairs(rank, np.cumsum(np.diff(distinct >> _U(16), prepend=_U(0)) > 0)[before], b)
+        w, u, row, b = w[order], u[order], row[order], b[order]
+        head = np.flatnonzero(new)
+        bounds = np.append(head, len(w))
+        trained = np.add.reduceat(learn[row].astype(np.int64), head)
+        many = np.diff(bounds)
+        w, u, b = w[head], u[head], b[head]
+        edge = np.searchsorted(b, np.arange(m.buckets + 1))
+        out = []
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            a, z = edge[s], edge[s + 1]
+            fresh = np.flatnonzero(np.concatenate([[True], w[a + 1 : z] != w[a : z - 1]]))
+            arrays = [_steps(w[a:z][fresh]), np.diff(np.append(fresh, z - a)).astype(np.int32), u[a:z]]
+            r = {"bucket": s, "kind": ASK, "at": number}
+            if asks:
+                rows = row[bounds[a] : bounds[z]]
+                r |= {"data": _pack(*arrays, many[a:z].astype(np.int32), rows.astype(np.int32)), "s0": float(part.num_rows)}
+            else:
+                r["data"] = _pack(*arrays, trained[a:z])
+            out.append(r)
+        if asks and out:
+            sink = pa.BufferOutputStream()
+            length = np.bincount(row, minlength=part.num_rows)
+            held = pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(length.astype(np.int64))], names=[*carry, "n_tokens"])
+            with pa.ipc.new_stream(sink, held.schema) as stream:
+                stream.write_batch(held)
+            out[number % len(out)]["carried"] = sink.getvalue().to_pybytes()
+        return _rows(out).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for k, part in enumerate(slices(batches, "__t", BLOCK_BYTES)):
-            w, u, row = tokens(part.column("__t"))
-            learn = np.asarray(part.column("__learn").to_pylist(), bool)
-            b = m.bucket(w, u)
-            order, new = _sorted_pairs(w, u, b)
-            w, u, row, b = w[order], u[order], row[order], b[order]
-            head = np.flatnonzero(new)
-            bounds = np.append(head, len(w))
-            trained = np.add.reduceat(learn[row].astype(np.int64), head)
-            many = np.diff(bounds)
-            w, u, b = w[head], u[head], b[head]
-            edge = np.searchsorted(b, np.arange(m.buckets + 1))
-            out = []
-            for s in np.flatnonzero(np.diff(edge)).tolist():
-                a, z = edge[s], edge[s + 1]
-                fresh = np.flatnonzero(np.concatenate([[True], w[a + 1 : z] != w[a : z - 1]]))
-                arrays = [_steps(w[a:z][fresh]), np.diff(np.append(fresh, z - a)).astype(np.int32), u[a:z]]
-                r = {"bucket": s, "kind": ASK, "at": number + k}
-                if asks:
-                    rows = row[bounds[a] : bounds[z]]
-                    r |= {"data": _pack(*arrays, many[a:z].astype(np.int32), rows.astype(np.int32)), "s0": float(part.num_rows)}
-                else:
-                    r["data"] = _pack(*arrays, trained[a:z])
-                out.append(r)
-            if asks and out:
-                sink = pa.BufferOutputStream()
-                length = np.bincount(row, minlength=part.num_rows)
-                held = pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(length.astype(np.int64))], names=[*carry, "n_tokens"])
-                with pa.ipc.new_stream(sink, held.schema) as stream:
-                    stream.write_batch(held)
-                out[(number + k) % len(out)]["carried"] = sink.getvalue().to_pybytes()
-            yield from _rows(out).to_batches()
+            yield from block(part, number + k)
 
     return docs.mapInArrow(run, ROW)
 
@@ -340,17 +368,17 @@ def _frequent(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def _merged(model: Model):
     """Pairs of a bucket from what all blocks have in it."""
 
+    @keeping_memory
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         got = [_unpack(d, np.uint64, np.int32, np.uint64, np.int64) for d in group.column("data").to_pylist()]
         w = np.concatenate([np.repeat(np.cumsum(g[0], dtype=np.uint64), g[1]) for g in got])
         u, c = (np.concatenate([g[k] for g in got]) for k in (2, 3))
+        (W, w), (U, u) = _ranks(w), _ranks(u)
         order, new = _sorted_pairs(w, u)
         head = np.flatnonzero(new)
-        w, u, c = w[order][head], u[order][head], np.add.reduceat(c[order], head)
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        U, ctx = np.unique(u, return_inverse=True)
-        data = _pack(_steps(w[first]), np.diff(np.append(first, len(w))).astype(np.int32), _steps(U), ctx.astype(np.int32), c)
+        w, ctx, c = w[order[head]], u[order[head]], np.add.reduceat(c[order], head)
+        data = _pack(_steps(W), np.bincount(w).astype(np.int32), _steps(U), ctx.astype(np.int32), c)
         pairs = Bucket(data, model)
         tables = (c > 0).astype(np.int64)
         kinds = np.bincount(pairs.word, tables, len(pairs.W))[pairs.hot < 0]
@@ -364,6 +392,7 @@ def _merged(model: Model):
 def _answer(theta: float, d: float):
     """A slice's answers: customers and tables of each context over all buckets."""
 
+    @keeping_memory
     def run(group: pa.Table) -> pa.Table:
         got = [_unpack(x, np.uint64, np.int64, np.int64) for x in group.column("data").to_pylist()]
         u = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
@@ -391,6 +420,7 @@ def _parts(group: pa.Table, *kinds: int) -> list[list[tuple[int, bytes]]]:
 def _sampled(model: Model, before: Totals, theta: float, number: int, sweeps: int):
     """One round of a bucket: sweeps over its pairs, and what it tells the others."""
 
+    @keeping_memory
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         pairs_, states, replies = _parts(group, PAIRS, STATE, REPLY)
@@ -426,6 +456,7 @@ def _sampled(model: Model, before: Totals, theta: float, number: int, sweeps: in
 def _looked_up(model: Model):
     """Sums of each text of a block over a bucket: score, base score, known tokens."""
 
+    @keeping_memory
     def run(group: pa.Table) -> pa.Table:
         pairs_, states, replies = _parts(group, PAIRS, STATE, REPLY)
         pairs = Bucket(pairs_[0][1], model)

@@ -4,14 +4,17 @@ import collections
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lurewatch.llm import langid, passages, pitman_yor, quality, rules, simhash, tokens, wrappers
+from lurewatch.llm import common, langid, passages, pitman_yor, quality, rules, simhash, tokens, wrappers
 
 rng = random.Random(5)
 EMPTY = "doc_id long, text string, lang string, score string"
@@ -60,6 +63,47 @@ def test_seating_keeps_customers_and_repeats():
     assert [x.tolist() for x in pitman_yor.gibbs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0.5, own)] == [[], []]
 
 
+PAGES = """
+import resource
+import numpy as np
+from lurewatch.llm import common, pitman_yor
+
+def step(n):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(n):
+        np.ones(3 << 17) + 1.0
+    return resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before
+
+def rss():
+    return int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize()
+
+common._give_back_memory()
+size, each = rss(), step(50)
+print(each, common.keeping_memory(step)(50), (rss() - size) >> 20, pitman_yor._sampled(None, None, 0, 0, 0).__wrapped__ is not None)
+"""
+
+
+def test_steps_reuse_the_pages_of_their_arrays():
+    """A step maps its memory once, not once an array, and gives it back."""
+    out = subprocess.run([sys.executable, "-c", PAGES], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert int(out[1]) < 5_000 < 20_000 < int(out[0]) and int(out[2]) < 10
+
+
+def test_pairs_are_sorted_as_one_number_or_two():
+    own = np.random.default_rng(8)
+    w, u, by = (own.integers(0, n, 5000) for n in (40, 70, 3))
+    for far in (0, 1 << 40):  # with so many bits the three are sorted one after another
+        order, new = pitman_yor._sorted_pairs(w, u, by + far)
+        rows = list(zip((by + far)[order].tolist(), w[order].tolist(), u[order].tolist()))
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(5000))
+        order, new = pitman_yor._sorted_pairs(w + far, u + far)
+        rows = list(zip(w[order].tolist(), u[order].tolist()))
+        assert rows == sorted(rows) and new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(5000)]
+    assert [len(x) for x in pitman_yor._sorted_pairs(w[:0], u[:0])] == [0, 0]
+    values, rank = pitman_yor._ranks(w)
+    assert values.tolist() == sorted(set(w.tolist())) and (values[rank] == w).all()
+
+
 @pytest.mark.parametrize("bucket", [2_000_000, 60])
 def test_probabilities_sum_to_one(spark, monkeypatch, bucket):
     monkeypatch.setattr(pitman_yor, "BUCKET", bucket)  # 60: nearly all words are split
