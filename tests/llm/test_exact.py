@@ -319,6 +319,25 @@ def test_random_words_have_one_path():
         assert a._searched("".join(a.letters[b] for b in s.encode())) == t.encode(s, add_special_tokens=False).ids
 
 
+def test_words_are_read_without_search(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, a = Tokenizer.from_file(tokens.default_path()), tokens.Automaton(tokens.default_path())
+    edge = ["", None, "<|endoftext|>", "a<|endoftext|><|startoftext|>b <|ENDOFTEXT|>", "\x1ca\x1fb", "don't 'S ''s !'s", "é,ß. ǆ; ɐ! ª. Σ.", "x" * 128, ". ,", "e\u0301. \u2000\u3000a", "12a3.", "日本語。日本", "\U0001f600!a."]
+    letters = "aehtnrsäéøłжш日本 \u0301'.,;!?1\x1d\x85"
+    texts = edge + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    want = [t.encode(s or "", add_special_tokens=False).ids for s in texts]
+    long = ["q" * 129 + " a", "th" * 700]
+    ids, offsets = a.encode_all(texts + long)
+    assert [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == want + [t.encode(s, add_special_tokens=False).ids for s in long]
+    assert [bytes(x).decode() for x in a.decode_all(ids, offsets)][: len(want)] == [t.decode(x, skip_special_tokens=False) for x in want]
+    monkeypatch.setattr(a, "_searched", None)  # a path by search, for words of over 128 bytes alone
+    for s, ids in zip(texts[:200], want):
+        assert np.frombuffer(a.encode(s), "<u4").tolist() == ids
+    some = np.array([(x, z) for x in range(0, 49000, 997) for z in range(0, 49000, 991)])
+    assert a._tested(*some.T).tolist() == a._allowed(*some.T).tolist() == a._allowed(*some.T).tolist() == [a.allows(x, z) for x, z in some.tolist()]
+
+
 # ---- WARC ----
 
 
