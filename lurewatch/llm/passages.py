@@ -28,11 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import slices, table, text_bytes, words, written, xxh64
+from .common import drop_written, keeping_memory, slices, table, text_bytes, words, written, written_so_far, xxh64
 
 LENGTH, GRAM = 400, 200
 #: words of the k-gram of a run of `n` words, as a share of n
@@ -64,7 +65,8 @@ def _powers(n: int) -> list[np.ndarray]:
 
 def _mix(h: np.ndarray) -> np.ndarray:
     for _ in range(2):
-        h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+        h = h ^ (h >> _U(32))
+        h *= _U(0xD6E8FEB86659FD93)
     return h ^ (h >> _U(32))
 
 
@@ -74,12 +76,20 @@ class Hashes:
 
     def __init__(self, raw: np.ndarray, which: int):
         self.power, self.inverse = _powers(len(raw) + 1)
-        letters = _letters()[which][raw] if raw.dtype == np.uint8 else _mix(raw + _letters()[which][0])
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * self.power[: len(raw)])])
+        letters = np.take(_letters()[which], raw) if raw.dtype == np.uint8 else _mix(raw + _letters()[which][0])
+        letters *= self.power[: len(raw)]
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(letters, out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.inverse[a])
 
+    def every(self, n: int) -> np.ndarray:
+        """Of the ranges of n places, from the first on."""
+        h = self.sums[n:] - self.sums[:-n]
+        h *= self.inverse[: len(h)]
+        return _mix(h)
+
 
 def samples(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Sampled positions of rows laid end to end: (hash of the k-gram, hash of the context, row, first start, last
@@ -89,28 +99,30 @@ def samples(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     m = n - gram + 1
-    at = np.arange(m)
-    h = Hashes(raw, 0).of(at, at + gram)
-    ranked = (h >> _U(_PLACE) << _U(_PLACE)) | at.astype(np.uint64)
+    h = Hashes(raw, 0).every(gram)
     blocks = -(-m // width)
     grid = np.full(blocks * width, _U(2**64 - 1))
-    grid[:m] = ranked
+    ranked = np.right_shift(h, _U(_PLACE), out=grid[:m])
+    ranked <<= _U(_PLACE)
+    ranked |= np.arange(m, dtype=np.uint64)
     grid = grid.reshape(blocks, width)
     before = np.minimum.accumulate(grid, axis=1).ravel()
     after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.arange(n - length + 1)
-    place = (np.minimum(after[: len(starts)], before[width - 1 : width - 1 + len(starts)]) & _U((1 << _PLACE) - 1)).astype(np.int64)
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    whole = starts + length <= offsets[row + 1]
-    starts, place, row = starts[whole], place[whole], row[whole]
-    if not len(starts):
-        return h[:0], h[:0], starts, starts, starts
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
-    head = np.flatnonzero(new)
-    first, last = starts[head], starts[np.concatenate([head[1:], [len(starts)]]) - 1]
-    where = (place[head] - first).astype(np.uint64) * _U(1000003) + (last - first).astype(np.uint64)
+    many = n - length + 1
+    least = np.minimum(after[:many], before[width - 1 : width - 1 + many])
+    new = np.ones(many, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[offsets[(offsets >= 0) & (offsets < many)]] = True
+    first = np.flatnonzero(new)
+    row = np.searchsorted(offsets, first, side="right") - 1
+    final = offsets[row + 1] - length
+    last = np.minimum(np.append(first[1:], many) - 1, final)
+    whole = first <= final
+    first, last, row = first[whole], last[whole], row[whole]
+    place = (least[first] & _U((1 << _PLACE) - 1)).astype(np.int64)
+    where = (place - first).astype(np.uint64) * _U(1000003) + (last - first).astype(np.uint64)
     context = _mix(Hashes(raw, 1).of(first, last + length) + _mix(where + _U(1)))
-    return h[place[head]], context, row[head], first - offsets[row[head]], last - offsets[row[head]]
+    return h[place], context, row, first - offsets[row], last - offsets[row]
 
 
 def _pieces(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,15 +148,21 @@ def sampled(docs: DataFrame, length: int, gram: int, by_word: bool = False) -> D
     """(d1, d2, text) -> (d1, d2, gram, context, first, last) for every sampled position."""
     units = word_hashes if by_word else text_bytes
 
+    @keeping_memory
+    def step(part: pa.RecordBatch) -> list[pa.RecordBatch]:
+        out = []
+        d1, d2 = (part.column(c).to_numpy() for c in ("d1", "d2"))
+        for raw, offsets, rows, places in _pieces(*units(part.column("t")), length):
+            g, c, row, first, last = samples(raw, offsets, length, gram)
+            if len(g):
+                own = rows[row]
+                cols = [d1[own], d2[own], g.view(np.int64), c.view(np.int64), first + places[row], last + places[row]]
+                out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["d1", "d2", "gram", "context", "first", "last"]))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", STEP // 2):
-            d1, d2 = (part.column(c).to_numpy() for c in ("d1", "d2"))
-            for raw, offsets, rows, places in _pieces(*units(part.column("t")), length):
-                g, c, row, first, last = samples(raw, offsets, length, gram)
-                if len(g):
-                    own = rows[row]
-                    cols = [d1[own], d2[own], g.view(np.int64), c.view(np.int64), first + places[row], last + places[row]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["d1", "d2", "gram", "context", "first", "last"])
+            yield from step(part)
 
     return docs.mapInArrow(run, "d1 long, d2 long, gram long, context long, first long, last long")
 
@@ -178,6 +196,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, by_wo
     strings (by_word: runs of `length` words) that occur elsewhere too.
 
     The result is a plan over docs as a whole: a caller that joins it with docs shuffles the texts once for both."""
+    first = written_so_far()
     found = written(sampled(docs.select("d1", "d2", "t").filter(F.octet_length("t") >= length), length, gram, by_word), "samples")
     classes = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"))
     classes = written(classes, "contexts")
@@ -186,7 +205,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, by_wo
     marked = written(found.join(known, (found.gram == known.g) & (found.context == known.x)).select("d1", "d2", "gram", "context", "first", "last", "n", "open"), "marked")
     settled = marked.filter("n > 1").select("d1", "d2", F.struct("first", "last").alias("run"))
     reps = marked.filter("open").groupBy("gram", "context").agg(F.min(F.struct("d1", "d2", "first", "last")).alias("r"), F.first("n").alias("n"))
+    used = written_so_far() - 1
     reps = written(reps.select("r.*", "n", F.monotonically_increasing_id().alias("rep")), "representatives")
+    drop_written(docs.sparkSession, first, used)  # samples and contexts: what follows reads marked and reps
     by_text = reps.groupBy(F.col("d1").alias("_1"), F.col("d2").alias("_2")).agg(F.collect_list(F.struct("rep", "first", "last")).alias("runs"))  # of one text
     texts = docs.join(by_text, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))).dropDuplicates(["d1", "d2"])
     single = reps.filter("n = 1").select(F.col("rep").alias("one"), "d1", "d2", "first")
@@ -199,34 +220,54 @@ _SHOWN = {"kept_bytes": (BinaryType(), pa.binary(), bytes), "kept_sha256": (Stri
 _ADDED = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())]
 
 
-def _cut(t: str | None, runs: list[dict] | None, length: int, word_runs: list[dict] | None = None, n_words: int = 0) -> tuple[bytes, int, int, int]:
-    raw = (t or "").encode()
-    if not runs and not word_runs:
-        return raw, len(raw), 0, 0
-    edge = np.zeros(len(raw) + 1, np.int32)
-    if runs:
-        np.add.at(edge, [r["first"] for r in runs], 1)
-        np.add.at(edge, [r["last"] + length for r in runs], -1)
-    if word_runs:
-        starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        np.add.at(edge, starts[[r["first"] for r in word_runs]], 1)
-        np.add.at(edge, ends[[r["last"] + n_words - 1 for r in word_runs]], -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), spans
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", give: str | tuple[str, ...] = "kept_bytes", n_words: int = 0) -> DataFrame:
+def _intervals(runs: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, first, last) of all runs of a column of lists."""
+    flat = pc.list_flatten(runs)
+    return pc.list_parent_indices(runs).to_numpy(), *(pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
+
+
+def _spans(row: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Intervals of rows laid end to end -> (row, first, end) of their unions' maximal runs, in order."""
+    order = np.argsort(first, kind="stable")
+    row, first, end = row[order], first[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(row), bool)
+    new[1:] = (first[1:] > end[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    return row[head], first[head], end[np.append(head[1:], len(row)) - 1] if len(row) else end
+
+
+def _left(raw: bytes, offsets: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The bytes of every row outside the spans."""
+    bounds, at = offsets.tolist(), np.searchsorted(row, np.arange(len(offsets))).tolist()
+    first, end = first.tolist(), end.tolist()
+    return [b"".join(raw[x:y] for x, y in zip([a, *end[k0:k1]], [*first[k0:k1], b])) for a, b, k0, k1 in zip(bounds, bounds[1:], at, at[1:])]
+
+
+def _repeats(part: pa.RecordBatch, offsets: np.ndarray, length: int, n_words: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(row, first, end) of the repeated strings and of the repeated runs of words of rows laid end to end."""
+    row, first, last = _intervals(part.column("runs"))
+    strings = row, offsets[row] + first, offsets[row] + last + length
+    row, first, last = _intervals(part.column("word_runs"))
+    own = np.unique(row)
+    raw, here = text_bytes(part.column("t").take(pa.array(own)))
+    starts, ends, words_of = words(raw, here)
+    k = np.searchsorted(own, row)
+    shift = offsets[row] - here[k]
+    return strings, (row, starts[words_of[k] + first] + shift, ends[words_of[k] + last + max(n_words, 1) - 1] + shift)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", give: str | tuple[str, ...] = "kept_bytes", n_words: int = 0, apart: str | None = None) -> DataFrame:
     """docs without `text`, plus n_bytes, n_removed, n_spans and, by `give` (one or several), the remaining bytes: as
     kept_bytes, as kept_sha256 (lower-case hex) or as kept_text (UTF-8; parts of a character that a cut left over are dropped).
 
     Every byte that lies in a string of `length` bytes which starts anywhere else too is removed, in all copies; with
-    n_words also every run of so many words that stands anywhere else too, from its first word to its last.
+    n_words also every run of so many words that stands anywhere else too, from its first word to its last. With `apart` the
+    runs of words stay in all of these and go in one more text column of that name, the strings of `length` bytes with them.
     Null and short texts lose nothing; repeated rows count as occurrences of each other; ids and other columns are
     not looked at and stay; columns named like outputs are replaced. An empty table gives an empty result.
     """
     give = (give,) if isinstance(give, str) else give
-    names = {f.name for f in _ADDED} | set(give)
+    names = {f.name for f in _ADDED} | set(give) | {apart}
     keep = [c for c in docs.columns if c != text and c not in names]
     one = [f"__{i}" for i in range(len(keep))]
     base = docs.select(*(F.col(c).alias(a) for c, a in zip(keep, one)), F.col(text).alias("t"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
@@ -238,18 +279,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     else:
         joined = joined.withColumn("word_runs", F.lit(None).cast("array<struct<first:bigint,last:bigint>>"))
     joined = joined.select(*one, "t", "runs", "word_runs")
-    added = [*(StructField(g, _SHOWN[g][0]) for g in give), *_ADDED]
+    added = [*(StructField(g, _SHOWN[g][0]) for g in give), *_ADDED, *([StructField(apart, StringType())] if apart else [])]
     schema = StructType([*base.select(*one).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            made = [_cut(t, r, length, w, n_words) for t, r, w in zip(*(part.column(c).to_pylist() for c in ("t", "runs", "word_runs")))]
-            head = [pa.array([_SHOWN[g][2](x[0]) for x in made], _SHOWN[g][1]) for g in give]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in one), *head, *(pa.array([x[k] for x in made], pa.int64()) for k in (1, 2, 3))], names=schema.names)
+            whole, offsets = text_bytes(part.column("t"))
+            raw = whole.tobytes()
+            strings, spoken = _repeats(part, offsets, length, n_words)
+            both = _spans(*(np.concatenate(x) for x in zip(strings, spoken)))
+            row, first, end = gone = _spans(*strings) if apart else both
+            kept = _left(raw, offsets, *gone)
+            head = [pa.array([_SHOWN[g][2](x) for x in kept], _SHOWN[g][1]) for g in give]
+            removed = np.bincount(row, weights=end - first, minlength=len(kept)).astype(np.int64)
+            counts = [pa.array(x.astype(np.int64)) for x in (np.diff(offsets), removed, np.bincount(row, minlength=len(kept)))]
+            last = [pa.array([x.decode("utf-8", "ignore") for x in _left(raw, offsets, *both)], pa.string())] if apart else []
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in one), *head, *counts, *last], names=schema.names)
 
     return joined.mapInArrow(run, schema).withColumnsRenamed(dict(zip(one, keep)))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), give=("kept_sha256", "kept_text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
+    """The contract's columns and `text` follow the repeated strings of 400 bytes alone; text_51_words is what is left of the
+    text when repeated runs of 51 words go too, however few bytes they have."""
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), give=("kept_sha256", "kept_text"), n_words=51, apart="text_51_words")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"), "text_51_words")

@@ -271,6 +271,23 @@ def test_repeated_words_are_cut(spark):
     assert all(len(staged[i]) <= len(w) for i, w in enumerate(want)) and sum(map(len, staged.values())) >= sum(map(len, want)) - 4
 
 
+def test_short_passages_go_in_a_column_apart(spark, tmp_path):
+    own = random.Random(9)
+    fresh = lambda n: " ".join(f"{own.randrange(10**4)}" for _ in range(n))
+    kept, passage, long = fresh(48), fresh(55), fresh(120)
+    assert len(passage) < 400 < len(long)
+    texts = [f"{fresh(30)} a {x} b {fresh(30)}" for x in (kept, kept, passage, passage, long, long)] + [fresh(80), "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in passages.op9_passages(spark, str(tmp_path)).collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for _, r in sorted(got.items())] == cut(texts, 400)
+    for i in (0, 1, 6, 7, 8):  # a run of 50 words stays
+        assert got[i].text == got[i].text_51_words == (texts[i] or "")
+    for i in (2, 3):
+        assert got[i].text == texts[i] and got[i].text_51_words == texts[i].replace(f"a {passage} b", "")
+    for i in (4, 5):
+        assert got[i].text == got[i].text_51_words and long not in got[i].text
+
+
 def test_passages_empty(empty):
     assert passages.without_repeats(empty).count() == 0
 
