@@ -451,14 +451,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     """
     found = written(similar(docs, id_col, text, width, least), "classes")
     k, h = (unused(docs.columns) + x for x in ("k", "h"))
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root", F.col(id_col).alias(k), F.col("text_hash").alias(h)).agg(F.count(F.lit(1)).alias("n"))
+    groups = found.groupBy("root", F.col(id_col).alias(k), F.col("text_hash").alias(h)).agg(F.first("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    first = groups.filter(F.col(k).eqNullSafe(F.col("c")))
     keep = written(first.groupBy("root").agg(F.min_by(F.struct(k, h, "n"), h).alias("x")).select("x.*"), "kept")
+    # docs are compared with the rows that go, which are few; those that stay are about as many as docs
+    kept = keep.select(F.col(k).alias("__i"), F.col(h).alias("__j"))
+    gone = groups.join(kept.hint("merge"), F.col(k).eqNullSafe(F.col("__i")) & (F.col(h) == F.col("__j")), "left_anti")
+    repeated = keep.filter("n > 1")
+    out = written(gone.select(k, h).union(repeated.select(k, h)), "gone")
     match = docs[id_col].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h))
-    size = keep.count()
-    once = docs.join(sized(keep.filter("n = 1"), size), match, "left_semi")
-    if keep.filter("n > 1").isEmpty():
+    once = docs.join(sized(out, out.count()), match, "left_anti")
+    size = repeated.count()
+    if not size:
         return once
-    again = docs.join(sized(keep.filter("n > 1"), size), match, "left_semi")
+    again = docs.join(sized(repeated, size), match, "left_semi")
     return once.unionByName(again.dropDuplicates([id_col, text]))
 
 
